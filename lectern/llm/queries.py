@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import bpe_codec, chat_format, token_counts
+from lectern.llm import bpe_codec, chat_format, jaccard_join, token_counts
 from lectern.session import table
 
 #: A conversation whose texts hold another format's control strings.
@@ -52,5 +52,25 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op6_bpe_codec, op8_token_counts)}
-ORACLE = {"op2_chat_format": OP2_SQL}
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS grams FROM w
+), g AS (SELECT doc_id, unnest(grams) AS gram FROM s), n AS (SELECT doc_id, len(grams) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT r.node, e.b FROM reach r JOIN ends e ON e.a = r.seen)
+SELECT n.doc_id, n.n AS n_shingles, min(seen) AS component_id FROM n JOIN reach ON reach.node = n.doc_id GROUP BY ALL
+"""
+
+
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_ngram_jaccard, op6_bpe_codec, op8_token_counts)}
+ORACLE = {"op2_chat_format": OP2_SQL, "op3_ngram_jaccard": OP3_SQL}
