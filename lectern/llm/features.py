@@ -113,6 +113,28 @@ def fold_latin(data: np.ndarray) -> np.ndarray:
     return data
 
 
+#: White space and ASCII marks are spaces.
+MARK = np.arange(256, dtype=np.uint8)
+MARK[[*range(33), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = 32
+
+
+def fold_words(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """Folded bytes of all texts, each with a space before and after, and n + 1 offsets."""
+    data, offsets = raw_bytes(texts)
+    if len(data):
+        data = MARK[fold_latin(data)]
+    data = np.insert(data, offsets[:-1], 32)
+    starts = offsets[:-1] + np.arange(len(offsets) - 1)
+    first = np.zeros(len(data), bool)
+    first[starts] = True
+    keep = np.ones(len(data), bool)
+    keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
+    keep |= first
+    total = np.concatenate([[0], np.cumsum(keep)])
+    ends = np.concatenate([starts, [len(data)]])
+    return data[keep].tobytes(), total[ends]
+
+
 def fold_number(doc_id: Column, parts: int) -> Column:
     """crc32(doc_id as text) mod parts; of a null id, that of the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import bpe_codec, chat_format, jaccard_join, token_counts
+from lectern.llm import bpe_codec, chat_format, jaccard_join, language_id, quality_classifier, quality_rules, token_counts, topk_search, toxicity
 from lectern.session import table
 
 #: A conversation whose texts hold another format's control strings.
@@ -72,5 +72,50 @@ SELECT n.doc_id, n.n AS n_shingles, min(seen) AS component_id FROM n JOIN reach
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_ngram_jaccard, op6_bpe_codec, op8_token_counts)}
-ORACLE = {"op2_chat_format": OP2_SQL, "op3_ngram_jaccard": OP3_SQL}
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_chat_format,
+        op3_ngram_jaccard,
+        op4_topk_search,
+        op5_toxicity,
+        op6_bpe_codec,
+        op8_token_counts,
+        op9_language_id,
+        op10_quality_classifier,
+    )
+}
+ORACLE = {"op2_chat_format": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_topk_search": OP4_SQL}
