@@ -89,6 +89,7 @@ class ByteBPE:
             self.left.append(left)
             self.right.append(right)
         self.ids = np.array(rank_to_id, dtype=np.uint32)
+        self.id_bytes = [np.uint32(i).tobytes() for i in rank_to_id]
         words = [names[i] for i in rank_to_id]
         self.lengths = [len(w) for w in words]
         self.shorter = [next((rank_of[w[:n]] for n in range(len(w) - 1, 0, -1) if w[:n] in rank_of), -1) for w in words]
@@ -149,32 +150,33 @@ class ByteBPE:
     def encode_ranks(self, word: str) -> list[int]:
         """Ranks of the tokens of one pre-token, given as symbols."""
         size = len(word)
-        lengths, shorter, fits, compatible = self.lengths, self.shorter, self.fits, self.compatible
-        reach, longest = self.automaton.longest_prefix, self.longest
+        lengths, shorter, compatible = self.lengths, self.shorter, self.compatible
+        reach, longest, known = self.automaton.longest_prefix, self.longest, self.fits.get
         dead = bytearray(size + 1)
         out: list[int] = []
-        pos, token = 0, longest[word[: reach(word)]] if size else -1
+        pos, last, token = 0, -1, longest[word[: reach(word)]] if size else -1
         while pos < size:
             while token >= 0:
                 end = pos + lengths[token]
                 if not dead[end]:
-                    if not out:
+                    if last < 0:
                         break
-                    known = fits.get(out[-1] << 20 | token)
-                    if compatible(out[-1], token) if known is None else known:
+                    fit = known(last << 20 | token)
+                    if compatible(last, token) if fit is None else fit:
                         break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                pos = end
+                last, pos = token, end
                 if pos < size:
                     rest = word[pos:]
                     token = longest[rest[: reach(rest)]]
             else:
                 dead[pos] = 1
-                last = out.pop()
-                pos -= lengths[last]
-                token = shorter[last]
+                token = out.pop()
+                pos -= lengths[token]
+                token = shorter[token]
+                last = out[-1] if out else -1
         return out
 
     def encode_word(self, word: str) -> bytes:
@@ -182,7 +184,7 @@ class ByteBPE:
         symbols = word.encode("utf-8", "replace").decode("latin-1")
         if self.suffix:
             symbols = symbols[:-1] + chr(256 + ord(symbols[-1]))
-        return self.ids[self.encode_ranks(symbols)].tobytes()
+        return b"".join(map(self.id_bytes.__getitem__, self.encode_ranks(symbols)))
 
     def encode_part(self, part: str) -> bytes:
         """Token ids of a stretch that starts at a pre-token's start and ends at one's end."""

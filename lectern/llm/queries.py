@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import bpe_codec, chat_format, jaccard_join, language_id, quality_classifier, quality_rules, token_counts, topk_search, toxicity
+from lectern.llm import bpe_codec, chat_format, jaccard_join, language_id, packing, quality_classifier, quality_rules, token_counts, topk_search, toxicity
 from lectern.session import table
 
 #: A conversation whose texts hold another format's control strings.
@@ -96,6 +96,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -113,6 +117,7 @@ QUERIES = {
         op4_topk_search,
         op5_toxicity,
         op6_bpe_codec,
+        op7_retrieval_packing,
         op8_token_counts,
         op9_language_id,
         op10_quality_classifier,
