@@ -34,3 +34,75 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
     return ends.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(ends.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def undirected(links: DataFrame) -> DataFrame:
+    """Distinct unordered edges (a, b) without self-links, of links (src, dst)."""
+    return links.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+
+
+def isolates(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes (node) that no other node links to."""
+    reached = links.where("src <> dst").select(F.col("dst").alias("node")).distinct()
+    return nodes.select("node").distinct().join(reached, "node", "left_anti")
+
+
+def link_health(nodes: DataFrame, links: DataFrame, most_isolated: float = 0.05) -> DataFrame:
+    """One row: nodes, edges, edges a node, isolates and their share, the largest component and its share, and whether a linking pass is due."""
+    known = nodes.select("node").distinct()
+    inside = links.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    edges = undirected(inside)
+    parts = connected_components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("size")).agg(F.max("size").alias("largest"))
+    counts = known.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(isolates(known, inside).agg(F.count(F.lit(1)).alias("isolates"))).crossJoin(parts)
+    largest = F.coalesce("largest", F.least(F.col("nodes"), F.lit(1)))
+    return counts.select(
+        "nodes", "edges", (F.col("edges") / F.col("nodes")).alias("density"), "isolates", (F.col("isolates") / F.col("nodes")).alias("isolated_share"),
+        largest.alias("largest"), (largest / F.col("nodes")).alias("largest_share"), (F.col("isolates") / F.col("nodes") > most_isolated).alias("pass_due"),
+    )
+
+
+def chain_ends(moves: DataFrame, rounds: int = 40) -> DataFrame:
+    """(old, new) with each moved path's final place; a cycle ends where it closes. Pointer doubling, so the
+    rounds grow with the logarithm of the longest chain."""
+    now = materialise(moves.groupBy("old").agg(F.min("new").alias("new")), "moves")
+    for _ in range(rounds):
+        onward = now.select(F.col("old").alias("new"), F.col("new").alias("then"))
+        stepped = now.join(onward, "new", "left")
+        moved = stepped.where("then IS NOT NULL AND then <> old AND then <> new")
+        if moved.isEmpty():
+            break
+        now = materialise(stepped.select("old", F.when(F.col("then").isNotNull() & (F.col("then") != F.col("old")), F.col("then")).otherwise(F.col("new")).alias("new")), "moves")
+    return now
+
+
+def backlinks(links: DataFrame) -> DataFrame:
+    """Each target's distinct linking documents, sorted."""
+    return links.where("src <> dst").groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias("sources"))
+
+
+def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct inbound and outbound links of each node."""
+    edges = links.where("src <> dst").select("src", "dst").distinct()
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outbound"))
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("inbound"))
+    return nodes.select("node").distinct().join(into, "node", "left").join(out, "node", "left").na.fill(0)
+
+
+def orphan_shapes(nodes: DataFrame, links: DataFrame, hub: int = 10) -> DataFrame:
+    """Nodes by shape: alone (no link either way), unreached (links out only), hub, or plain."""
+    shape = F.when((F.col("inbound") == 0) & (F.col("outbound") == 0), "alone").when(F.col("inbound") == 0, "unreached").when(F.col("inbound") >= hub, "hub").otherwise("plain")
+    return degrees(nodes, links).withColumn("shape", shape)
+
+
+def lineage(citations: DataFrame, start: DataFrame, depth: int = 10) -> DataFrame:
+    """(root, node, depth) of what a document rests on through its sources, each node at its least depth."""
+    edges = citations.select(F.col("concept").alias("node"), F.col("page").alias("next")).distinct()
+    seen = materialise(start.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")), "lineage")
+    front = seen
+    for level in range(1, depth + 1):
+        grown = front.join(edges, "node").select("root", F.col("next").alias("node"), F.lit(level).alias("depth")).distinct()
+        front = materialise(grown.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "lineage")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen

@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package's sources to the executors, once per application."""
@@ -43,10 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a cut in the
-    lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lineage that survives lost executors. The write's own shuffle files go as
+    soon as it has ended, since nothing reads them again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
