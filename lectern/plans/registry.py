@@ -1,7 +1,9 @@
-"""All queries of the reference's own kind, with the SQL that gives the same rows."""
+"""All queries of the engine's own kind, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from lectern.plans import relational
+
+QUERIES: dict = {**relational.Q}
+ORACLE: dict[str, str] = {**relational.SQL}
 FLAGSHIP = "j3_shared_source_pairs"
