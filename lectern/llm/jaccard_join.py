@@ -9,9 +9,9 @@ set's smaller partners lie in its own band or the one below. In a band the
 universe is hashed into D + 1 segments, so two similar sets agree on at least
 one whole segment; a segment's subset is its signature. An empty subset says
 nothing and would gather unrelated documents, so it gives no signature: the
-allocation moves its unit to the one-deletion neighbourhoods of the set's
-other segments, which such a set indexes as well (if all agreeing segments
-are empty, some other segment differs in exactly one element).
+allocation moves its unit to the one-deletion neighbourhoods of two other
+segments (if all agreeing segments are empty, another one differs in exactly
+one element).
 
 Documents that share a signature are joined to the bucket's most connected
 member first, which is linear in the bucket; after those candidates are
@@ -40,6 +40,9 @@ from lectern.operators.graph import connected_components
 from lectern.session import materialise
 
 WIDTH, PERCENT = 3, 90
+#: A band is so many factors of similarity wide: wider ones have more segments, narrower ones more sets that
+#: also need the band below; three gives the fewest signatures.
+BAND = 3
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 U = np.uint64
@@ -52,8 +55,8 @@ def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     first = next(n for n in range(1, 10_000) if part(n + n * 100 // percent) > 0)
     edges = [first]
     while edges[-1] <= largest:
-        edges.append(edges[-1] * 100 // percent + 1)
-    edges.append(edges[-1] * 100 // percent + 1)
+        edges.append(max(edges[-1] * 100 // percent + 1, edges[-1] * 100**BAND // percent**BAND))
+    edges.append(edges[-1] * 100**BAND // percent**BAND + 1)
     top = [e - 1 for e in edges[1:]]
     partner = [t * 100 // percent for t in top]
     return np.array(edges), np.array(partner), np.array([part(t + p) + 1 for t, p in zip(top, partner, strict=True)])
@@ -108,10 +111,13 @@ def signatures(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[n
         place = mix(band[docs][owner].astype(U) * U(1 << 32) + (filled - base[owner]).astype(U))
         out_doc.append(docs[owner])
         out_sig.append(mix(total ^ place))
-        # Sets with empty segments: one-deletion neighbourhoods of the others.
+        # Sets with empty segments. If two similar sets agree only where both are empty, in e segments, then of the
+        # others, which all differ, at most e - 1 differ in more than one element. So one of the first 2e segments
+        # differs in exactly one; a set with E >= e empty ones indexes the neighbourhoods of its first 2E segments.
         empty = m - np.bincount(owner, minlength=len(docs))
-        some = empty[owner] > 0
-        if some.any():
+        number = filled - base[owner]
+        some = number < 2 * empty[owner]
+        if (empty > 0).any():
             near = mix(place + U(99))
             out_doc.append(docs[owner[some]])
             out_sig.append(mix(total[some] ^ near[some]))
@@ -120,8 +126,11 @@ def signatures(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[n
             pick = some[run]
             out_doc.append(docs[owner[run[pick]]])
             out_sig.append(mix((total[run[pick]] - spread[element[pick]]) ^ near[run[pick]]))
-            for d in np.flatnonzero(2 * empty >= m + 1):
-                lone = np.setdiff1d(np.arange(m[d]), filled[owner == d] - base[d])
+            # The difference may be an element against none; and with more than half of the segments
+            # empty in both, nothing else may be left: then the empty segments themselves are indexed.
+            for d in np.flatnonzero(empty > 0):
+                lone = np.setdiff1d(np.arange(m[d]), number[owner == d])
+                lone = lone[(lone < 2 * empty[d]) | (2 * empty[d] > m[d])]
                 where = mix(U(band[docs[d]]) * U(1 << 32) + lone.astype(U))
                 out_doc.append(np.full(len(lone), docs[d]))
                 out_sig.append(mix(mix(where + U(99))))
@@ -169,6 +178,19 @@ def compact(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return over_arrow(documents(docs), kernel, "doc_id long, n_shingles long, h1 long, h2 long, bits array<long>, sigs array<long>")
 
 
+def keys(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles and digest of every document."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                values, offsets = shingles(Chunk(part.column(1), lower=True), width)
+                h1, h2 = digests(values, offsets)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(h1), pa.array(h2)], ["doc_id", "n_shingles", "h1", "h2"])
+
+    return over_arrow(documents(docs), kernel, "doc_id long, n_shingles long, h1 long, h2 long")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """rep, h1, h2, elements of the wanted documents."""
 
@@ -179,7 +201,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 h1, h2 = digests(values, offsets)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1), pa.array(h2), _lists(values, offsets)], ["rep", "h1", "h2", "elements"])
 
-    return over_arrow(documents(docs).join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), kernel, "rep long, h1 long, h2 long, elements array<long>")
+    # The wanted ids grow with the data, so they are never broadcast.
+    ids = wanted.select(F.col("rep").alias("doc_id")).hint("merge")
+    return over_arrow(documents(docs).join(ids, "doc_id", "left_semi"), kernel, "rep long, h1 long, h2 long, elements array<long>")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -200,9 +224,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    every = materialise(compact(docs, width, percent), "compact")
     reps = materialise(
-        every.where("n_shingles > 0")
+        compact(docs, width, percent)
+        .where("n_shingles > 0")
         .groupBy("h1", "h2", "n_shingles")
         .agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("sigs").alias("sigs")),
         "reps",
@@ -238,5 +262,6 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     whole = connected_components(links.unionByName(more))
 
     classes = reps.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    found = every.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left")
+    # A second pass over the texts costs less than keeping every row's digest and signatures.
+    found = keys(docs, width).join(classes, ["h1", "h2", "n_shingles"], "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
