@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.llm.arrow import chunks, over_arrow
 from lectern.llm.features import fold_number, fold_words, labelled_sample, sigmoid
 
-SAMPLE, MOST_BYTES = 12_000, 30_000
+SAMPLE, MOST_BYTES = 8_000, 30_000
 WINDOW, STRIDE = 48, 36
 STRATEGY, MIN_MATCH, SEARCH = zstandard.STRATEGY_BTOPT, 3, 6
 #: Gain from which a window's words are compressed alone; measures of a text;
