@@ -9,6 +9,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: The two kinds of month names, English and German.
 MONTHS = (
@@ -21,13 +22,13 @@ NUMBER_WORDS = "no one two three four five six seven eight nine ten eleven twelv
 TRANSLITERATION = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc_path(paths: pd.Series) -> pd.Series:
     """M3, M4: normalised NFC path."""
     return paths.map(lambda p: None if p is None else unicodedata.normalize("NFC", os.path.normpath(p)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_ascii(texts: pd.Series) -> pd.Series:
     """P25: umlauts spelt out, then ASCII letters of the NFKD form, lower case."""
 
@@ -42,7 +43,7 @@ def fold_ascii(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sort_key(texts: pd.Series) -> pd.Series:
     """A key without case and accents."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).casefold())
@@ -53,7 +54,7 @@ _TAG = re.compile(r"<[^>]{1,200}>")
 _QUOTES = str.maketrans({**dict.fromkeys("“”„«»", '"'), **dict.fromkeys("‘’‚", "'"), **dict.fromkeys("–—−", "-"), "­": None})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def comparison_form(texts: pd.Series) -> pd.Series:
     """NFKC, links as their text, tags and entities resolved, one kind of quote, dash and space."""
 
@@ -66,7 +67,7 @@ def comparison_form(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def blank_inline_code(texts: pd.Series) -> pd.Series:
     """Inline code as spaces of the same length."""
     return texts.map(lambda t: None if t is None else re.sub(r"`[^`\n]+`", lambda m: " " * len(m.group()), t))

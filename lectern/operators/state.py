@@ -26,7 +26,7 @@ def tick(clock: DataFrame, findings: DataFrame, audited: DataFrame, day: str, ke
 def escalated(clock: DataFrame, waivers: DataFrame, least: int = ESCALATE) -> DataFrame:
     """ST1, Q15: findings with `least` run days or more, and whether a waiver (path pattern as regex, substring) covers them."""
     old = clock.where(F.size("days") >= least)
-    waived = old.join(F.broadcast(waivers), old["path"].rlike(waivers["pattern"]) & F.contains(old["message"], waivers["part"]), "left_semi").select("kb", "path", "message").withColumn("waived", F.lit(True))
+    waived = old.join(F.broadcast(waivers), F.regexp(old["path"], waivers["pattern"]) & F.contains(old["message"], waivers["part"]), "left_semi").select("kb", "path", "message").withColumn("waived", F.lit(True))
     return old.join(waived.distinct(), ["kb", "path", "message"], "left").withColumn("waived", F.coalesce("waived", F.lit(False)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import relational
+from lectern.plans import relational, textual  # noqa: F401  (registers its queries with relational)
 
 QUERIES: dict = {**relational.Q}
 ORACLE: dict[str, str] = {**relational.SQL}
