@@ -87,7 +87,8 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
                 counts = count(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts), pa.string()), part.column(0).cast(pa.binary()), pa.array(np.asarray(counts, dtype=np.int64))], ["version", "digest", "n_tokens"])
 
-    over_arrow(wanted, kernel, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    # Repeated rows of one id give their digest more than once.
+    over_arrow(wanted, kernel, CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     # Appends of two runs may hold a digest twice, with the same count.
     counts = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 

@@ -162,7 +162,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
     pieces = [t[i : i + 256] for t in ordinary for i in range(0, len(t), 256)][:40_000]
     trained = zstandard.train_dictionary(2 * ORDINARY_BYTES, pieces, level=3).as_bytes() if len(pieces) > 50 else b"".join(pieces)
     # The most frequent content stands at a trained dictionary's end, nearest to what is compressed.
-    return trained[-ORDINARY_BYTES:] or b" " * 8, b"".join(reversed(kept)) or b" "
+    return trained[-ORDINARY_BYTES:].rjust(2 * TAIL), b"".join(reversed(kept)) or b" "
 
 
 def fit(sample: list[tuple[str, int, int]]) -> Pair:
