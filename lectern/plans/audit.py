@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from lectern.functions import text as T
 from lectern.operators import aggregates as A, joins as J, state as S, windows as W
-from lectern.sources.vault import Vault, page_changes
+from lectern.sources.vault import Vault, action_items, page_changes
 
 #: check id -> (severity, option or None, function of a vault)
 CHECKS: dict[str, tuple[str, str | None, Callable[[Vault], DataFrame]]] = {}
@@ -301,6 +301,137 @@ where("N11", "F", f"generated.by IS NOT NULL AND NOT generated.by RLIKE r'^(huma
 where("N12", "F", r"NOT path RLIKE r'(^|/)[a-z0-9]+(-[a-z0-9]+)*\.md$'", "file name is not lower-case kebab")
 
 
+# Items, registers, reports and what needs state.
+sql("C16", "D", "SELECT c.kb, c.concept AS path, concat('source dated other than its rule: ', c.resource) AS message FROM {citations} c JOIN {options} o ON o.kb = c.kb AND o.key = 'source_rules' AND c.resource RLIKE substring_index(o.value, ' => ', 1) AND coalesce(c.last_modified, '') <> substring_index(o.value, ' => ', -1)", "source_rules")
+
+
+@check("C41", "F", "category_page_counts")
+def category_counts(v: Vault) -> DataFrame:
+    """A stated number of pages of a chapter that isn't the measured one."""
+    said = v.concepts.select("kb", "path", F.explode(F.regexp_extract_all("bare", F.lit(r"([0-9']+ pages? in the chapter [\w-]+)"), 1)).alias("s"))
+    said = said.select("kb", "path", F.regexp_replace(F.split_part("s", F.lit(" "), F.lit(1)), "'", "").cast("long").alias("said"), F.element_at(F.split("s", " "), -1).alias("chapter"))
+    measured = v.pages.groupBy("kb", "chapter").agg(F.count(F.lit(1)).alias("n"))
+    wrong = said.join(measured, ["kb", "chapter"], "left").where(F.coalesce("n", F.lit(0)) != F.col("said"))
+    return wrong.select("kb", "path", F.concat(F.lit("stated page count of "), "chapter", F.lit(" is "), F.col("said").cast("string"), F.lit(", measured "), F.coalesce("n", F.lit(0)).cast("string")).alias("message"))
+
+
+def items_of(v: Vault, pattern: str) -> DataFrame:
+    """Item rows of files whose path matches, with plain states."""
+    rows = v.files.where(F.col("path").rlike(pattern)).select(F.concat_ws("|", "kb", "path").alias("kb"), "text")
+    items = action_items(rows).withColumn("path", F.split_part("kb", F.lit("|"), F.lit(2))).withColumn("kb", F.split_part("kb", F.lit("|"), F.lit(1)))
+    return items.withColumn("raw_state", F.col("state")).withColumn("state", A.item_state(F.col("state")))
+
+
+@check("C43", "D")
+def stated_counts(v: Vault) -> DataFrame:
+    """A number of open items in prose that isn't the table's."""
+    said = v.files.where("path LIKE '%/questions.md'").select("kb", "path", T.number(F.regexp_extract("text", r"(?i)\b(no|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|[0-9']+) open items?\b", 1)).alias("said")).where("said IS NOT NULL")
+    have = items_of(v, "/questions\\.md$").where("state = 'open'").groupBy("kb", "path").agg(F.count(F.lit(1)).alias("n"))
+    return said.join(have, ["kb", "path"], "left").where(F.coalesce("n", F.lit(0)) != F.col("said")).select("kb", "path", F.lit("open items stated other than in the table").alias("message"))
+
+
+@check("C60i", "D")
+def items_ahead(v: Vault) -> DataFrame:
+    return items_of(v, "/questions\\.md$").where(F.regexp_extract("id", "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1) > v.now[:10]).select("kb", "path", F.concat(F.lit("item dated in the future: "), "id").alias("message"))
+
+
+@check("C61", "F")
+def index_differs(v: Vault) -> DataFrame:
+    """An index whose entries aren't the concepts of its folder."""
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    listed = v.files.where("path LIKE 'Wiki/%/index.md'").select("kb", folder.alias("folder"), F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*[-*]\s+\[[^\]]*\]\(([^)\s/]+\.md)\)"), 1)).alias("name"))
+    there = v.concepts.select("kb", folder.alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name")).join(listed.select("kb", "folder").distinct(), ["kb", "folder"], "left_semi")
+    both = listed.select("*", F.lit(1).alias("a")).join(there.select("*", F.lit(1).alias("b")), ["kb", "folder", "name"], "full_outer").where("a IS NULL OR b IS NULL")
+    return both.select("kb", F.concat("folder", F.lit("/index.md")).alias("path"), F.lit("index differs from its folder").alias("message")).distinct()
+
+
+@check("C62", "F", "root_index_complete")
+def root_index(v: Vault) -> DataFrame:
+    """Folders that the root index doesn't link into."""
+    folders = v.concepts.select("kb", F.split_part("path", F.lit("/"), F.lit(2)).alias("folder")).where("folder NOT LIKE '%.md'").distinct()
+    root = v.files.where("path = 'Wiki/index.md'").select("kb", "text")
+    return folders.join(root, "kb", "left").where(~F.coalesce(F.contains("text", F.concat("folder", F.lit("/"))), F.lit(False))).select("kb", F.lit("Wiki/index.md").alias("path"), F.concat(F.lit("root index lacks "), "folder").alias("message"))
+
+
+@check("C63", "D")
+def unknown_state(v: Vault) -> DataFrame:
+    return items_of(v, "/questions\\.md$").where("state IS NULL").select("kb", "path", F.concat(F.lit("unknown state of an item: "), "raw_state").alias("message"))
+
+
+@check("C64", "D", "questions_closed")
+def closed_file(v: Vault) -> DataFrame:
+    """An id twice or an open item in the closed file, or a closed row left in the open one."""
+    closed, still = items_of(v, "/questions-closed\\.md$"), items_of(v, "/questions\\.md$")
+    twice = closed.groupBy("kb", "path", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kb", "path", F.concat(F.lit("closed twice: "), "id").alias("message"))
+    live = closed.where("state IN ('open', 'deferred')").select("kb", "path", F.concat(F.lit("open item in the closed file: "), "id").alias("message"))
+    left = still.where("state IN ('done', 'dropped')").select("kb", "path", F.concat(F.lit("closed row left: "), "id").alias("message"))
+    return twice.unionByName(live).unionByName(left)
+
+
+sql("C83", "G", r"SELECT kb, '(bundle)' AS path, concat(count(*), ' undated images whose names carry a date') AS message FROM {citations} WHERE last_modified IS NULL AND page RLIKE r'(?i)\.(png|jpe?g|gif|webp)$' AND page RLIKE r'(?<![0-9])(19|20)[0-9]{2}-?[01][0-9]-?[0-3][0-9](?![0-9])' GROUP BY kb")
+sql("C85", "G", "SELECT c.kb, '(bundle)' AS path, concat(count(*), ' citations unverifiable, archive absent') AS message FROM {citations} c LEFT ANTI JOIN (SELECT DISTINCT kb FROM {pages} WHERE layer IN ('OneNote', 'folia')) p ON p.kb = c.kb WHERE " + IN_ARCHIVE + " GROUP BY c.kb")
+sql("C90", "D", "SELECT f.kb, f.path, concat('forbidden here: ', substring_index(o.value, ' => ', -1)) AS message FROM {files} f JOIN {options} o ON o.kb = f.kb AND o.key = 'forbid_in' AND f.path = substring_index(o.value, ' => ', 1) AND f.text RLIKE substring_index(o.value, ' => ', -1)", "forbid_in")
+sql("C92", "D", r"SELECT kb, path, 'snapshot or meeting note among the files' AS message FROM {files} WHERE path RLIKE r'(^|/)(_snapshots|Meeting Notes)/'")
+sql("C96", "D", r"SELECT f.kb, f.path, 'report without a register row' AS message FROM (SELECT kb, path FROM {files} WHERE path RLIKE r'^Outputs/[0-9]{4}-[0-9]{2}-[0-9]{2}[^/]*\.md$') f LEFT JOIN (SELECT kb, concat_ws(' ', collect_list(text)) AS text FROM {files} WHERE path = 'Outputs/REGISTER.md' GROUP BY kb) r ON r.kb = f.kb WHERE NOT coalesce(contains(r.text, substring_index(f.path, '/', -1)), false)")
+sql("C96c", "D", "SELECT kb, concept AS path, concat('cites a report: ', page) AS message FROM {citations} WHERE page LIKE 'Outputs/%'")
+sql("C98", "D", r"SELECT r.kb, r.path, concat('register names a missing file: ', r.t) AS message FROM (SELECT kb, path, explode(regexp_extract_all(text, r'(?m)^\s*[-*|]\s*`([^`]+\.[a-z]+)`', 1)) AS t FROM {files} WHERE path LIKE '%/_INGESTED.md' OR path = 'Outputs/REGISTER.md') r LEFT ANTI JOIN {files} f ON f.kb = r.kb AND (f.path = r.t OR f.path = concat('Outputs/', r.t))")
+
+
+@check("C99", "D")
+def key_figures(v: Vault) -> DataFrame:
+    """Rows of a Key figures section have three cells, a number and a defined footnote."""
+    reports = v.files.where(F.col("path").startswith("Outputs/") & F.col("text").contains("Key figures")).select(F.concat_ws("|", "kb", "path").alias("doc"), "text")
+    lines = W.lines_of(reports)
+    rows = W.section(lines, "Key figures").where(W.is_row(F.col("body")) & ~W.is_separator(F.col("body"))).withColumn("no", F.row_number().over(Window.partitionBy("doc").orderBy("line"))).where("no > 1")
+    cells = W.row_cells(F.col("body"))
+    notes = lines.where(F.col("body").rlike(r"^\[\^[^\]]+\]:")).select("doc", F.regexp_extract("body", r"^\[\^([^\]]+)\]:", 1).alias("label")).distinct()
+    judged = rows.select("doc", "line", F.size(cells).alias("n"), F.coalesce(cells[1].rlike("[0-9]"), F.lit(False)).alias("numeric"), F.regexp_extract("body", r"\[\^([^\]]+)\]", 1).alias("label")).join(notes.withColumn("known", F.lit(True)), ["doc", "label"], "left")
+    fault = F.when(F.col("n") != 3, "not three cells").when(~F.col("numeric"), "no number").when(F.col("known").isNull(), "no defined footnote")
+    return judged.withColumn("fault", fault).where("fault IS NOT NULL").select(F.split_part("doc", F.lit("|"), F.lit(1)).alias("kb"), F.split_part("doc", F.lit("|"), F.lit(2)).alias("path"), F.concat(F.lit("key figures: "), "fault").alias("message"))
+
+
+@check("C101", "F", "house_style")
+def house_style(v: Vault) -> DataFrame:
+    """Words that a kb's style bans (option values), in prose."""
+    banned = v.options.where("key = 'house_style' AND value <> ''").select("kb", F.lower("value").alias("word"))
+    used = v.concepts.select("kb", "path", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("bare"), F.lit(r"((?U)[\w'-]+)"), 1))).alias("word"))
+    return used.join(F.broadcast(banned), ["kb", "word"]).groupBy("kb", "path").agg(F.array_join(F.array_sort(F.collect_set("word")), ", ").alias("words")).select("kb", "path", F.concat(F.lit("banned words: "), "words").alias("message"))
+
+
+def coverage_findings(now: DataFrame, state: DataFrame) -> DataFrame:
+    """Kbs whose coverage was never measured or is stale; a change of mirrored pages alone is a gauge."""
+    both = now.join(state.select("kb", *(F.col(c).alias(f"was_{c}") for c in ("concepts", "citations", "pages", "mirror_pages", "covered"))), "kb", "left")
+    own = (F.col("concepts") != F.col("was_concepts")) | (F.col("citations") != F.col("was_citations")) | (F.col("covered") != F.col("was_covered")) | (F.col("pages") - F.col("mirror_pages") != F.col("was_pages") - F.col("was_mirror_pages"))
+    message = F.when(F.col("was_concepts").isNull(), "coverage never measured").when(own, "coverage is stale").when(F.col("mirror_pages") != F.col("was_mirror_pages"), "coverage differs in mirrored pages alone")
+    severity = F.when(F.col("was_concepts").isNotNull() & ~own, "G").otherwise("D")
+    return both.withColumn("message", message).where("message IS NOT NULL").select("kb", F.lit("COVERAGE.md").alias("path"), F.lit("C65").alias("check_id"), severity.alias("severity"), "message")
+
+
+def pairs_past_grace(unread: DataFrame, files: DataFrame, day: str, grace: int) -> DataFrame:
+    """Unread pairs both of whose concepts (kb, path, modified) have stood longer than the days of grace."""
+    a, b = files.select("kb", F.col("path").alias("a"), F.col("modified").alias("ma")), files.select("kb", F.col("path").alias("b"), F.col("modified").alias("mb"))
+    old = unread.join(a, ["kb", "a"]).join(b, ["kb", "b"]).where(F.datediff(F.lit(day).cast("date"), F.greatest("ma", "mb")) > grace)
+    return old.groupBy("kb").agg(F.count(F.lit(1)).alias("n")).select("kb", F.lit("(bundle)").alias("path"), F.lit("C70").alias("check_id"), F.lit("F").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" pairs unread past grace")).alias("message"))
+
+
+def stamps_behind_history(v: Vault, commits: DataFrame) -> DataFrame:
+    """How many concepts carry a stamp older than their file's last commit (kb, path, committed)."""
+    late = v.concepts.join(commits, ["kb", "path"]).where(F.left("generated.at", F.lit(10)) < F.left("committed", F.lit(10)))
+    return late.groupBy("kb").agg(F.count(F.lit(1)).alias("n")).select("kb", F.lit("(bundle)").alias("path"), F.lit("C82").alias("check_id"), F.lit("G").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" stamps older than the last commit")).alias("message"))
+
+
+def standing_gauges(gauges: DataFrame, before: DataFrame) -> DataFrame:
+    """Gauges that stood in the run before, numbers aside, as findings."""
+    shape = lambda d: d.withColumn("shape", T.message_shape(F.col("message")))
+    again = shape(gauges).join(shape(before).select("kb", "shape").distinct(), ["kb", "shape"], "left_semi")
+    return again.select("kb", "path", F.lit("C86").alias("check_id"), F.lit("F").alias("severity"), F.concat(F.lit("standing: "), "shape").alias("message")).distinct()
+
+
+def package_drift(source: DataFrame, package: DataFrame) -> DataFrame:
+    """Files (path, digest) that a package lacks, has besides, or holds otherwise."""
+    return J.snapshot_diff(source, package)
+
+
 @check("N1", "F")
 def never_written(v: Vault, least: int = 3) -> DataFrame:
     """Capitalised two-word names in three or more concepts that have no concept themselves."""
