@@ -17,7 +17,7 @@ BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 CHUNK_BYTES = 1 << 20
 
 
-def over_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def over_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow with bounded batches."""
     spark = df.sparkSession
     ship(spark)
@@ -31,9 +31,25 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def chunks(batch: pa.RecordBatch, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a (doc_id, text) batch of about `most` bytes of text each."""
-    text = batch.column(1)
+def filtered(docs: DataFrame, judge: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows of docs, with all their columns, whose text passes; judge() makes the function from texts to a mask
+    on a worker. Nothing is shuffled and no id is needed, so repeated and null ids are safe."""
+    at = docs.columns.index("text")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = judge()
+        for batch in batches:
+            for part in chunks(batch, text=at):
+                kept = part.filter(pa.array(passes(part.column(at)), pa.bool_()))
+                if kept.num_rows:
+                    yield kept
+
+    return over_arrow(docs, kernel, docs.schema)
+
+
+def chunks(batch: pa.RecordBatch, most: int = CHUNK_BYTES, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, such as (doc_id, text), of about `most` bytes of text each."""
+    text = batch.column(text)
     sizes = np.asarray(pc.fill_null(pc.binary_length(text), 0), dtype=np.int64)
     start, held = 0, 0
     for i, size in enumerate(sizes):

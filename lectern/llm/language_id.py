@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.arrow import chunks, over_arrow
+from lectern.llm.arrow import chunks, filtered, over_arrow
 from lectern.llm.features import fold_number, fold_words, spans_sum
 
 SAMPLE, MOST_BYTES = 300, 30_000
@@ -130,3 +130,17 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return over_arrow(rows, kernel, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def known_documents(docs: DataFrame, least: float, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is predicted with at least this score."""
+    model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, sample)))
+
+    def judge():
+        def passes(texts: pa.Array) -> np.ndarray:
+            names, score = model.value.predict(texts)
+            return (score >= least) & np.array([n != UNKNOWN for n in names], dtype=bool)
+
+        return passes
+
+    return filtered(docs, judge)

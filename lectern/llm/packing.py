@@ -40,6 +40,8 @@ SHARD_TOKENS = 2_000_000
 QUERY_TERMS, NEIGHBOURS = 12, 48
 K1, B = 1.2, 0.75
 SEQUENCE_BITS = 36
+#: Entries in either half of the cache of stretches; about 200 bytes each.
+STRETCHES = 700_000
 #: What the library's normaliser may treat otherwise than a stretch alone: separators that str.split also splits at.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 LATIN = re.compile("[\x00-\xff]*")
@@ -54,14 +56,14 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.plain = ByteBPE(path)
         self.words = WordCache(self.plain.encode_word)
-        self.stretches = WordCache(self.encode_stretch)
+        self.stretches = WordCache(self.encode_stretch, STRETCHES)
 
     def encode_library(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
     def encode_stretch(self, stretch: str) -> bytes:
         """Latin-1 letters, and a mark behind them, go through the pair table; all else through the library."""
-        if LATIN.fullmatch(stretch):
+        if stretch.isascii() or LATIN.fullmatch(stretch):
             if stretch.isalpha():
                 return self.words[stretch.lower()]
             if stretch[-1] in ".,!?;:" and stretch[:-1].isalpha():
@@ -73,7 +75,7 @@ class WordTokens:
         if ODD_SPACE.search(text):
             return self.encode_library(text)
         # Lower case first makes fewer stretches; it is the normaliser's own for Latin-1, whose letters are all composed.
-        if "<|" not in text and LATIN.fullmatch(text):
+        if "<|" not in text and (text.isascii() or LATIN.fullmatch(text)):
             text = text.lower()
         return b"".join(map(self.stretches.__getitem__, text.split()))
 

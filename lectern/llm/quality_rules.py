@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lectern.llm.arrow import chunks, documents, over_arrow
+from lectern.llm.arrow import chunks, documents, filtered, over_arrow
 from lectern.llm.features import Chunk, labelled_sample, mix, platt, sigmoid, spans_sum
 
 SAMPLE, MOST_BYTES = 3_000, 20_000
@@ -136,23 +136,31 @@ def base_counts(chunk: Chunk, hashes: np.ndarray, texts: list[bytes]) -> dict[st
     }
 
 
+def verdicts(model: Model, texts: pa.Array, keep: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, base failures, verdicts and scores of some texts."""
+    chunk = Chunk(texts)
+    hashes = chunk.word_hashes()
+    joined = chunk.data.tobytes()
+    counts = base_counts(chunk, hashes, [joined[a:b] for a, b in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True)])
+    failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
+    score = model.score(chunk, hashes)
+    return counts, failed, ~failed & (score >= keep), score
+
+
 def assess(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the calibrated score of every row."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", *FOLD, sample)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", *FOLD, sample)))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                chunk = Chunk(part.column(1))
-                hashes = chunk.word_hashes()
-                joined = chunk.data.tobytes()
-                counts = base_counts(chunk, hashes, [joined[a:b] for a, b in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True)])
-                failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
-                score = model.value.score(chunk, hashes)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c.astype(np.int64)) for c in counts.values()), pa.array(failed), pa.array(~failed & (score >= keep)), pa.array(score)],
-                    ["doc_id", *counts, "base_failed", "kept", "score"],
-                )
+                counts, failed, kept, score = verdicts(model.value, part.column(1), keep)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c.astype(np.int64)) for c in counts.values()), pa.array(failed), pa.array(kept), pa.array(score)], ["doc_id", *counts, "base_failed", "kept", "score"])
 
     return over_arrow(documents(docs), kernel, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, that assess() keeps."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", *FOLD, sample)))
+    return filtered(docs, lambda: lambda texts: verdicts(model.value, texts, keep)[2])
