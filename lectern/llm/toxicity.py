@@ -34,9 +34,12 @@ WINDOW, STRIDE = 48, 36
 STRATEGY, MIN_MATCH, SEARCH = zstandard.STRATEGY_BTOPT, 3, 6
 #: Gain from which a window's words are compressed alone; measures of a text;
 #: bytes of ordinary content behind a word that is compressed alone.
-#: Bytes of a word's opening with the space before it; least texts and least ratio of rates for a telling one.
+#: Bytes of a word's opening with the space before it, shorter ones first; least texts, least share of
+#: the toxic texts and least ratio of rates for a telling one.
 NEAR, MEASURES, TAIL = 2, 17, 24
-OPENING, LEAST_TEXTS, LEAST_RATIO = 5, 4, 15
+OPENINGS, LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = (5, 6, 7, 8, 9, 11), 4, 0.02, 15
+#: A missed toxic text costs as much as so many false alarms in the calibration.
+MISS_COST = 2.0
 ORDINARY_BYTES, TOXIC_BYTES = 8_192, 16_384
 FOLD = (5, 0)
 THRESHOLD = 0.5
@@ -130,11 +133,9 @@ class Pair:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
-def openings(data: bytes) -> np.ndarray:
-    """Where a word's opening stands in folded text."""
-    view = np.frombuffer(data, np.uint8)
-    m = len(view) - OPENING + 1
-    return np.flatnonzero(view[:m] == 32) if m > 0 else np.zeros(0, np.int64)
+def openings(word: bytes) -> list[bytes]:
+    """Openings of one word with a space on either side."""
+    return [word[:n] for n in OPENINGS if n <= len(word)]
 
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
@@ -143,15 +144,16 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
     for texts in (toxic, ordinary):
         seen: Counter = Counter()
         for t in texts:
-            seen.update({t[i : i + OPENING] for i in openings(t)})
+            seen.update({o for w in set(t.split()) for o in openings(b" " + w + b" ")})
         counts.append(seen)
     rate = lambda n, of: n / max(len(of), 1)
-    telling = {k for k, n in counts[0].items() if n >= LEAST_TEXTS and b" " not in k[1:-1] and rate(n, toxic) >= LEAST_RATIO * rate(counts[1][k] + 0.5, ordinary)}
+    telling = {k for k, n in counts[0].items() if n >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic)) and rate(n, toxic) >= LEAST_RATIO * rate(counts[1][k] + 0.5, ordinary)}
     words: Counter = Counter()
     for t in toxic:
-        for i in openings(t):
-            if t[i : i + OPENING] in telling:
-                words[t[i : t.find(b" ", i + 1) + 1][:40]] += 1
+        for w in set(t.split()):
+            word = b" " + w[:38] + b" "
+            if any(o in telling for o in openings(word)):
+                words[word] += 1
     kept: list[bytes] = []
     size = 0
     for word, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
@@ -184,9 +186,10 @@ def fit(sample: list[tuple[str, int, int]]) -> Pair:
     z = np.concatenate([(x - pair.shift) / pair.scale, np.ones((len(x), 1))], 1)
     weight = np.zeros(z.shape[1])
     ridge = np.diag([*[1e-2] * (z.shape[1] - 1), 1e-6]) * len(z) / 100
+    cost = np.where(label == 1, MISS_COST, 1.0)
     for _ in range(50):
         p = sigmoid(z @ weight)
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + ridge, z.T @ (p - label) + ridge @ weight)
+        step = np.linalg.solve(z.T @ (z * (cost * p * (1 - p) + 1e-9)[:, None]) + ridge, z.T @ (cost * (p - label)) + ridge @ weight)
         weight = weight - np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-5:
             break
