@@ -92,9 +92,10 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
     # Appends of two runs may hold a digest twice, with the same count.
     counts = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
-    total = F.broadcast(keyed.agg((F.count(F.lit(1)) * F.lit(HOT_SHARE)).alias("most")))
-    frequent = classes.crossJoin(total).where(F.col("n_rows") > F.greatest("most", F.lit(100.0))).select("digest", F.lit(True).alias("hot"))
-    hot = F.broadcast(frequent.join(counts, "digest").select("digest", F.col("n_tokens").alias("hot_tokens")))
+    # The number of rows comes from the files' footers.
+    most = max(docs.count() * HOT_SHARE, 100.0)
+    frequent = classes.where(F.col("n_rows") > most).select("digest")
+    hot = F.broadcast(counts.join(frequent, "digest").select("digest", F.col("n_tokens").alias("hot_tokens")))
     marked = keyed.join(hot, "digest", "left")
     many = marked.where(F.col("hot_tokens").isNotNull()).select("doc_id", "n_bytes", F.col("hot_tokens").alias("n_tokens"))
     rest = marked.where(F.col("hot_tokens").isNull()).drop("hot_tokens").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
