@@ -91,7 +91,7 @@ def q3_contradiction_queue(spark, d):
     return S.unread_pairs(pairs, bodies, readings).select("a", "b", "overlap")
 
 
-@query("""WITH l AS (SELECT l_suppkey AS src, l_partkey % 100 + 1 AS dst FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09), e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM l WHERE src <> dst), n AS (SELECT count(*) AS nodes FROM supplier)
+@query("""WITH l AS (SELECT l_suppkey AS src, l_partkey % 100 + 1 AS dst FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09 AND l_partkey % 100 + 1 IN (SELECT s_suppkey FROM supplier)), e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM l WHERE src <> dst), n AS (SELECT count(*) AS nodes FROM supplier)
 SELECT nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM supplier WHERE s_suppkey NOT IN (SELECT dst FROM l WHERE src <> dst)) AS isolates FROM n""")
 def q12_link_health(spark, d):
     links = table(spark, d, "lineitem").where("l_quantity > 49 AND l_discount > 0.09").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst"))
