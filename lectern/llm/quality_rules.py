@@ -79,36 +79,39 @@ def fit(sample: list[tuple[str, int, int]], rounds: int = 60) -> Model:
     label = np.array([s[1] for s in sample], dtype=float)
     if len(set(label)) < 2:
         return Model(np.zeros((KINDS, BUCKETS)), (1.0, 10.0))
-    rows, cols, vals = [], [], []
-    for at in range(0, len(sample), 200):
-        chunk = Chunk(pa.array([s[0] for s in sample[at : at + 200]]))
+    # One sparse matrix a kind of n-gram, rows in order, so that no index of rows and no sort is held.
+    parts: list[list[list[np.ndarray]]] = [[[], [], []] for _ in range(KINDS)]
+    for at in range(0, len(sample), 100):
+        chunk = Chunk(pa.array([s[0] for s in sample[at : at + 100]]))
         for kind, (buckets, offsets) in enumerate(ngrams(chunk, chunk.word_hashes())):
             lengths = np.diff(offsets)
-            key = np.repeat(np.arange(chunk.n), lengths) * BUCKETS + buckets
-            key, count = np.unique(key, return_counts=True)
-            rows.append((key // BUCKETS + at).astype(np.int32))
-            cols.append((key % BUCKETS + kind * BUCKETS).astype(np.int32))
-            vals.append((count / lengths[key // BUCKETS]).astype(np.float32))
-    rows, cols, vals = map(np.concatenate, (rows, cols, vals))
-    order = np.argsort(rows, kind="stable")
-    rows, cols, vals = rows[order], cols[order], vals[order]
-    ends = np.searchsorted(rows, np.arange(len(sample) + 1))
+            key, count = np.unique(np.repeat(np.arange(chunk.n), lengths) * BUCKETS + buckets, return_counts=True)
+            row = key // BUCKETS
+            for held, own in zip(parts[kind], ((key % BUCKETS).astype(np.int32), (count / lengths[row]).astype(np.float32), np.bincount(row, minlength=chunk.n)), strict=True):
+                held.append(own)
+    kinds = []
+    while parts:
+        cols, vals, sizes = map(np.concatenate, parts.pop(0))
+        kinds.append((cols, vals, sizes, np.concatenate([[0], np.cumsum(sizes)])))
     train = np.array([s[2] > 2 for s in sample])
     balance = np.where(label == 1, 0.5 / max((label[train] == 1).sum(), 1), 0.5 / max((label[train] == 0).sum(), 1)) * train
-    w, bias = np.zeros(KINDS * BUCKETS, np.float32), 0.0
+    w, bias = np.zeros((KINDS, BUCKETS), np.float32), 0.0
     m, v = np.zeros_like(w), np.zeros_like(w)
-    raw = np.zeros(len(sample))
+
+    def raw() -> np.ndarray:
+        return sum(spans_sum(vals * w[kind][cols], ends) for kind, (cols, vals, _, ends) in enumerate(kinds))
+
     for step in range(1, rounds + 1):
-        raw = spans_sum(vals * w[cols], ends) + bias
-        grad = (balance * (sigmoid(raw) - label)).astype(np.float32)
-        g = np.bincount(cols, weights=vals * grad[rows], minlength=len(w)).astype(np.float32)
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        grad = (balance * (sigmoid(raw() + bias) - label)).astype(np.float32)
+        for kind, (cols, vals, sizes, _) in enumerate(kinds):
+            g = np.bincount(cols, weights=vals * np.repeat(grad, sizes), minlength=BUCKETS).astype(np.float32)
+            m[kind], v[kind] = 0.9 * m[kind] + 0.1 * g, 0.99 * v[kind] + 0.01 * g * g
         w -= 0.5 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
         bias -= float(grad.sum())
-    raw = spans_sum(vals * w[cols], ends) + bias
+    score = raw() + bias
     held = ~train if len(set(label[~train])) == 2 else train
-    a, b = platt(raw[held], label[held])
-    return Model(w.reshape(KINDS, BUCKETS), (a, b + a * bias))
+    a, b = platt(score[held], label[held])
+    return Model(w, (a, b + a * bias))
 
 
 def base_counts(chunk: Chunk, hashes: np.ndarray, texts: list[bytes]) -> dict[str, np.ndarray]:
