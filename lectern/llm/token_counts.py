@@ -3,8 +3,9 @@
 The cache holds (tokenizer digest, content digest, count). A call digests
 every text in the JVM, joins the distinct digests to the cache, encodes one
 text of each digest that is missing, appends those counts, and joins the
-counts to the rows. Only digests and ids are shuffled; texts stay with their
-scan. A digest that very many rows share is joined by broadcast, since at most
+counts to the rows. Texts are shuffled once, to meet the ids of the misses
+(which grow with the data and so aren't broadcast); all else that moves is
+digests and ids. A digest that very many rows share is joined by broadcast, since at most
 1 / HOT_SHARE digests can be that frequent; all others by a shuffled join.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated
@@ -73,7 +74,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
 
     # One row a digest; the text to encode is that of the smallest id that has it.
     classes = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"))
-    misses = classes.join(known, "digest", "left_anti").select("doc_id", F.col("digest").alias("wanted"))
+    misses = classes.join(known, "digest", "left_anti").select("doc_id", F.col("digest").alias("wanted")).hint("merge")
     wanted = (
         base.join(misses, base["doc_id"].eqNullSafe(misses["doc_id"]))
         .where(F.unhex(F.sha2("text", 256)) == F.col("wanted"))
