@@ -41,7 +41,7 @@ QUERY_TERMS, NEIGHBOURS = 12, 48
 K1, B = 1.2, 0.75
 SEQUENCE_BITS = 36
 #: Entries in either half of the cache of stretches; about 200 bytes each.
-STRETCHES = 700_000
+STRETCHES = 500_000
 #: What the library's normaliser may treat otherwise than a stretch alone: separators that str.split also splits at.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 LATIN = re.compile("[\x00-\xff]*")
@@ -55,7 +55,6 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.plain = ByteBPE(path)
-        self.words = WordCache(self.plain.encode_word)
         self.stretches = WordCache(self.encode_stretch, STRETCHES)
 
     def encode_library(self, text: str) -> bytes:
@@ -65,9 +64,9 @@ class WordTokens:
         """Latin-1 letters, and a mark behind them, go through the pair table; all else through the library."""
         if stretch.isascii() or LATIN.fullmatch(stretch):
             if stretch.isalpha():
-                return self.words[stretch.lower()]
-            if stretch[-1] in ".,!?;:" and stretch[:-1].isalpha():
-                return self.words[stretch[:-1].lower()] + self.words[stretch[-1]]
+                return self.plain.encode_word(stretch.lower())
+            if len(stretch) > 1 and stretch[-1] in ".,!?;:" and stretch[:-1].isalpha():
+                return self.stretches[stretch[:-1]] + self.stretches[stretch[-1]]
         return self.encode_library(stretch)
 
     def encode(self, text: str) -> bytes:
