@@ -1,6 +1,8 @@
 """The pipeline's stages, each on its own input, against what brute force says of them."""
 
 import corpus_pipeline as P
+from lectern.llm import jaccard_join
+from tests.llm.conftest import prose
 from tests.llm.test_operators import base, grams
 
 
@@ -31,3 +33,39 @@ def test_stages(spark, docs, label_rows, tmp_path):
     assert {r.doc_id for r in packed} == seen
     assert {r.doc_id for r in P.run(spark, path).collect()} == seen
     assert [n for n, _ in P.STAGES] == ["quality rules", "language ID", "n-gram Jaccard join", "packing"]
+
+
+def five(text):
+    words = text.lower().split()
+    return set(zip(*(words[k:] for k in range(5))))
+
+
+def test_near_copies_between_the_thresholds(spark, tmp_path):
+    """Copies under op3's 0.9 of three-word shingles that share 0.8 of their five-word ones."""
+    rows = []
+    for n, at in enumerate((40, 60, 80, 99)):
+        words = prose(7000 + n, 100).split()
+        # One changed word in the middle breaks three and five shingles; two far apart break too many.
+        rows += [(10 * n, " ".join(words)), (10 * n + 1, " ".join([*words[:at], "changed", *words[at + 1 :]]))]
+        rows.append((10 * n + 2, " ".join([*words[:20], "other", *words[21:50], "words", *words[51:]])))
+        rows.append((10 * n + 3, " ".join([*words[:12], "far", *words[13:34], "more", *words[35:66], "apart", *words[67:]])))
+    parent = {i: i for i, _ in rows}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    between = 0
+    for a, x in rows:
+        for b, y in rows:
+            near = 100 * len(five(x) & five(y)) >= 80 * len(five(x) | five(y))
+            between += a < b and near and 100 * len(grams(x) & grams(y)) < 90 * len(grams(x) | grams(y))
+            if near:
+                p, q = sorted((top(a), top(b)))
+                parent[q] = p
+    assert between
+    want = {i for i, _ in rows if top(i) == i}
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in P.near_duplicate_stage(spark, frame, str(tmp_path)).collect()}
+    assert got == want and got != {r.doc_id for r in jaccard_join.jaccard_components(frame).where("doc_id = component_id").collect()}
