@@ -2,11 +2,12 @@
 
 Every token (a run of letters, or a run of other marks, with its case) has a
 sparse random index vector derived from its hash. A token's word vector is its
-own index vector plus the scaled sum of those of its neighbours in the
-training texts. A text is pooled to the mean and the spread of its tokens'
+own index vector plus the scaled sum of those of its neighbours in all
+documents, which needs no label: each task sums its own documents' contexts,
+and Spark adds up the VOCABULARY rows of DIM numbers. A text is pooled to the mean and the spread of its tokens'
 vectors, and a network of one hidden layer, trained in numpy, scores the pool;
-a temperature and bias calibrate it on texts that the training never saw. Fit
-on at most SAMPLE labelled texts of at most MOST_BYTES bytes.
+a temperature and bias calibrate it on texts that the training never saw. Only
+the network is fitted on at most SAMPLE labelled texts of at most MOST_BYTES bytes.
 
 Defined results: a null or empty text pools to zeros and gets the network's
 value for that; repeated rows each get a row; without labels of both kinds
@@ -15,13 +16,13 @@ every score is 0.5; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.arrow import chunks, over_arrow, raw_bytes
+from lectern.llm.arrow import chunks, documents, over_arrow, raw_bytes
 from lectern.llm.features import BASE, fold_number, labelled_sample, mix, platt, powers, sigmoid, spans_sum
 
 SAMPLE, MOST_BYTES = 3_000, 20_000
@@ -64,18 +65,45 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return (seed % U(DIM)).astype(np.int64).reshape(-1, NONZERO), np.where(seed >> U(63), 1.0, -1.0).reshape(-1, NONZERO)
 
 
-def word_vectors(stream: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def add_contexts(context: np.ndarray, bucket: np.ndarray, offsets: np.ndarray) -> None:
+    """Add the neighbours' index vectors of every token to its bucket's row."""
+    place, sign = index_vectors()
+    flat = context.reshape(-1)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    for shift in range(1, REACH + 1):
+        same = doc[shift:] == doc[:-shift]
+        for word, near in ((bucket[shift:][same], bucket[:-shift][same]), (bucket[:-shift][same], bucket[shift:][same])):
+            # Each pair of neighbours once, with its count.
+            pair, times = np.unique(word * VOCABULARY + near, return_counts=True)
+            word, near = pair // VOCABULARY, pair % VOCABULARY
+            for k in range(NONZERO):
+                np.add.at(flat, word * DIM + place[near, k], sign[near, k].astype(np.int64) * times)
+
+
+def corpus_contexts(docs: DataFrame) -> np.ndarray:
+    """Summed context rows of all documents, by bucket."""
+    names = [f"c{k}" for k in range(DIM)]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = np.zeros((VOCABULARY, DIM), np.int64)
+        for batch in batches:
+            for part in chunks(batch):
+                add_contexts(context, *tokens(part.column(1)))
+        seen = np.flatnonzero(context.any(1))
+        for i in range(0, len(seen), 4096):
+            rows = seen[i : i + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(c) for c in context[rows].T.copy())], ["bucket", *names])
+
+    sums = over_arrow(documents(docs), kernel, ", ".join(f"{c} long" for c in ("bucket", *names)))
+    found = sums.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    context = np.zeros((VOCABULARY, DIM))
+    context[found.column("bucket").to_numpy()] = np.stack([found.column(c).to_numpy() for c in names], 1)
+    return context
+
+
+def word_vectors(context: np.ndarray) -> np.ndarray:
     """Own index vectors plus half of the normalised sum of the neighbours'."""
     place, sign = index_vectors()
-    context = np.zeros(VOCABULARY * DIM)
-    for bucket, offsets in stream:
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        for shift in range(1, REACH + 1):
-            same = doc[shift:] == doc[:-shift]
-            for word, near in ((bucket[shift:][same], bucket[:-shift][same]), (bucket[:-shift][same], bucket[shift:][same])):
-                key = (word[:, None] * DIM + place[near]).ravel()
-                context += np.bincount(key, weights=sign[near].ravel(), minlength=len(context))
-    context = context.reshape(VOCABULARY, DIM)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     own = np.zeros((VOCABULARY, DIM))
     for k in range(NONZERO):
@@ -114,14 +142,14 @@ class Network:
         return sigmoid(a * self.raw(pool(self.vectors, *tokens(texts))) + b)
 
 
-def fit(sample: list[tuple[str, int, int]], rounds: int = 300) -> Network:
+def fit(sample: list[tuple[str, int, int]], contexts: Callable[[], np.ndarray], rounds: int = 300) -> Network:
     sample = [s for s in sample if len(s[0].encode()) <= MOST_BYTES]
     label = np.array([s[1] for s in sample], dtype=float)
     width = 2 * DIM + 1
     if len(set(label)) < 2:
         return Network(np.zeros((VOCABULARY, DIM), np.float32), np.zeros(width), np.ones(width), np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, (1.0, 0.0))
     stream = [tokens(pa.array([s[0] for s in sample[i : i + 200]])) for i in range(0, len(sample), 200)]
-    vectors = word_vectors(stream)
+    vectors = word_vectors(contexts())
     pooled = np.concatenate([pool(vectors, *s) for s in stream])
     train = np.array([s[2] > 2 for s in sample])
     shift, scale = pooled[train].mean(0), pooled[train].std(0) + 1e-3
@@ -147,7 +175,7 @@ def fit(sample: list[tuple[str, int, int]], rounds: int = 300) -> Network:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    net = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", *FOLD, sample)))
+    net = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", *FOLD, sample), lambda: corpus_contexts(docs)))
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), (fold_number(doc_id, FOLD[0]) == FOLD[1]).alias("held_out"))
 

@@ -272,3 +272,24 @@ def test_chat_format(spark):
     merged = {r.conv_id: [len(b.texts) for b in r.blocks] for r in chat_format.merge_turns(frame).collect()}
     assert merged[1] == [1, 2, 2] and merged[4] == [2]
     assert chat_format.format_conversations(frame.where("false")).count() == 0
+
+
+def test_word_contexts_cover_all_documents(spark, docs, label_rows):
+    """Contexts by walking all tokens one at a time; documents without a label change what a word means."""
+    import pyarrow as pa
+
+    C = quality_classifier
+    place, sign = C.index_vectors()
+    want = np.zeros((C.VOCABULARY, C.DIM))
+    for _, t in texts():
+        bucket, _ = C.tokens(pa.array([(t or "")[:4000]], pa.string()))
+        for i, b in enumerate(bucket):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(bucket):
+                    np.add.at(want[b], place[bucket[j]], sign[bucket[j]])
+    assert np.array_equal(C.corpus_contexts(docs.withColumn("text", F.substring("text", 1, 4000))), want)
+    probe = spark.createDataFrame([(9000, "quokka " * 30)], "doc_id long, text string")
+    told = spark.createDataFrame([(9100 + i, "quokka stone") for i in range(20)], "doc_id long, text string")
+    few = docs.select("doc_id", "text").where("doc_id < 120 OR doc_id BETWEEN 400 AND 449").unionByName(probe)
+    score = [C.classify(rows, label_rows).where("doc_id = 9000").first().score for rows in (few, few.unionByName(told))]
+    assert abs(score[0] - score[1]) > 1e-6
