@@ -1,16 +1,24 @@
 """Lexical retrieval packing.
 
-Each task packs the documents of its input split, shard after shard, so no
-text is shuffled. A shard holds documents of about SHARD_TOKENS tokens; its
-BM25 inverted index has a posting list for each token id. The next unused
-document seeds a window of LENGTH tokens and its heaviest terms query the
-index; unused neighbours fill the window in order of score, whole ones first,
-and the best one that doesn't fit is cut, its rest seeding the next window. So
-every window but a task's last is full; that one is cut into sequences whose
-lengths are powers of two, which need no padding either.
-
-A sequence's id holds the number of the task's split and its place in it,
-which are the same when a lost task runs again.
+Documents are routed by content before they are packed. A first pass tokenises
+them, writes the ids and counts each token's documents over the whole corpus. A
+document's heaviest BM25 term by these counts that another document has too is
+its route; terms fill shards of about SHARD_TOKENS tokens, and a term with more
+is dealt over several shards by its documents' second terms (and a pair with
+more, by their ids). So shards depend on the documents alone, not on input
+splits, and related documents from anywhere meet in one.
+
+A shard's inverted index has a posting list for each token id, weighed by the
+corpus's statistics. The next unused document seeds a window of LENGTH tokens
+and its heaviest terms query the index; unused neighbours fill the window in
+order of score, whole ones first, and the best one that doesn't fit is cut, its
+rest seeding the next window. Where they leave room, the seed asks again with
+all its terms for all neighbours. Every window but a task's last is full; that
+one is cut into sequences whose lengths are powers of two, which need no padding
+either.
+
+A sequence's id holds the number of the task and its place in it, which are the
+same when a lost task runs again.
 
 Defined results: a null text is empty and consists of the end token; repeated
 rows are each packed; a text longer than a window takes several; extra
@@ -28,10 +36,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm.arrow import chunks, documents, over_arrow
 from lectern.llm.bpe import ByteBPE, WordCache
+from lectern.session import materialise
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH, END = 4096, 2
@@ -84,37 +93,95 @@ def tokens_of(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+class Corpus:
+    """Documents of each token, number of documents and their mean length, over the whole corpus."""
+
+    def __init__(self, frequency: np.ndarray, n: int, mean: float) -> None:
+        self.frequency, self.mean = frequency, mean
+        self.idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
+
+    def weight(self, term: np.ndarray, times: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self.idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * length / self.mean))
+
+    def routes(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The two heaviest terms of each document that another one has too; the end token where there is none."""
+        doc, term, times = terms_of(ids)
+        lengths = np.array([len(x) for x in ids], dtype=np.float64)
+        weight = np.where(self.frequency[term] > 1, self.weight(term, times, lengths[doc]), 0.0)
+        order = np.lexsort((term, -weight, doc))
+        term, weight = np.where(weight > 0, term, END)[order], weight[order]
+        start = np.searchsorted(doc, np.arange(len(ids)))
+        last = np.append(start[1:], len(doc)) - 1
+        return term[start], term[np.minimum(start + 1, last)]
+
+
+def terms_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times) of the distinct terms, in order."""
+    doc = np.repeat(np.arange(len(ids), dtype=np.int64), [len(x) for x in ids])
+    key, times = np.unique((doc << 32) | np.concatenate(ids).astype(np.int64), return_counts=True)
+    return key >> 32, key & 0xFFFFFFFF, times
+
+
+class Shards:
+    """Shard numbers by route, from the tokens of each term and of the pairs of terms that fill much of a shard."""
+
+    def __init__(self, terms: dict[int, int], pairs: dict[tuple[int, int], int], most: int) -> None:
+        self.first: dict[int, tuple[int, int]] = {}
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        shard, held = 0, 0
+        for term in sorted(terms):
+            if 2 * terms[term] <= most:
+                if held >= most:
+                    shard, held = shard + 1, 0
+                self.first[term] = (shard, 1)
+                held += terms[term]
+        shard += 1
+        for pair in sorted(pairs):
+            if 2 * terms[pair[0]] > most and 4 * pairs[pair] > most:
+                self.pairs[pair] = (shard, -(-pairs[pair] // most))
+                shard += self.pairs[pair][1]
+        for term in sorted(terms):
+            if 2 * terms[term] > most:
+                rest = terms[term] - sum(n for pair, n in pairs.items() if pair[0] == term and pair in self.pairs)
+                self.first[term] = (shard, max(1, -(-rest // most)))
+                shard += self.first[term][1]
+
+    def of(self, term: int, second: int, name: int | None) -> int:
+        if found := self.pairs.get((term, second)):
+            return found[0] + zlib.crc32(str(name).encode()) % found[1]
+        first, count = self.first[term]
+        return first + zlib.crc32(b"%d" % second) % count
+
+
 class Index:
-    """BM25 postings of a shard's documents, by token id."""
+    """BM25 postings of a shard's documents, by token id; with statistics of the corpus, or else of the shard."""
 
-    def __init__(self, ids: list[np.ndarray]) -> None:
+    def __init__(self, ids: list[np.ndarray], corpus: Corpus | None = None) -> None:
         self.n = len(ids)
         lengths = np.array([len(x) for x in ids], dtype=np.float64)
-        doc = np.repeat(np.arange(self.n, dtype=np.int64), lengths.astype(np.int64))
-        key, times = np.unique((doc << 32) | np.concatenate(ids).astype(np.int64), return_counts=True)
-        self.doc, term = key >> 32, key & 0xFFFFFFFF
+        self.doc, term, times = terms_of(ids)
         # Terms of document i are those from own[i] to own[i + 1].
         self.own = np.searchsorted(self.doc, np.arange(self.n + 1))
         frequency = np.bincount(term)
-        idf = np.log1p((self.n - frequency + 0.5) / (frequency + 0.5))
-        self.weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[self.doc] / lengths.mean()))
+        corpus = corpus or Corpus(frequency, self.n, lengths.mean())
+        self.weight = corpus.weight(term, times, lengths[self.doc])
         self.term = term
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = self.doc[order], self.weight[order]
         self.starts = np.concatenate([[0], np.cumsum(frequency)])
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share the seed's heaviest terms, best first, ties in order."""
+    def neighbours(self, seed: int, used: np.ndarray, further: bool = False) -> np.ndarray:
+        """Unused documents that share the seed's heaviest terms, best first, ties in order; further, all that share any."""
         mine = slice(self.own[seed], self.own[seed + 1])
         weight = self.weight[mine]
-        top = np.argsort(-weight, kind="stable")[:QUERY_TERMS]
+        top = np.argsort(-weight, kind="stable")[: None if further else QUERY_TERMS]
         score = np.zeros(self.n)
         for t in self.term[mine][top]:
             posts = slice(self.starts[t], self.starts[t + 1])
             score[self.post_doc[posts]] += self.post_weight[posts]
         score[used] = 0
         near = np.flatnonzero(score)
-        if len(near) > NEIGHBOURS:
+        if len(near) > NEIGHBOURS and not further:
             near = near[np.argpartition(-score[near], NEIGHBOURS)[: NEIGHBOURS + 1]]
         return near[np.lexsort((near, -score[near]))]
 
@@ -139,8 +206,11 @@ def windows(sizes: np.ndarray, index: Index, room: int) -> Iterator[list[tuple[i
         if start + take < sizes[seed]:
             rest = (seed, start + take)
         elif room:
-            near = index.neighbours(seed, used)
-            for whole in (True, False):
+            for further, whole in ((False, True), (False, False), (True, True), (True, False)):
+                if not room:
+                    break
+                if whole:
+                    near = index.neighbours(seed, used, further)
                 for n in near:
                     if room and not used[n] and (not whole or sizes[n] <= room):
                         used[n] = True
@@ -162,8 +232,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Packer:
     """Rows of packed pieces for one task."""
 
-    def __init__(self, task: int) -> None:
-        self.task, self.sequence = task, 0
+    def __init__(self, task: int, corpus: Corpus) -> None:
+        self.task, self.sequence, self.corpus = task, 0, corpus
         self.open: list[tuple] = []
         self.filled = 0
 
@@ -171,7 +241,7 @@ class Packer:
         """Rows of the windows that a shard completes; an unfinished one stays open for the next shard."""
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         out: list[tuple] = []
-        for window in windows(sizes, Index(ids), LENGTH - self.filled):
+        for window in windows(sizes, Index(ids, self.corpus), LENGTH - self.filled):
             for doc, start, length in window:
                 self.open.append((names[doc], start, length, ids[doc][start : start + length], len(ids[doc])))
                 self.filled += length
@@ -209,32 +279,84 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids) of every document, and rows (term, count) of each task's documents by token; term -1 counts all
+    its documents, -2 all their tokens."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = tokens_of(path)
+        end = np.uint32(END).tobytes()
+        counts, n, held = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for part in chunks(batch):
+                ids = [np.frombuffer(tokens.encode(text or "") + end, dtype=np.uint32) for text in part.column(1).to_pylist()]
+                times = np.bincount(terms_of(ids)[1], minlength=len(counts))
+                times[: len(counts)] += counts
+                counts, n, held = times, n + len(ids), held + sum(map(len, ids))
+                none = pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), none, none], ["doc_id", "ids", "term", "count"])
+        terms = np.flatnonzero(counts)
+        none = len(terms) + 2
+        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array([*terms, -1, -2], pa.int64()), pa.array([*counts[terms], n, held], pa.int64())], ["doc_id", "ids", "term", "count"])
+
+    return materialise(over_arrow(documents(docs), kernel, "doc_id long, ids binary, term long, count long"), "tokens")
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches with their documents' ids."""
+    for batch in batches:
+        for part in chunks(batch, text=at):
+            yield part, [np.frombuffer(x, dtype="<u4") for x in part.column(at).to_pylist()]
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row for each piece of a document in a sequence."""
-    path = tokenizer or public_tokenizers.path(VOCABULARY)
+    tokens = tokenised(docs, tokenizer or public_tokenizers.path(VOCABULARY))
+    counted = {r["term"]: r["count"] for r in tokens.where("term IS NOT NULL").groupBy("term").agg(F.sum("count").alias("count")).collect()}
+    n, held = counted.pop(-1, 0), counted.pop(-2, 0)
+    frequency = np.zeros(max(counted, default=END) + 1, np.int64)
+    frequency[list(counted)] = list(counted.values())
+    corpus = tokens.sparkSession.sparkContext.broadcast(Corpus(frequency, n, held / max(n, 1)))
+    rows = tokens.where("ids IS NOT NULL").select("doc_id", "ids")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids in parts_of(batches, 1):
+            one, two = corpus.value.routes(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([len(x) for x in ids], pa.int64())], ["one", "two", "n"])
+
+    pairs = materialise(over_arrow(rows, measure, "one long, two long, n long").groupBy("one", "two").agg(F.sum("n").alias("n")), "pairs")
+    # At most a row a token of the vocabulary, and few pairs with a quarter of a shard.
+    by_term = {r["one"]: r["n"] for r in pairs.groupBy("one").agg(F.sum("n").alias("n")).collect()}
+    by_pair = {(r["one"], r["two"]): r["n"] for r in pairs.where(F.col("n") * 4 > shard_tokens).collect()}
+    shards = tokens.sparkSession.sparkContext.broadcast(Shards(by_term, by_pair, shard_tokens))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids in parts_of(batches, 1):
+            keys = zip(*(x.tolist() for x in corpus.value.routes(ids)), part.column(0).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([shards.value.of(*k) for k in keys], pa.int64()), part.column(0), part.column(1)], ["shard", "doc_id", "ids"])
 
     def rows_to_batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens_of(path).encode
-        end = np.uint32(END).tobytes()
-        packer = Packer(TaskContext.get().partitionId())
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(TaskContext.get().partitionId(), corpus.value)
         names: list = []
         ids: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            for part in chunks(batch):
-                for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    names.append(name)
-                    ids.append(np.frombuffer(encode(text or "") + end, dtype=np.uint32))
-                    held += len(ids[-1])
-                if held >= SHARD_TOKENS:
-                    if rows := packer.add(names, ids):
-                        yield rows_to_batch(rows)
+        held, now = 0, None
+        for part, some in parts_of(batches, 2):
+            for shard, name, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), some, strict=True):
+                # Shards that a hash fills far beyond their share are cut, so that a worker's memory is bounded.
+                if names and (shard != now or held >= 2 * shard_tokens):
+                    if out := packer.add(names, ids):
+                        yield rows_to_batch(out)
                     names, ids, held = [], [], 0
-        rows = packer.add(names, ids) if names else []
-        if rows := rows + packer.finish():
-            yield rows_to_batch(rows)
-
-    return over_arrow(documents(docs), kernel, SCHEMA)
+                now = shard
+                names.append(name)
+                ids.append(own)
+                held += len(own)
+        out = packer.add(names, ids) if names else []
+        if out := out + packer.finish():
+            yield rows_to_batch(out)
+
+    routed = over_arrow(rows, route, "shard long, doc_id long, ids binary")
+    return over_arrow(routed.repartition("shard").sortWithinPartitions("shard", "doc_id", "ids"), fill, SCHEMA)

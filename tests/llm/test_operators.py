@@ -293,3 +293,30 @@ def test_word_contexts_cover_all_documents(spark, docs, label_rows):
     few = docs.select("doc_id", "text").where("doc_id < 120 OR doc_id BETWEEN 400 AND 449").unionByName(probe)
     score = [C.classify(rows, label_rows).where("doc_id = 9000").first().score for rows in (few, few.unionByName(told))]
     assert abs(score[0] - score[1]) > 1e-6
+
+
+def test_packing_meets_across_splits(spark):
+    """Documents of one topic, each in another input split, share sequences, whatever the splits."""
+    random = np.random.default_rng(8)
+    common = ["amber", "birch", "stone", "river", "north", "light", "green", "water"]
+    topics = ["quokka", "zeppelin", "marzipan", "bassoon", "glacier", "tungsten", "saffron", "harpoon", "walrus", "monsoon"]
+    rows = [(split * 10 + k, " ".join(random.permutation([topic] * 60 + [str(random.choice(common)) for _ in range(440)]))) for split in range(8) for k, topic in enumerate(topics)]
+    found = []
+    for splits in (8, 3):
+        frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, splits), "doc_id long, text string")
+        got = packing.pack(frame, shard_tokens=9_000).collect()
+        assert {r.doc_id for r in got} == {i for i, _ in rows}
+        sequences = defaultdict(set)
+        for r in got:
+            sequences[r.sequence_id].add(r.doc_id)
+        found.append(Counter(map(frozenset, sequences.values())))
+        met = {i for docs in sequences.values() for i in docs if any(j != i and j % 10 == i % 10 for j in docs)}
+        assert len(met) >= 0.9 * len(rows)
+    assert found[0] == found[1]
+
+
+def test_packing_asks_for_further_neighbours():
+    """A seed with more than NEIGHBOURS short related documents fills its window with them, not with the next in order."""
+    ids = [np.array([7, 8, 9, 5], np.uint32)] + [np.array([100 + i, 101 + i, 102 + i, 103 + i], np.uint32) for i in range(300)] + [np.array([7, 8, 9, 6], np.uint32)] * 100
+    first = next(packing.windows(np.full(len(ids), 4), packing.Index(ids), 4 * 101))
+    assert {d for d, _, _ in first} == {0, *range(301, 401)}
