@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
 Texts are folded to lower case with every run of white space and ASCII marks
-as one space. Two zstandard dictionaries are trained on labelled texts: one on
-windows of ordinary text, the other on that and on the words that set toxic
-text apart, which are those whose opening bytes stand in many more toxic than
-ordinary texts. Every window of a text is compressed with both; how much
+as one space. There are two zstandard dictionaries: one trained on pieces of
+ordinary text, the other the same content and a raw lexicon of the words that
+set toxic text apart, which are those whose opening bytes stand in many more
+toxic than ordinary texts; zstandard's own training on toxic windows finds far
+fewer toxic texts (README). Every window of a text is compressed with both; how much
 shorter the toxic dictionary makes it is the window's distance. A logistic
 calibration over a text's distances (the largest ones, and the shares beyond
 fixed steps) gives the score. It is fitted on training texts that the
@@ -34,10 +35,10 @@ WINDOW, STRIDE = 48, 36
 STRATEGY, MIN_MATCH, SEARCH = zstandard.STRATEGY_BTOPT, 3, 6
 #: Gain from which a window's words are compressed alone; measures of a text;
 #: bytes of ordinary content behind a word that is compressed alone.
-#: Bytes of a word's opening with the space before it, shorter ones first; least texts, least share of
-#: the toxic texts and least ratio of rates for a telling one.
+#: Bytes of a word's opening with the space before it, shorter ones first; least texts and least ratio of rates for a
+#: telling one. No share of the toxic texts is asked for, so a rare term counts as soon as so few texts have it.
 NEAR, MEASURES, TAIL = 2, 17, 24
-OPENINGS, LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = (5, 6, 7, 8, 9, 11), 4, 0.02, 15
+OPENINGS, LEAST_TEXTS, LEAST_RATIO = (5, 6, 7, 8, 9, 11), 4, 15
 #: A missed toxic text costs as much as so many false alarms in the calibration.
 MISS_COST = 2.0
 ORDINARY_BYTES, TOXIC_BYTES = 8_192, 16_384
@@ -147,7 +148,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
             seen.update({o for w in set(t.split()) for o in openings(b" " + w + b" ")})
         counts.append(seen)
     rate = lambda n, of: n / max(len(of), 1)
-    telling = {k for k, n in counts[0].items() if n >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic)) and rate(n, toxic) >= LEAST_RATIO * rate(counts[1][k] + 0.5, ordinary)}
+    telling = {k for k, n in counts[0].items() if n >= LEAST_TEXTS and rate(n, toxic) >= LEAST_RATIO * rate(counts[1][k] + 0.5, ordinary)}
     words: Counter = Counter()
     for t in toxic:
         for w in set(t.split()):

@@ -320,3 +320,14 @@ def test_packing_asks_for_further_neighbours():
     ids = [np.array([7, 8, 9, 5], np.uint32)] + [np.array([100 + i, 101 + i, 102 + i, 103 + i], np.uint32) for i in range(300)] + [np.array([7, 8, 9, 6], np.uint32)] * 100
     first = next(packing.windows(np.full(len(ids), 4), packing.Index(ids), 4 * 101))
     assert {d for d, _, _ in first} == {0, *range(301, 401)}
+
+
+def test_toxic_lexicon_keeps_rare_terms():
+    """Terms that five of 400 toxic texts have, a little over 1 %, stand in the toxic dictionary, each of them."""
+    from tests.llm.conftest import prose
+
+    rare = [("zyx" + "abcdefgh"[k] * 4 + "qv").encode() for k in range(8)]
+    toxic = [b" " + prose(i, 30).encode() + b" " + (rare[i // 5] if i < 40 else b"vermin") + b" " for i in range(400)]
+    ordinary = [b" " + prose(1000 + i, 30).encode() + b" " for i in range(800)]
+    lexicon = toxicity.train_dictionaries(toxic, ordinary)[1]
+    assert all(b" " + w + b" " in lexicon for w in [*rare, b"vermin"])
