@@ -3,11 +3,11 @@
 For each language the bytes of its training texts fill a context tree of
 depth ORDER. A byte's code length is that of the longest context that knows
 it, after the escapes of the longer ones (escape method C, no exclusions),
-with a uniform code below. The statistics are frozen after training, so the
-code length of any (context, byte) is worked out once, for all languages side
-by side; a text's code length is then a sum of table rows over all its bytes,
-and the language with the shortest code wins. Bytes rare in the training texts
-share one symbol, which costs all languages alike.
+with a uniform code over all 256 bytes below. The statistics are frozen after
+training. A language's tree keeps only the contexts that occur, as sorted keys
+with their code lengths, so its order is the same however many languages there
+are. A chunk's distinct (context, byte) keys are looked up once; a text's code
+length is a sum over all its bytes, and the language with the shortest code wins.
 
 Trained on about SAMPLE texts of each language, chosen by a hash of the id.
 
@@ -29,38 +29,70 @@ from lectern.llm.arrow import chunks, filtered, over_arrow
 from lectern.llm.features import fold_number, fold_words, spans_sum
 
 SAMPLE, MOST_BYTES = 300, 30_000
-ORDER, SYMBOLS = 3, 44
-#: Largest table; with very many languages the contexts get shorter.
-TABLE_BYTES = 128 << 20
+#: Bytes of context; with the byte itself a key has 32 bits.
+ORDER, SYMBOLS = 3, 256
 FOLD = (3, 1)
 UNKNOWN = "und"
 #: A score weighs the evidence of at most so many bytes.
 EVIDENCE = 40
 
 
+class Tree:
+    """One language's contexts of each length: sorted keys and code lengths in bits."""
+
+    def __init__(self, place: np.ndarray) -> None:
+        self.levels = []
+        for k in range(ORDER + 1):
+            gram, times = np.unique(tail(place, k), return_counts=True)
+            context, start, owner = np.unique(gram >> np.uint32(8), return_index=True, return_inverse=True)
+            total, kinds = np.add.reduceat(times, start), np.diff(np.append(start, len(gram)))
+            own = -np.log2(times / (total + kinds)[owner])
+            self.levels.append((gram, own, context, -np.log2(kinds / (total + kinds))))
+
+    def bits(self, keys: np.ndarray) -> np.ndarray:
+        """Code lengths of keys of ORDER bytes of context and one byte."""
+        bits = np.full(len(keys), np.log2(SYMBOLS))
+        for k, (gram, own, context, escape) in enumerate(self.levels):
+            key = tail(keys, k)
+            at = np.minimum(np.searchsorted(gram, key), len(gram) - 1)
+            over = key >> np.uint32(8)
+            above = np.minimum(np.searchsorted(context, over), len(context) - 1)
+            bits = np.where(gram[at] == key, own[at], bits + np.where(context[above] == over, escape[above], 0.0))
+        return bits
+
+
+def tail(keys: np.ndarray, k: int) -> np.ndarray:
+    """The last k bytes of context and the byte itself."""
+    return keys & np.uint32(256 ** (k + 1) - 1)
+
+
+def places(data: bytes, offsets: np.ndarray) -> np.ndarray:
+    """Keys of every byte; contexts begin anew, as if behind spaces, with each text."""
+    codes = np.frombuffer(data, np.uint8).astype(np.uint32)
+    key = codes.copy()
+    position = np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets))
+    for back in range(1, ORDER + 1):
+        earlier = np.full(len(codes), 32, np.uint32)
+        earlier[back:] = np.where(position[back:] >= back, codes[:-back], 32)
+        key |= earlier << np.uint32(8 * back)
+    return key
+
+
 class Contexts:
-    """Code lengths in bits, by context and symbol and language."""
-
-    def __init__(self, names: list[str], symbol: np.ndarray, count: int, order: int, table: np.ndarray) -> None:
-        self.names, self.symbol, self.count, self.order, self.table = names, symbol, count, order, table
-
-    def places(self, data: bytes, offsets: np.ndarray) -> np.ndarray:
-        """Table rows of every byte; contexts begin anew, as if behind spaces, with each text."""
-        codes = self.symbol[np.frombuffer(data, np.uint8)].astype(np.int32)
-        blank = int(self.symbol[32])
-        place = codes.copy()
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        position = np.arange(len(codes)) - offsets[doc] if len(codes) else np.zeros(0, np.int64)
-        for back in range(1, self.order + 1):
-            earlier = np.full(len(codes), blank, np.int32)
-            earlier[back:] = np.where(position[back:] >= back, codes[:-back], blank)
-            place += earlier * np.int32(self.count**back)
-        return place
+    """The languages' trees."""
+
+    count, order = SYMBOLS, ORDER
+
+    def __init__(self, names: list[str], trees: list[Tree]) -> None:
+        self.names, self.trees = names, trees
 
     def lengths(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Code lengths of each text by language, bytes, and whether it has a letter."""
         data, offsets = fold_words(texts)
-        bits = spans_sum(self.table[self.places(data, offsets)], offsets) if len(data) else np.zeros((len(texts), len(self.names)))
+        bits = np.zeros((len(texts), len(self.names)))
+        keys, which = np.unique(places(data, offsets), return_inverse=True)
+        for at, tree in enumerate(self.trees):
+            bits[:, at] = spans_sum(tree.bits(keys)[which], offsets)
         view = np.frombuffer(data, np.uint8)
         letters = spans_sum(((view >= 97) & (view <= 122)).astype(np.int64), offsets) > 0
         for i in np.flatnonzero(~letters):
@@ -81,29 +113,7 @@ class Contexts:
 def train(sample: list[tuple[str, str]]) -> Contexts:
     """Context trees from (text, language) rows."""
     names = sorted({lang for _, lang in sample})
-    streams = [fold_words(pa.array([t for t, lang in sample if lang == name])) for name in names]
-    seen = sum((np.bincount(np.frombuffer(d, np.uint8), minlength=256) for d, _ in streams), np.zeros(256, np.int64))
-    seen[32] += 1
-    common = np.argsort(-seen, kind="stable")[: SYMBOLS - 1]
-    common = common[seen[common] > 0]
-    symbol = np.zeros(256, np.int64)
-    symbol[common] = np.arange(1, len(common) + 1)
-    count = len(common) + 1
-    order = next(k for k in range(ORDER, -1, -1) if k == 0 or count ** (k + 1) * max(len(names), 1) * 4 <= TABLE_BYTES)
-    whole = Contexts(names, symbol, count, order, np.zeros((count ** (order + 1), len(names)), np.float32))
-    for at, (data, offsets) in enumerate(streams):
-        place = whole.places(data, offsets)
-        bits = np.full(count, np.log2(count))
-        for k in range(order + 1):
-            times = np.bincount(place % count ** (k + 1), minlength=count ** (k + 1)).reshape(-1, count)
-            total, kinds = times.sum(1, keepdims=True), (times > 0).sum(1, keepdims=True)
-            escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
-            shorter = np.tile(bits.reshape(-1, count), (count, 1)) if k else bits.reshape(1, count)
-            with np.errstate(divide="ignore"):
-                own = -np.log2(times / np.maximum(total + kinds, 1))
-            bits = np.where(times > 0, own, escape + shorter)
-        whole.table[:, at] = bits.ravel()
-    return whole
+    return Contexts(names, [Tree(places(*fold_words(pa.array([t for t, lang in sample if lang == name])))) for name in names])
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:

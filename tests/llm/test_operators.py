@@ -331,3 +331,22 @@ def test_toxic_lexicon_keeps_rare_terms():
     ordinary = [b" " + prose(1000 + i, 30).encode() + b" " for i in range(800)]
     lexicon = toxicity.train_dictionaries(toxic, ordinary)[1]
     assert all(b" " + w + b" " in lexicon for w in [*rare, b"vermin"])
+
+
+def test_language_order_is_fixed_and_bytes_are_kept_apart():
+    """With twelve languages, some beyond Latin, code lengths are still of order 3 over all 256 bytes."""
+    import pyarrow as pa
+
+    from lectern.llm.features import fold_words
+
+    lines = "the cat sat|le chat est|der hund und|el gato come|o gato come|il gatto siede|кот сидит тут|кіт сидить тут|η γάτα εδώ|猫在这里坐|חתול יושב כאן|القط يجلس هنا"
+    sample = [(t, f"l{i:02d}") for i, t in enumerate(lines.split("|"))]
+    model = language_id.train(sample)
+    probe = pa.array(["кот и кіт", "猫 cat", "γάτα", None, ""])
+    bits, _, _ = model.lengths(probe)
+    data, at = fold_words(probe)
+    for j, (t, _) in enumerate(sample):
+        stream = fold_words(pa.array([t]))[0]
+        for i in range(len(probe)):
+            assert abs(bits[i, j] - ppm_bits([stream], data[at[i] : at[i + 1]], 256, 3)) < 1e-3
+    assert model.predict(pa.array([t for t, _ in sample]))[0] == [lang for _, lang in sample]
