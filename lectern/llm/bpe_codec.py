@@ -29,10 +29,9 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         bpe = load(path)
         for batch in batches:
             for part in chunks(batch):
-                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
+                ids, ends = bpe.encode_texts(part.column(1))
+                at = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
     return over_arrow(documents(docs), kernel, "doc_id long, ids array<int>")
 
@@ -59,9 +58,8 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         bpe = load(path)
         for batch in batches:
             for part in chunks(batch):
-                encoded = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                ids = np.concatenate([*encoded, np.zeros(0, np.uint32)]).astype(np.int64)
-                last = np.cumsum([len(x) for x in encoded])
+                ids, last = bpe.encode_texts(part.column(1))
+                ids = ids.astype(np.int64)
                 digits, digit_ends = bpe.digits(ids)
                 data, data_ends = bpe.decode_bytes(ids)
                 at = lambda ends: np.concatenate([[0], np.concatenate([[0], ends])[last]])

@@ -45,6 +45,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def words_between(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each byte is white space, and the starts and ends of the words."""
+    space = SPACE[data]
+    if not len(data):
+        return space, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before, after = np.empty(len(data), bool), np.empty(len(data), bool)
+    before[0], before[1:] = True, space[:-1]
+    before |= edge[:-1]
+    after[-1], after[:-1] = True, space[1:]
+    after |= edge[1:]
+    return space, np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 class Chunk:
     """Words of the texts in a chunk: starts, ends and texts of the words as arrays."""
 
@@ -53,31 +76,14 @@ class Chunk:
         if lower:
             self.data = LOWER[self.data]
         self.n = len(texts)
-        space = SPACE[self.data]
-        edge = np.zeros(len(self.data) + 1, bool)
-        edge[self.offsets] = True
-        before = np.empty(len(self.data), bool)
-        if len(before):
-            before[0], before[1:] = True, space[:-1]
-            before |= edge[:-1]
-            after = np.empty(len(self.data), bool)
-            after[-1], after[:-1] = True, space[1:]
-            after |= edge[1:]
-            self.starts = np.flatnonzero(~space & before)
-            self.ends = np.flatnonzero(~space & after) + 1
-        else:
-            self.starts = self.ends = np.zeros(0, np.int64)
-        self.space = space
+        self.space, self.starts, self.ends = words_between(self.data, self.offsets)
         self.word_doc = np.searchsorted(self.offsets, self.starts, side="right") - 1
         # Words of text i are first[i] to first[i + 1].
         self.first = np.searchsorted(self.starts, self.offsets)
 
     def word_hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        up, down = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return span_hashes(self.data, self.starts, self.ends)
 
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts (word numbers) and hashes of each run of `width` words in one text."""

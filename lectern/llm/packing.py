@@ -27,10 +27,8 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -39,58 +37,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm.arrow import chunks, documents, over_arrow
-from lectern.llm.bpe import ByteBPE, WordCache
+from lectern.llm.bpe import load
 from lectern.session import materialise
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH, END = 4096, 2
-SHARD_TOKENS = 2_000_000
-#: Terms of a seed that query the index, and neighbours asked for.
+#: Tokens of a shard; a worker holds about 60 bytes a token of one shard.
+SHARD_TOKENS = 1_000_000
+#: Terms of a seed that query the index first, and neighbours asked for; where they leave room all terms and all neighbours follow.
 QUERY_TERMS, NEIGHBOURS = 12, 48
 K1, B = 1.2, 0.75
 SEQUENCE_BITS = 36
-#: Entries in either half of the cache of stretches; about 200 bytes each.
-STRETCHES = 500_000
-#: What the library's normaliser may treat otherwise than a stretch alone: separators that str.split also splits at.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-LATIN = re.compile("[\x00-\xff]*")
-
-
-class WordTokens:
-    """Token ids of texts under a word vocabulary, through a cache of stretches between white space."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.plain = ByteBPE(path)
-        self.stretches = WordCache(self.encode_stretch, STRETCHES)
-
-    def encode_library(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
-
-    def encode_stretch(self, stretch: str) -> bytes:
-        """Latin-1 letters, and a mark behind them, go through the pair table; all else through the library."""
-        if stretch.isascii() or LATIN.fullmatch(stretch):
-            if stretch.isalpha():
-                return self.plain.encode_word(stretch.lower())
-            if len(stretch) > 1 and stretch[-1] in ".,!?;:" and stretch[:-1].isalpha():
-                return self.stretches[stretch[:-1]] + self.stretches[stretch[-1]]
-        return self.encode_library(stretch)
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian uint32 ids; special tokens' strings are special tokens, as in the library."""
-        if ODD_SPACE.search(text):
-            return self.encode_library(text)
-        # Lower case first makes fewer stretches; it is the normaliser's own for Latin-1, whose letters are all composed.
-        if "<|" not in text and (text.isascii() or LATIN.fullmatch(text)):
-            text = text.lower()
-        return b"".join(map(self.stretches.__getitem__, text.split()))
-
-
-@lru_cache(maxsize=2)
-def tokens_of(path: str) -> WordTokens:
-    return WordTokens(path)
 
 
 class Corpus:
@@ -103,22 +60,31 @@ class Corpus:
     def weight(self, term: np.ndarray, times: np.ndarray, length: np.ndarray) -> np.ndarray:
         return self.idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * length / self.mean))
 
-    def routes(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def routes(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The two heaviest terms of each document that another one has too; the end token where there is none."""
-        doc, term, times = terms_of(ids)
-        lengths = np.array([len(x) for x in ids], dtype=np.float64)
+        doc, term, times = terms_of(ids, offsets)
+        lengths = np.diff(offsets).astype(np.float64)
         weight = np.where(self.frequency[term] > 1, self.weight(term, times, lengths[doc]), 0.0)
-        order = np.lexsort((term, -weight, doc))
-        term, weight = np.where(weight > 0, term, END)[order], weight[order]
-        start = np.searchsorted(doc, np.arange(len(ids)))
-        last = np.append(start[1:], len(doc)) - 1
-        return term[start], term[np.minimum(start + 1, last)]
-
-
-def terms_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start = np.searchsorted(doc, np.arange(len(lengths)))
+        out = []
+        for _ in range(2):
+            # Of equally heavy terms the first one, as terms are in order.
+            best = np.maximum.reduceat(weight, start)
+            place = np.flatnonzero(weight == best[doc])
+            place = place[np.searchsorted(doc[place], np.arange(len(lengths)))]
+            out.append(np.where(best > 0, term[place], END))
+            weight[place] = 0
+        return out[0], out[1]
+
+
+def terms_of(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, times) of the distinct terms, in order."""
-    doc = np.repeat(np.arange(len(ids), dtype=np.int64), [len(x) for x in ids])
-    key, times = np.unique((doc << 32) | np.concatenate(ids).astype(np.int64), return_counts=True)
+    doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
+    key = (doc << 32) | ids
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times = np.diff(first, append=len(key))
+    key = key[first]
     return key >> 32, key & 0xFFFFFFFF, times
 
 
@@ -156,18 +122,20 @@ class Shards:
 class Index:
     """BM25 postings of a shard's documents, by token id; with statistics of the corpus, or else of the shard."""
 
-    def __init__(self, ids: list[np.ndarray], corpus: Corpus | None = None) -> None:
-        self.n = len(ids)
-        lengths = np.array([len(x) for x in ids], dtype=np.float64)
-        self.doc, term, times = terms_of(ids)
+    def __init__(self, ids: np.ndarray | list[np.ndarray], offsets: np.ndarray | None = None, corpus: Corpus | None = None) -> None:
+        if offsets is None:
+            ids, offsets = np.concatenate(ids), np.concatenate([[0], np.cumsum(list(map(len, ids)))])
+        self.n = len(offsets) - 1
+        lengths = np.diff(offsets).astype(np.float64)
+        doc, term, times = terms_of(ids, offsets)
         # Terms of document i are those from own[i] to own[i + 1].
-        self.own = np.searchsorted(self.doc, np.arange(self.n + 1))
+        self.own = np.searchsorted(doc, np.arange(self.n + 1))
         frequency = np.bincount(term)
         corpus = corpus or Corpus(frequency, self.n, lengths.mean())
-        self.weight = corpus.weight(term, times, lengths[self.doc])
-        self.term = term
-        order = np.argsort(term, kind="stable")
-        self.post_doc, self.post_weight = self.doc[order], self.weight[order]
+        self.weight = corpus.weight(term, times, lengths[doc]).astype(np.float32)
+        self.term = term.astype(np.int32)
+        order = np.argsort(self.term, kind="stable")
+        self.post_doc, self.post_weight = doc[order].astype(np.int32), self.weight[order]
         self.starts = np.concatenate([[0], np.cumsum(frequency)])
 
     def neighbours(self, seed: int, used: np.ndarray, further: bool = False) -> np.ndarray:
@@ -237,17 +205,20 @@ class Packer:
         self.open: list[tuple] = []
         self.filled = 0
 
-    def add(self, names: list, ids: list[np.ndarray]) -> list[tuple]:
+    def add(self, names: list, ids: np.ndarray, offsets: np.ndarray) -> list[tuple]:
         """Rows of the windows that a shard completes; an unfinished one stays open for the next shard."""
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        sizes = np.diff(offsets)
         out: list[tuple] = []
-        for window in windows(sizes, Index(ids, self.corpus), LENGTH - self.filled):
+        for window in windows(sizes, Index(ids, offsets, self.corpus), LENGTH - self.filled):
             for doc, start, length in window:
-                self.open.append((names[doc], start, length, ids[doc][start : start + length], len(ids[doc])))
+                at = offsets[doc] + start
+                self.open.append((names[doc], start, length, ids[at : at + length], int(sizes[doc])))
                 self.filled += length
             if self.filled == LENGTH:
                 out += self.close(self.open)
                 self.open, self.filled = [], 0
+        # What stays open mustn't hold the shard.
+        self.open = [(*x[:3], x[3].copy(), x[4]) for x in self.open]
         return out
 
     def close(self, pieces: list[tuple]) -> list[tuple]:
@@ -279,22 +250,24 @@ class Packer:
         return out
 
 
-def tokenised(docs: DataFrame, path: str) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, kind: np.dtype) -> DataFrame:
     """(doc_id, ids) of every document, and rows (term, count) of each task's documents by token; term -1 counts all
-    its documents, -2 all their tokens."""
+    its documents, -2 all their tokens. Ids take two bytes where the vocabulary allows it."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_of(path)
-        end = np.uint32(END).tobytes()
+        bpe = load(path)
         counts, n, held = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             for part in chunks(batch):
-                ids = [np.frombuffer(tokens.encode(text or "") + end, dtype=np.uint32) for text in part.column(1).to_pylist()]
-                times = np.bincount(terms_of(ids)[1], minlength=len(counts))
+                found, ends = bpe.encode_texts(part.column(1))
+                ids = np.full(len(found) + part.num_rows, END, kind)
+                ids[np.arange(len(found)) + np.repeat(np.arange(part.num_rows), np.diff(ends, prepend=0))] = found
+                offsets = np.concatenate([[0], ends + 1 + np.arange(part.num_rows)])
+                times = np.bincount(terms_of(ids, offsets)[1], minlength=len(counts))
                 times[: len(counts)] += counts
-                counts, n, held = times, n + len(ids), held + sum(map(len, ids))
-                none = pa.nulls(len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), none, none], ["doc_id", "ids", "term", "count"])
+                counts, n, held = times, n + part.num_rows, held + len(ids)
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), binary(ids, offsets), none, none], ["doc_id", "ids", "term", "count"])
         terms = np.flatnonzero(counts)
         none = len(terms) + 2
         yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array([*terms, -1, -2], pa.int64()), pa.array([*counts[terms], n, held], pa.int64())], ["doc_id", "ids", "term", "count"])
@@ -302,16 +275,23 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     return materialise(over_arrow(documents(docs), kernel, "doc_id long, ids binary, term long, count long"), "tokens")
 
 
-def parts_of(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of the batches with their documents' ids."""
-    for batch in batches:
-        for part in chunks(batch, text=at):
-            yield part, [np.frombuffer(x, dtype="<u4") for x in part.column(at).to_pylist()]
+def binary(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    at = (offsets * ids.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(at), pa.py_buffer(ids)])
+
+
+def ids_in(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All documents' ids, and n + 1 offsets."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind), (at - at[0]) // kind.itemsize
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row for each piece of a document in a sequence."""
-    tokens = tokenised(docs, tokenizer or public_tokenizers.path(VOCABULARY))
+    path = tokenizer or public_tokenizers.path(VOCABULARY)
+    kind = np.dtype("<u2" if len(load(path).decode_offsets) <= 1 << 16 else "<u4")
+    tokens = tokenised(docs, path, kind)
+    # At most a row a token of the vocabulary.
     counted = {r["term"]: r["count"] for r in tokens.where("term IS NOT NULL").groupBy("term").agg(F.sum("count").alias("count")).collect()}
     n, held = counted.pop(-1, 0), counted.pop(-2, 0)
     frequency = np.zeros(max(counted, default=END) + 1, np.int64)
@@ -320,9 +300,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = SHAR
     rows = tokens.where("ids IS NOT NULL").select("doc_id", "ids")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids in parts_of(batches, 1):
-            one, two = corpus.value.routes(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([len(x) for x in ids], pa.int64())], ["one", "two", "n"])
+        for batch in batches:
+            for part in chunks(batch, text=1):
+                ids, offsets = ids_in(part.column(1), kind)
+                one, two = corpus.value.routes(ids, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.diff(offsets))], ["one", "two", "n"])
 
     pairs = materialise(over_arrow(rows, measure, "one long, two long, n long").groupBy("one", "two").agg(F.sum("n").alias("n")), "pairs")
     # At most a row a token of the vocabulary, and few pairs with a quarter of a shard.
@@ -331,9 +313,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = SHAR
     shards = tokens.sparkSession.sparkContext.broadcast(Shards(by_term, by_pair, shard_tokens))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids in parts_of(batches, 1):
-            keys = zip(*(x.tolist() for x in corpus.value.routes(ids)), part.column(0).to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([shards.value.of(*k) for k in keys], pa.int64()), part.column(0), part.column(1)], ["shard", "doc_id", "ids"])
+        for batch in batches:
+            for part in chunks(batch, text=1):
+                one, two = corpus.value.routes(*ids_in(part.column(1), kind))
+                keys = zip(one.tolist(), two.tolist(), part.column(0).to_pylist(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([shards.value.of(*k) for k in keys], pa.int64()), part.column(0), part.column(1)], ["shard", "doc_id", "ids"])
 
     def rows_to_batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
@@ -341,21 +325,39 @@ def pack(docs: DataFrame, tokenizer: str | None = None, shard_tokens: int = SHAR
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId(), corpus.value)
         names: list = []
-        ids: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         held, now = 0, None
-        for part, some in parts_of(batches, 2):
-            for shard, name, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), some, strict=True):
-                # Shards that a hash fills far beyond their share are cut, so that a worker's memory is bounded.
-                if names and (shard != now or held >= 2 * shard_tokens):
-                    if out := packer.add(names, ids):
-                        yield rows_to_batch(out)
-                    names, ids, held = [], [], 0
-                now = shard
-                names.append(name)
-                ids.append(own)
-                held += len(own)
-        out = packer.add(names, ids) if names else []
-        if out := out + packer.finish():
+
+        def packed() -> list[tuple]:
+            if not names:
+                return []
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            out = packer.add(list(names), np.concatenate(parts), offsets)
+            for kept in (names, parts, sizes):
+                kept.clear()
+            return out
+
+        for batch in batches:
+            for part in chunks(batch, text=2):
+                shard = np.asarray(part.column(0))
+                ids, offsets = ids_in(part.column(2), kind)
+                start = 0
+                while start < len(shard):
+                    # Rows of one shard; those that a hash fills far beyond their share are cut, so that a worker's memory is bounded.
+                    if names and (shard[start] != now or held >= 2 * shard_tokens):
+                        if out := packed():
+                            yield rows_to_batch(out)
+                        held = 0
+                    now = shard[start]
+                    end = int(np.searchsorted(shard[start:], now, side="right")) + start
+                    end = max(start + 1, min(end, int(np.searchsorted(offsets, offsets[start] + 2 * shard_tokens - held))))
+                    names += part.column(1)[start:end].to_pylist()
+                    parts.append(ids[offsets[start] : offsets[end]].copy())
+                    sizes.append(np.diff(offsets[start : end + 1]))
+                    held += int(offsets[end] - offsets[start])
+                    start = end
+        if out := packed() + packer.finish():
             yield rows_to_batch(out)
 
     routed = over_arrow(rows, route, "shard long, doc_id long, ids binary")

@@ -45,11 +45,11 @@ def token_counter(path: str):
     """A function from texts to token counts, for one worker."""
     if path.endswith(".json"):
         bpe = load(path)
-        return lambda texts: [len(bpe.encode(t)) for t in texts]
+        return lambda texts: np.diff(bpe.encode_texts(texts)[1], prepend=0)
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+    return lambda texts: [len(x) for x in model.encode(texts.to_pylist(), num_threads=1)]
 
 
 def read_cache(spark, cache: str) -> DataFrame:
@@ -85,7 +85,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
         count = token_counter(path)
         for batch in batches:
             for part in chunks(batch):
-                counts = count(part.column(1).to_pylist())
+                counts = count(part.column(1))
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts), pa.string()), part.column(0).cast(pa.binary()), pa.array(np.asarray(counts, dtype=np.int64))], ["version", "digest", "n_tokens"])
 
     # Repeated rows of one id give their digest more than once.
