@@ -11,13 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
+from lectern.functions.fixed import ONES, PART_WORDS, QUOTE_WORDS, SETTLED, TENS
+
 #: The two kinds of month names, English and German.
 MONTHS = (
     "january february march april may june july august september october november december".split(),
     "januar februar märz april mai juni juli august september oktober november dezember".split(),
 )
-#: Number words.
-NUMBER_WORDS = "no one two three four five six seven eight nine ten eleven twelve".split()
+#: Number words from zero to ninety-nine, in order.
+NUMBER_WORDS = [*ONES, *(f"{ten}-{one}" if one else ten for ten in TENS for one in ("", *ONES[1:10]))]
 #: How letters are spelt out in a file name.
 TRANSLITERATION = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
 
@@ -104,10 +106,11 @@ def first_table(section: Column) -> Column:
     return F.filter(F.split(block, "\n"), lambda r: (F.trim(r) != "") & ~r.rlike(r"^\s*\|(\s*:?-{3,}:?\s*\|)+\s*$"))
 
 
-def quote_parts(quote: Column, least: int = 12) -> Column:
-    """A quotation's parts between ellipses and brackets, long enough to look for."""
-    cut = F.split(quote, r"\s*(?:\.\.\.|…|\[[^\]]*\])\s*")
-    return F.filter(F.transform(cut, lambda p: F.regexp_replace(p, r"^[\s.,;:]+|[\s.,;:]+$", "")), lambda p: F.length(p) >= least)
+def quote_parts(quote: Column, whole: int = QUOTE_WORDS, part: int = PART_WORDS) -> Column:
+    """A quotation's parts between ellipses and brackets, with words enough to look for: more if it isn't cut."""
+    cut = F.transform(F.split(quote, r"\s*(?:\.\.\.|…|\[[^\]]*\])\s*"), lambda p: F.regexp_replace(p, r"^[\s.,;:!?-]+|[\s.,;:!?-]+$", ""))
+    least = F.when(F.size(cut) == 1, F.lit(whole)).otherwise(F.lit(part))
+    return F.filter(cut, lambda p: F.size(F.regexp_extract_all(p, F.lit(r"(\S+)"), 1)) >= least)
 
 
 def quotations(text: Column) -> Column:
@@ -150,7 +153,7 @@ def dates_in(text: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """A number, written in digits (with separators) or as a word up to twelve; else null."""
+    """A number, written in digits (with separators) or as a word up to ninety-nine; else null."""
     plain = F.lower(F.trim(text))
     words_map = F.create_map(*[x for i, w in enumerate(NUMBER_WORDS) for x in (F.lit(w), F.lit(i))])
     digits = F.regexp_replace(plain, "['’,]", "")
@@ -164,8 +167,10 @@ def open_bullets(section: Column) -> Column:
 
 
 def held_rows(text: Column) -> Column:
-    """Table rows of held contradictions that aren't settled."""
-    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?i)^\s*\|.*\bheld\b.*\|\s*$") & ~x.rlike(r"(?i)\b(settled|resolved)\b"))
+    """Rows and numbered items of the sections *Held by* and *Held from* that aren't settled."""
+    sections = F.filter(F.split(text, r"(?m)^(?=#{1,2} )"), lambda s: s.rlike(r"^## Held (?:by|from)"))
+    lines = F.flatten(F.transform(sections, lambda s: F.split(s, "\n")))
+    return F.filter(lines, lambda x: x.rlike(r"^(\| \[|[0-9]+\. )") & ~x.rlike(SETTLED))
 
 
 def page_actors(text: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window
 
+from lectern.functions.fixed import ITEM_STATES
+
 
 def coverage_table(marked: DataFrame) -> DataFrame:
     """A1: pages, cited, nil and percent by (kb, chapter, scope), (kb, chapter) and kb; level names the grouping."""
@@ -77,10 +79,6 @@ def shapes(findings: DataFrame) -> DataFrame:
     return findings.groupBy(shape.alias("shape")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "shape")
 
 
-#: The states of an action item.
-ITEM_STATES = ("open", "deferred", "done", "dropped")
-
-
 def item_state(state, known=ITEM_STATES):
     """A10: the state without decoration, or null if it is none of the known ones."""
     plain = F.lower(F.trim(F.regexp_replace(state, r"[*_~`]", "")))
@@ -89,8 +87,14 @@ def item_state(state, known=ITEM_STATES):
 
 
 def items_by_state(items: DataFrame, states: tuple[str, ...] = ITEM_STATES, group: str = "kb", state: str = "state") -> DataFrame:
-    """A10, K5: counts by group, one column a state."""
-    return items.groupBy(group).pivot(state, list(states)).agg(F.count(F.lit(1))).na.fill(0, list(states))
+    """A10, K5: counts by group, one column a state; a state that is none of them stops the query, so that no item is lost."""
+    known = F.when(F.col(state).isin(*states), F.col(state)).otherwise(F.raise_error(F.concat(F.lit("unknown state of an item: "), F.coalesce(F.col(state), F.lit("none")))))
+    return items.withColumn(state, known).groupBy(group).pivot(state, list(states)).agg(F.count(F.lit(1))).na.fill(0, list(states))
+
+
+def item_ages(items: DataFrame, day: str, raised: str = "raised") -> DataFrame:
+    """Items with their age in days on a day, oldest first; those without a date last."""
+    return items.withColumn("age", F.datediff(F.lit(day).cast("date"), F.try_to_date(raised, "yyyy-MM-dd"))).orderBy(F.col("age").desc_nulls_last())
 
 
 def queue_lengths(wide: DataFrame, queues: list[str], held_back: tuple[str, ...] = ()) -> DataFrame:

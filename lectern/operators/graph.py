@@ -17,6 +17,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     ends = materialise(ends, "edges")
+    digest = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = digest(ends)
     for _ in range(rounds):
         # Large star: larger neighbours of a node move to its smallest neighbour.
         both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,10 +29,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = materialise(small.where("u <> v").distinct(), "edges")
-        digest = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if digest(after) == digest(ends):
+        now = digest(after)
+        if now == before:
             break
-        ends = after
+        ends, before = after, now
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
     return ends.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(ends.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 from pyspark.sql.types import StringType
 
+from lectern.functions.fixed import CLOSED_STATES
 from lectern.operators import windows as W
 
 ONLY_NOTES = r"^\s*(\[\^[^\]]+\]\s*)+$"
@@ -145,7 +146,7 @@ def replaced(docs: DataFrame, changes: DataFrame) -> DataFrame:
     return docs.join(by, "doc", "left").select("doc", F.when(F.col("edits").isNotNull(), fixed).otherwise(F.col("text")).alias("text"))
 
 
-def closed_items(docs: DataFrame, states: tuple[str, ...] = ("done", "dropped")) -> DataFrame:
+def closed_items(docs: DataFrame, states: tuple[str, ...] = CLOSED_STATES) -> DataFrame:
     """(doc, text, closed): five-cell rows in one of the states leave the text for the closed file, whose links
     go one folder further up."""
     lines = W.lines_of(docs)

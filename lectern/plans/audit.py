@@ -12,18 +12,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F, Window
 
-from lectern.functions import text as T
+from lectern.functions import fixed as X, text as T
 from lectern.operators import aggregates as A, joins as J, state as S, windows as W
 from lectern.sources.vault import Vault, action_items, page_changes
 
 #: check id -> (severity, option or None, function of a vault)
 CHECKS: dict[str, tuple[str, str | None, Callable[[Vault], DataFrame]]] = {}
-#: The form of an author in a citation, and phrases of the present tense.
-AUTHOR_FORM = r"^(human|agent|system|org):[^\s].*$"
-PRESENT = r"(?i)\b(currently|as of now|at present|at the moment|today)\b"
-BATCH_WORD = r"(?i)\b(this|the) (batch|compile|compilation run)\b"
-EXPORT_LOSS = r"(?i)\b(lost|missing|not (?:included|contained)) in the export\b"
-FIRST_PERSON = r"(?U)(?<![\w.'-])(I|me|my|mine|we|us|our|ours)(?![\w'-]|\.\w)"
 
 
 def check(name: str, severity: str, option: str | None = None):
@@ -64,7 +58,7 @@ where("C04", "D", "fm IS NOT NULL AND parse_error IS NULL AND coalesce(type, '')
 where("C05", "D", "fm IS NOT NULL AND parse_error IS NULL AND (array_contains(shape, 'sources is not a list') OR size(sources) = 0) AND path NOT LIKE '%/questions.md'", "sources missing or not a list")
 sql("C06", "F", "SELECT kb, concept AS path, concat('page cited under several ids: ', array_join(array_sort(collect_set(id)), ', ')) AS message FROM {citations} GROUP BY kb, concept, page HAVING count(DISTINCT id) > 1")
 IN_ARCHIVE = r"resource RLIKE r'^(?:\.\./)*(?:[A-Za-z]+_kb/)?(?:OneNote|folia)/'"
-AUTHORS = f"SELECT kb, concept AS path, concat('author not in actor form: ', a) AS message FROM (SELECT *, explode(author) AS a FROM {{citations}}) WHERE NOT a RLIKE r'{AUTHOR_FORM}' AND "
+AUTHORS = f"SELECT kb, concept AS path, concat('author not in actor form: ', a) AS message FROM (SELECT *, explode(author) AS a FROM {{citations}}) WHERE NOT a RLIKE r'{X.AUTHOR_FORM}' AND "
 sql("C07", "F", AUTHORS + IN_ARCHIVE)
 sql("C08", "F", AUTHORS + "NOT (" + IN_ARCHIVE + ")", "authors_in_form")
 sql("C09", "D", "SELECT c.kb, c.concept AS path, concat('source date differs from date_added of ', c.page) AS message FROM {citations} c JOIN {pages} p ON p.kb = c.kb AND p.path = c.page WHERE p.layer = 'Raw' AND p.date_added IS NOT NULL AND c.last_modified <> p.date_added", "raw_dates_from_date_added")
@@ -133,13 +127,18 @@ def first_person(v: Vault) -> DataFrame:
     """First person outside quotations, definitions, block quotes, links' texts and enumerations."""
     prose = v.lines.where(~F.col("body").rlike(r"^\s*(>|\[\^|\|)"))
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("body", r"`[^`]*`", " "), r"\"[^\"]*\"|“[^”]*”", " "), r"\[[^\]]*\]\([^)]*\)", " ")
-    # A roman numeral or a letter of a list isn't a pronoun.
-    bare = F.regexp_replace(bare, r"\b([A-Z]+(?:, | and | or |/))+I\b|\b(?i:phase|part|type|class|level|chapter|stage)\s+I\b|\bI(?:\)|,| and [A-Z]\b)|\(I\)", " ")
-    hit = F.regexp_extract(bare, FIRST_PERSON, 1)
-    return prose.where(hit != "").groupBy("kb", "concept").agg(F.min(F.struct("line", hit.alias("word"))).alias("first")).select("kb", F.col("concept").alias("path"), F.concat(F.lit("first person: "), "first.word").alias("message"))
-
-
-where("C31", "D", f"bare RLIKE r'{BATCH_WORD}'", "compile vocabulary in prose")
+    # An I is a pronoun at a clause's start, behind a connector and behind a lower-case word that numbers nothing.
+    words = "|".join(X.CONNECTORS)
+    opens = rf"(?:^|[.,;:!?—–(\"*|>\['](?:\[\^[^\]]+\])*|\b(?i:{words})|(?<![\w])(?!(?:{'|'.join(X.NUMBERED)})\b)[a-z]\w*)\s*$"
+    letters = F.col("bare").rlike(X.LETTER_LIST)
+    hits = F.regexp_extract_all("bare", F.lit(f"(?s)(.*?)(?:{X.FIRST_PERSON})"), 2)
+    heads = F.regexp_extract_all("bare", F.lit(f"(?s)(.*?)(?:{X.FIRST_PERSON})"), 1)
+    judged = F.filter(F.arrays_zip(heads.alias("head"), hits.alias("word")), lambda h: ~h["word"].startswith("I ") | (h["head"].rlike(opens) & ~letters))
+    told = prose.withColumn("bare", bare).withColumn("words", judged).where("size(words) > 0")
+    return told.groupBy("kb", "concept").agg(F.min(F.struct("line", F.col("words")[0]["word"].alias("word"))).alias("first")).select("kb", F.col("concept").alias("path"), F.concat(F.lit("first person: "), "first.word").alias("message"))
+
+
+where("C31", "D", f'bare RLIKE r"{X.BATCH_WORD}"', "compile vocabulary in prose")
 sql("C32", "D", "SELECT DISTINCT r.kb, r.concept AS path, concat('footnote without a definition: ', r.label) AS message FROM (SELECT * FROM {footnotes} WHERE kind = 'ref') r LEFT ANTI JOIN (SELECT * FROM {footnotes} WHERE kind = 'def') d ON d.kb = r.kb AND d.concept = r.concept AND d.label = r.label")
 sql("C33", "D", r"SELECT DISTINCT kb, concept AS path, 'heading inside a heading' AS message FROM {lines} WHERE body RLIKE r'^#+[ \t]+#'")
 sql("C34", "F", "SELECT DISTINCT kb, concept AS path, 'fence never closes' AS message FROM {lines} WHERE unclosed")
@@ -153,13 +152,13 @@ def _rules(v: Vault, rules: dict[str, str]) -> DataFrame:
 
 
 check("C35", "F")(lambda v: _rules(v, {"under_item": "paragraph glued under a list item", "under_note": "paragraph glued under a footnote definition"}))
-where("C36", "F", f"bare RLIKE r'{EXPORT_LOSS}'", "claim of a loss in the export", "export_loss_claims")
+where("C36", "F", f'bare RLIKE r"{X.EXPORT_LOSS}"', "claim of a loss in the export", "export_loss_claims")
 
 
 @check("C37", "F")
 def person_has_concept(v: Vault) -> DataFrame:
     """Someone said to have no concept who has one."""
-    said = v.concepts.select("kb", "path", F.explode(F.regexp_extract_all("bare", F.lit(r"(?U)\b([A-Z]\w+ [A-Z]\w+) has no (?:own )?(?:concept|page)\b"), 1)).alias("name")).withColumn("slug", T.slug(F.col("name")))
+    said = v.concepts.select("kb", "path", F.explode(F.regexp_extract_all("bare", F.lit(X.NO_CONCEPT), 1)).alias("name")).withColumn("slug", T.slug(F.col("name")))
     people = v.concepts.where("path LIKE 'Wiki/people/%'").select("kb", F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("slug"))
     return said.join(people, ["kb", "slug"], "left_semi").select("kb", "path", F.concat(F.lit("said to have no concept: "), "name").alias("message"))
 
@@ -181,7 +180,7 @@ def dashes(v: Vault) -> DataFrame:
     return paras.where(F.regexp_count("p", F.lit("—")) >= 3).select("kb", "path", F.lit("three or more dashes in a paragraph").alias("message")).distinct()
 
 
-where("C40", "F", r"bare RLIKE r'\b(CHF|EUR|USD)\s?[0-9]{1,3},[0-9]{3}\b'", "currency with a comma")
+where("C40", "F", f"bare RLIKE r'{X.CURRENCY_COMMA}'", "currency with a comma")
 
 
 @check("C42", "F")
@@ -196,7 +195,7 @@ def dates_out_of_order(v: Vault) -> DataFrame:
 
 where("C44", "F", r"status = 'draft' AND NOT body RLIKE r'(?i)\bdraft (because|until)\b'", "draft without a reason", "draft_needs_reason")
 sql("C45", "F", "SELECT kb, path, CASE WHEN try_to_date(stale_after, 'yyyy-MM-dd') IS NULL THEN concat('stale_after is no date: ', stale_after) ELSE concat('stale since ', stale_after) END AS message FROM {concepts} WHERE stale_after IS NOT NULL AND (try_to_date(stale_after, 'yyyy-MM-dd') IS NULL OR stale_after < :today)")
-where("C46", "F", f"stale_after IS NULL AND bare RLIKE r'{PRESENT}'", "present tense without stale_after")
+where("C46", "F", f"stale_after IS NULL AND bare RLIKE r'{X.PRESENT}'", "present tense without stale_after")
 check("C47", "F")(lambda v: _rules(v, {"runon": "run-on paragraph"}))
 check("C48", "F")(lambda v: _rules(v, {"row_under": "table row under prose", "under_table": "prose under a table row"}))
 
@@ -231,10 +230,12 @@ sql("C75", "G", "SELECT kb, '(bundle)' AS path, concat(count(*), ' pages cited w
 
 @check("C71", "F", "raw_needs_fate")
 def raw_fate(v: Vault) -> DataFrame:
-    raw = v.files.where("path LIKE 'Raw/%' AND path NOT LIKE '%/_INGESTED.md'").select("kb", F.col("path").alias("file"))
+    raw = v.files.where(r"path LIKE 'Raw/%' AND NOT path RLIKE '/_[^/]*$'").select("kb", F.col("path").alias("file"))
     cited = v.citations.select("kb", F.col("page").alias("file"))
-    listed = v.files.where("path LIKE '%/_INGESTED.md'").select("kb", F.col("text").alias("register"))
-    named = raw.join(listed, "kb").where(F.contains("register", F.element_at(F.split("file", "/"), -1))).select("kb", "file")
+    # The register's file names, so that a file meets only its own.
+    names = F.regexp_extract_all("text", F.lit(r"([^\s`|/()\[\]]+\.[A-Za-z0-9]+)"), 1)
+    listed = v.files.where("path LIKE '%/_INGESTED.md'").select("kb", F.explode(F.array_distinct(names)).alias("name"))
+    named = raw.withColumn("name", F.element_at(F.split("file", "/"), -1)).join(listed, ["kb", "name"], "left_semi").select("kb", "file")
     rest = raw.join(cited.distinct(), ["kb", "file"], "left_anti").join(named.distinct(), ["kb", "file"], "left_anti")
     return rest.select("kb", F.col("file").alias("path"), F.lit("raw file without a fate").alias("message"))
 
@@ -260,7 +261,9 @@ def quotation_rows(v: Vault) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Q6: (quotes, cites, pages) of a vault for the containment join, in comparison form."""
     blocks = W.blocks(v.lines.select("doc", "line", "body")).where(~F.col("text").rlike(r"^\[\^"))
     found = blocks.select("doc", "first", F.regexp_extract_all("text", F.lit(r"\[\^([^\]]+)\](?!:)"), 1).alias("labels"), F.posexplode(T.quotations(F.regexp_replace("text", "[“”„]", '"'))).alias("k", "quote")).where("size(labels) > 0")
-    quotes = found.select(F.concat_ws("#", "doc", "first", "k").alias("block"), "doc", "labels", F.transform(T.quote_parts(T.comparison_form(F.col("quote"))), lambda p: p).alias("parts")).where("size(parts) > 0")
+    # The comparison form is a column of its own, since Python can't stand inside a function on arrays.
+    plain = found.withColumn("quote", T.comparison_form(F.col("quote")))
+    quotes = plain.select(F.concat_ws("#", "doc", "first", "k").alias("block"), "doc", "labels", T.quote_parts(F.col("quote")).alias("parts")).where("size(parts) > 0")
     cites = quotes.select("block", F.split_part("doc", F.lit("|"), F.lit(1)).alias("kb"), F.split_part("doc", F.lit("|"), F.lit(2)).alias("concept"), F.explode("labels").alias("id")).join(v.citations.select("kb", "concept", "id", "page"), ["kb", "concept", "id"]).select("block", F.concat_ws("|", "kb", "page").alias("page"))
     pages = v.pages.select(F.concat_ws("|", "kb", "path").alias("page"), T.comparison_form(F.concat_ws(" ", "title", "body")).alias("text"))
     return quotes.select("block", "parts"), cites, pages
@@ -325,7 +328,7 @@ def items_of(v: Vault, pattern: str) -> DataFrame:
 @check("C43", "D")
 def stated_counts(v: Vault) -> DataFrame:
     """A number of open items in prose that isn't the table's."""
-    said = v.files.where("path LIKE '%/questions.md'").select("kb", "path", T.number(F.regexp_extract("text", r"(?i)\b(no|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|[0-9']+) open items?\b", 1)).alias("said")).where("said IS NOT NULL")
+    said = v.files.where("path LIKE '%/questions.md'").select("kb", "path", T.number(F.regexp_extract("text", rf"(?i)\b({'|'.join(sorted(T.NUMBER_WORDS, key=len, reverse=True))}|[0-9']+) open items?\b", 1)).alias("said")).where("said IS NOT NULL")
     have = items_of(v, "/questions\\.md$").where("state = 'open'").groupBy("kb", "path").agg(F.count(F.lit(1)).alias("n"))
     return said.join(have, ["kb", "path"], "left").where(F.coalesce("n", F.lit(0)) != F.col("said")).select("kb", "path", F.lit("open items stated other than in the table").alias("message"))
 
@@ -364,7 +367,7 @@ def closed_file(v: Vault) -> DataFrame:
     closed, still = items_of(v, "/questions-closed\\.md$"), items_of(v, "/questions\\.md$")
     twice = closed.groupBy("kb", "path", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kb", "path", F.concat(F.lit("closed twice: "), "id").alias("message"))
     live = closed.where("state IN ('open', 'deferred')").select("kb", "path", F.concat(F.lit("open item in the closed file: "), "id").alias("message"))
-    left = still.where("state IN ('done', 'dropped')").select("kb", "path", F.concat(F.lit("closed row left: "), "id").alias("message"))
+    left = still.where("state IN ('actioned', 'withdrawn')").select("kb", "path", F.concat(F.lit("closed row left: "), "id").alias("message"))
     return twice.unionByName(live).unionByName(left)
 
 

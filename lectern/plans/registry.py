@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import further, relational, textual  # noqa: F401  (further and textual register with relational)
+from lectern.plans import further, relational, textual, vaulted  # noqa: F401  (the others register with relational)
 
 QUERIES: dict = {**relational.Q}
 ORACLE: dict[str, str] = {**relational.SQL}

@@ -37,10 +37,10 @@ def j3_shared_source_pairs(spark, d):
 
 
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS doc, l_partkey AS source FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-SELECT x.doc AS changed, y.doc AS doc, count(*) AS overlap FROM e x JOIN e y ON x.source = y.source AND x.doc <> y.doc WHERE x.doc % 50 = 1 GROUP BY ALL HAVING count(*) >= 2""")
+SELECT x.doc AS changed, y.doc AS doc, count(*) AS overlap FROM e x JOIN e y ON x.source = y.source AND x.doc <> y.doc WHERE x.doc % 50 = 0 GROUP BY ALL HAVING count(*) >= 2""")
 def n2_coupled_documents(spark, d):
     cites = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("concept"), F.col("l_partkey").alias("page"))
-    return J.coupled(cites, cites.where("concept % 50 = 1"), 2)
+    return J.coupled(cites, cites.where("concept % 50 = 0"), 2)
 
 
 @query("SELECT doc_id AS page, quality FROM labels WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = labels.doc_id AND x.lang = 'en')")
@@ -55,11 +55,11 @@ def j2_sources_without_label(spark, d):
 
 
 @query("""WITH c AS (SELECT l_partkey AS page, max(l_shipdate) AS changed FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT c.page, c.changed, l_orderkey AS concept, o_orderdate AS written FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN c ON c.page = l_partkey WHERE o_orderdate < c.changed AND l_linenumber = 1""")
+SELECT c.page, c.changed, l_orderkey AS concept, o_orderdate AS written FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN c ON c.page = l_partkey WHERE o_orderdate < c.changed""")
 def j4_behind_changed_pages(spark, d):
     items = table(spark, d, "lineitem")
     changes = items.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("page"), F.col("l_shipdate").alias("changed"))
-    cites = items.where("l_linenumber = 1").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    cites = items.join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     return J.behind(changes, cites.select(F.col("l_orderkey").alias("concept"), F.col("l_partkey").alias("page"), F.col("o_orderdate").alias("written")))
 
 
@@ -121,12 +121,18 @@ def j13_snapshot_diff(spark, d):
     return J.snapshot_diff(old, new, "path", "strict")
 
 
-@query("""SELECT item_id AS block FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id % 4 = item_id % 4 AND (contains(documents.text, benchmark.text)
+@query("""SELECT item_id AS block FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM documents WHERE (contains(documents.text, benchmark.text)
   OR contains(documents.text, (CASE WHEN left(benchmark.text, 1) = upper(left(benchmark.text, 1)) THEN lower(left(benchmark.text, 1)) ELSE upper(left(benchmark.text, 1)) END) || substr(benchmark.text, 2))))""")
 def j7_quotes_in_no_page(spark, d):
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("block"), F.array("text").alias("parts"))
     pages = table(spark, d, "documents").select(F.col("doc_id").alias("page"), "text")
-    cites = quotes.select("block", (F.col("block") % 4).alias("k")).join(pages.select("page", (F.col("page") % 4).alias("k")), "k").select("block", "page")
+    # A document can only hold a passage if it has the longest of its inner words; a passage without one asks all documents.
+    words = F.regexp_extract_all("text", F.lit(r"((?U)\w+)"), 1)
+    inner = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    wanted = table(spark, d, "benchmark").select(F.col("item_id").alias("block"), F.coalesce(F.array_max(inner)["w"], F.lit("")).alias("word"))
+    held = pages.select("page", F.explode(F.array_append(F.array_distinct(words), F.lit(""))).alias("word"))
+    first = pages.agg(F.min("page").alias("page"))
+    cites = wanted.join(held, "word").select("block", "page").unionByName(wanted.select("block").join(F.broadcast(first)).select("block", "page")).distinct()
     return J.missing_quotes(quotes, cites, pages).select("block")
 
 
@@ -159,10 +165,10 @@ def j11_unread_pages(spark, d):
     return J.unread(part.select("page", "p_type"), table(spark, d, "lineitem").where("l_tax >= 0.08").select(F.col("l_partkey").alias("page")), part.where("p_size < 5"))
 
 
-@query("""WITH w AS (SELECT l_suppkey % 7 AS writer, l_partkey AS target FROM lineitem WHERE l_linenumber = 1)
+@query("""WITH w AS (SELECT l_suppkey % 7 AS writer, l_partkey AS target FROM lineitem)
 SELECT target, array_to_string(list_sort(list(DISTINCT writer)), ',') AS writers FROM w GROUP BY 1 HAVING count(DISTINCT writer) > 1""")
 def j19_lost_writes(spark, d):
-    w = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 7).alias("writer"), F.col("l_partkey").alias("target"))
+    w = table(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("writer"), F.col("l_partkey").alias("target"))
     return J.lost_writes(w).select("target", F.array_join(F.transform("writers", lambda x: x.cast("string")), ",").alias("writers"))
 
 
@@ -208,15 +214,16 @@ def a4_inbound_links(spark, d):
     return A.inbound(table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
 
 
-EDGES = "SELECT l_partkey + 1000000 AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.08"
+EDGES = "SELECT l_partkey + 1000000 AS src, l_suppkey AS dst FROM lineitem"
 
 
 def part_links(spark, d):
-    return table(spark, d, "lineitem").where("l_quantity > 49 AND l_discount > 0.08").select((F.col("l_partkey") + 1000000).alias("src"), F.col("l_suppkey").alias("dst"))
+    return table(spark, d, "lineitem").select((F.col("l_partkey") + 1000000).alias("src"), F.col("l_suppkey").alias("dst"))
 
 
-@query(f"""WITH RECURSIVE l AS ({EDGES}), e AS (SELECT src AS a, dst AS b FROM l UNION SELECT dst, src FROM l), r AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
-SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+@query(f"""WITH RECURSIVE l AS ({EDGES}), e AS (SELECT src AS a, dst AS b FROM l UNION SELECT dst, src FROM l),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS o ON o.node = e.b WHERE r.component < o.component GROUP BY e.b)
+SELECT node, component FROM r""")
 def g4_connected_components(spark, d):
     return G.connected_components(part_links(spark, d), "src", "dst")
 
@@ -244,10 +251,10 @@ def n4_orphan_shapes(spark, d):
     return G.orphan_shapes(nodes, links, 3)
 
 
-@query("""WITH RECURSIVE m AS (SELECT min(l_partkey) AS new, l_suppkey + 100000 AS old FROM lineitem WHERE l_quantity > 45 GROUP BY l_suppkey UNION ALL SELECT s_suppkey + 100000, s_suppkey + 200000 FROM supplier),
+@query("""WITH RECURSIVE m AS (SELECT min(l_partkey) AS new, l_suppkey + 100000 AS old FROM lineitem GROUP BY l_suppkey UNION ALL SELECT s_suppkey + 100000, s_suppkey + 200000 FROM supplier),
 r AS (SELECT old, new FROM m UNION ALL SELECT r.old, m.new FROM r JOIN m ON m.old = r.new) SELECT old, new FROM r WHERE new NOT IN (SELECT old FROM m)""")
 def g5_move_chains(spark, d):
-    first = table(spark, d, "lineitem").where("l_quantity > 45").groupBy((F.col("l_suppkey") + 100000).alias("old")).agg(F.min("l_partkey").alias("new"))
+    first = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") + 100000).alias("old")).agg(F.min("l_partkey").alias("new"))
     second = table(spark, d, "supplier").select((F.col("s_suppkey") + 200000).alias("old"), (F.col("s_suppkey") + 100000).alias("new"))
     return G.chain_ends(first.unionByName(second))
 

@@ -41,11 +41,9 @@ def g1_page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(found).alias("n_links"), F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")).alias("first_link"))
 
 
-@query("""SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)licen[sc]e'))) AS INTEGER) AS kept_lines FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e')""")
+@query("""SELECT doc_id, md5(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)licen[sc]e')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')) AS squeezed FROM documents""")
 def p16_boilerplate_lines(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike("(?i)licen[sc]e"))
-    kept = F.filter(F.split("text", "\n", -1), lambda x: ~x.rlike("(?i)licen[sc]e"))
-    return docs.select("doc_id", F.size(kept).alias("kept_lines"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.squeeze(F.col("text"), "(?i)licen[sc]e")).alias("squeezed"))
 
 
 @query("""WITH l AS (SELECT conv_id AS doc, turn AS line, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS above FROM conversations) SELECT doc, line, above || '>' || role AS rule FROM l WHERE above IS NOT NULL""")
@@ -91,17 +89,17 @@ def q3_contradiction_queue(spark, d):
     return S.unread_pairs(pairs, bodies, readings).select("a", "b", "overlap")
 
 
-@query("""WITH l AS (SELECT l_suppkey AS src, l_partkey % 100 + 1 AS dst FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09 AND l_partkey % 100 + 1 IN (SELECT s_suppkey FROM supplier)), e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM l WHERE src <> dst), n AS (SELECT count(*) AS nodes FROM supplier)
+@query("""WITH l AS (SELECT l_suppkey AS src, l_partkey % 100 + 1 AS dst FROM lineitem WHERE l_partkey % 100 + 1 IN (SELECT s_suppkey FROM supplier)), e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM l WHERE src <> dst), n AS (SELECT count(*) AS nodes FROM supplier)
 SELECT nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM supplier WHERE s_suppkey NOT IN (SELECT dst FROM l WHERE src <> dst)) AS isolates FROM n""")
 def q12_link_health(spark, d):
-    links = table(spark, d, "lineitem").where("l_quantity > 49 AND l_discount > 0.09").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst"))
+    links = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst"))
     return G.link_health(table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), links.where("dst <= 100")).select("nodes", "edges", "isolates")
 
 
 @query("""SELECT c_custkey AS item, CAST(date_diff('day', max(o_orderdate), TIMESTAMP '2000-01-01') AS INTEGER) AS age FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def n6_item_ages(spark, d):
-    last = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.max("o_orderdate").alias("raised"))
-    return last.select("item", F.datediff(F.lit("2000-01-01").cast("date"), F.col("raised")).alias("age"))
+    last = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("raised"))
+    return A.item_ages(last, "2000-01-01").select("item", "age")
 
 
 @query("""WITH w AS (SELECT doc_id AS doc, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM documents) SELECT word, count(*) AS df FROM w GROUP BY 1 ORDER BY df DESC, word LIMIT 100""")
@@ -110,7 +108,7 @@ def o7_most_common_words(spark, d):
     return A.postings(words).groupBy("word").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "word").limit(100)
 
 
-@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, md5(trim(line)) AS h FROM p WHERE length(line) >= 60) SELECT x.doc_id AS fixed, y.doc_id AS other, count(DISTINCT x.h) AS shared FROM k x JOIN k y USING (h) WHERE x.doc_id % 100 = 0 AND x.doc_id <> y.doc_id GROUP BY ALL""")
+@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, md5(trim(line)) AS h FROM p WHERE length(line) >= 60) SELECT x.doc_id AS fixed, y.doc_id AS other, count(DISTINCT x.h) AS shared FROM k x JOIN k y USING (h) WHERE x.doc_id % 50 = 0 AND x.doc_id <> y.doc_id GROUP BY ALL""")
 def n3_verbatim_passages(spark, d):
     lines = W.lines_of(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")).where("length(body) >= 60").select("doc", F.md5(F.trim("body")).alias("h")).distinct()
-    return lines.where("doc % 100 = 0").withColumnRenamed("doc", "fixed").join(lines.withColumnRenamed("doc", "other"), "h").where("fixed <> other").groupBy("fixed", "other").agg(F.count(F.lit(1)).alias("shared"))
+    return lines.where("doc % 50 = 0").withColumnRenamed("doc", "fixed").join(lines.withColumnRenamed("doc", "other"), "h").where("fixed <> other").groupBy("fixed", "other").agg(F.count(F.lit(1)).alias("shared"))

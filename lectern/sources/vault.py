@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern.functions import text as T
+from lectern.functions.fixed import MEETING_SECTIONS
 from lectern.operators import windows as W
-from lectern.session import ship
+from lectern.session import materialise, ship
 
 SOURCE = "struct<id:string,resource:string,title:string,author:array<string>,last_modified:string,usage_count:bigint>"
 STAMP = "struct<by:string,at:string>"
@@ -149,12 +150,15 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(path.alias("path"), F.decode("content", "UTF-8").alias("text"), F.length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"), F.col("modificationTime").alias("modified"))
 
 
-def tables(files: DataFrame, now: str, options: DataFrame | None = None) -> Vault:
-    """All tables of a vault from its files (path, text): S3, S5, S7, S9, S10, P1, P3, G1."""
+def tables(files: DataFrame, now: str, options: DataFrame | None = None, write: bool = False) -> Vault:
+    """All tables of a vault from its files (path, text): S3, S5, S7, S9, S10, P1, P3, G1. With write they are written
+    tables, each read from the one it comes from, so that Markdown and YAML are read once however many checks follow."""
     spark = files.sparkSession
+    written = (lambda rows, name: materialise(rows, f"vault_{name}")) if write else (lambda rows, name: rows)
     ship(spark)
     kbs = knowledge_bases(files)
     own = files.withColumn("kb", F.split_part("path", F.lit("/"), F.lit(1))).join(F.broadcast(kbs), "kb").withColumn("path", F.regexp_replace("path", "^[^/]*/", ""))
+    own = written(own.select("kb", "path", "text"), "files")
     name = F.element_at(F.split("path", "/"), -1)
     wiki = own.where(F.startswith(F.col("path"), F.lit("Wiki/")) & F.endswith(F.col("path"), F.lit(".md")) & ~name.isin(*RESERVED) & ~F.col("path").contains("/_trash/"))
     block = T.frontmatter(F.col("text"))
@@ -162,9 +166,11 @@ def tables(files: DataFrame, now: str, options: DataFrame | None = None) -> Vaul
     split = wiki.select("kb", "path", block.alias("fm"), T.body(F.col("text")).alias("body"), F.md5(F.coalesce(block, F.lit(""))).alias("key"))
     parsed = split.groupBy("key").agg(F.first("fm").alias("fm")).select("key", frontmatter_struct("fm").alias("c"))
     concepts = split.join(parsed, "key").select("kb", "path", "fm", "body", "c.*").withColumn("bare", T.strip_fences(F.col("body")))
+    concepts = written(concepts, "concepts")
     folder = F.regexp_replace("path", "/[^/]*$", "")
     citations = concepts.select("kb", "path", folder.alias("folder"), F.posexplode("sources").alias("pos", "s")).select("kb", F.col("path").alias("concept"), "folder", "pos", "s.*")
     citations = citations.withColumn("page", T.nfc_path(F.concat("folder", F.lit("/"), F.coalesce("resource", F.lit(""))))).drop("folder")
+    citations = written(citations, "citations")
     layer = F.split_part("path", F.lit("/"), F.lit(1))
     in_layer = layer.isin("Raw", "OneNote", "folia") & F.endswith(F.col("path"), F.lit(".md")) & ~F.col("path").contains("/_assets/") & ~name.isin(*NOT_PAGES)
     head = lambda k: F.nullif(F.trim(F.regexp_extract(F.coalesce(T.frontmatter(F.col("text")), F.lit("")), rf"(?m)^{k}:[ \t]*(.*)$", 1)), F.lit(""))
@@ -173,8 +179,10 @@ def tables(files: DataFrame, now: str, options: DataFrame | None = None) -> Vaul
         "kb", "path", layer.alias("layer"), F.split_part("path", F.lit("/"), F.lit(2)).alias("chapter"), F.regexp_replace("path", "^[^/]*/|/[^/]*$", "").alias("scope"),
         *(F.regexp_replace(head(k), "^[\"']|[\"']$", "").alias(k) for k in keys), T.body(F.col("text")).alias("body"), F.lit(True).alias("is_text"),
     )
+    pages = written(pages, "pages")
     lines = W.lines_of(concepts.select(F.concat_ws("|", "kb", "path").alias("doc"), "body"), "body")
     lines = W.unfenced(lines).select(F.split_part("doc", F.lit("|"), F.lit(1)).alias("kb"), F.split_part("doc", F.lit("|"), F.lit(2)).alias("concept"), "doc", "line", "body", "unclosed")
+    lines = written(lines, "lines")
     plain = lines.withColumn("code_free", F.regexp_replace("body", r"`[^`]+`", " "))
     refs = plain.select("kb", "concept", "line", F.explode(F.regexp_extract_all("code_free", F.lit(r"\[\^([^\]]+)\](?!:)"), 1)).alias("label"), F.lit("ref").alias("kind"))
     notes = plain.where(F.col("body").rlike(r"^\[\^[^\]]+\]:")).select("kb", "concept", "line", F.regexp_extract("body", r"^\[\^([^\]]+)\]:", 1).alias("label"), F.lit("def").alias("kind"))
@@ -189,7 +197,7 @@ def tables(files: DataFrame, now: str, options: DataFrame | None = None) -> Vaul
     reports = own.where(name.rlike(r"^_CHANGES-.*\.json$")).select("kb", F.col("path").alias("report"), F.from_json("text", report).alias("r"))
     changes = reports.select("kb", "report", "r.generated", "r.complete", F.explode("r.changes").alias("c")).select("kb", "report", "generated", "complete", F.col("c.path").alias("page"), F.col("c.status").alias("status"), F.col("c.contentChanged").alias("content_changed"), F.col("c.movedFrom").alias("moved_from"))
     options = options if options is not None else spark.createDataFrame([], "kb string, key string, value string")
-    return Vault(own.select("kb", "path", "text"), concepts, citations, pages, lines, refs.unionByName(notes), links, ledger, changes, options, now)
+    return Vault(own.select("kb", "path", "text"), concepts, citations, pages, lines, written(refs.unionByName(notes), "footnotes"), written(links, "links"), ledger, changes, options, now)
 
 
 def page_changes(changes: DataFrame) -> DataFrame:
@@ -234,7 +242,7 @@ def register_rows(text: DataFrame, width: int = 6) -> DataFrame:
     return lines.select(F.col("doc").alias("kb"), "line", W.row_cells(F.col("body")).alias("cells"))
 
 
-def meeting_sections(notes: DataFrame, kept: tuple[str, ...] = ("Summary", "Decisions", "Actions", "Notes")) -> DataFrame:
+def meeting_sections(notes: DataFrame, kept: tuple[str, ...] = MEETING_SECTIONS) -> DataFrame:
     """The kept sections of notes (path, text); of two sections of one name the first."""
     parts = notes.select("path", F.posexplode(F.split("text", r"(?m)^## ")).alias("pos", "part")).where("pos > 0")
     titled = parts.select("path", "pos", F.trim(F.split_part("part", F.lit("\n"), F.lit(1))).alias("section"), F.regexp_replace("part", r"^[^\n]*\n?", "").alias("body")).where(F.col("section").isin(*kept))

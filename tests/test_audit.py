@@ -18,7 +18,7 @@ def rows(case=None):
 @pytest.fixture(scope="module")
 def all_findings(spark):
     """One run over a vault with the clean base and a base for each case."""
-    data = [(f"Fixture_kb/{p}", t) for p, t in V.FILES.items()]
+    data = [(f"Orchard_kb/{p}", t) for p, t in V.FILES.items()]
     options = list(V.OPTIONS)
     for n, case in enumerate(V.CASES):
         kb = f"Case{n}_kb"
@@ -32,7 +32,7 @@ def all_findings(spark):
 
 
 def test_clean_base_says_nothing(all_findings):
-    assert [(r.check_id, r.path, r.message) for r in all_findings if r.kb == "Fixture_kb"] == []
+    assert [(r.check_id, r.path, r.message) for r in all_findings if r.kb == "Orchard_kb"] == []
 
 
 @pytest.mark.parametrize("n", range(len(V.CASES)), ids=[c[0] for c in V.CASES])
@@ -42,5 +42,5 @@ def test_case(all_findings, n):
 
 
 def test_options_off(spark):
-    files = spark.createDataFrame([(f"Fixture_kb/{p}", t) for p, t in rows(V.CASES[6]).items()], "path string, text string")
+    files = spark.createDataFrame([(f"Orchard_kb/{p}", t) for p, t in rows(V.CASES[6]).items()], "path string, text string")
     assert audit.findings(vault.tables(files, V.NOW), ["C08"]).collect() == []

@@ -44,9 +44,9 @@ def test_widths_and_dates(spark):
 
 def test_items_appends_and_edits(spark):
     row = "| 1 | d | see [x](y.md) | {} | r |"
-    docs = texts(spark, "\n".join(["head", row.format("**done**"), row.format("open")]))
+    docs = texts(spark, "\n".join(["head", row.format("**actioned**"), row.format("open")]))
     got = X.closed_items(docs).first()
-    assert got.text == "head\n" + row.format("open") and got.closed == row.format("**done**").replace("(y.md)", "(../y.md)")
+    assert got.text == "head\n" + row.format("open") and got.closed == row.format("**actioned**").replace("(y.md)", "(../y.md)")
     target = spark.createDataFrame([("a.md", "---\nsources:\n  - id: old\n    resource: p\n---\n# One\n\ntext\n\n[^old]: n\n")], "doc string, text string")
     request = spark.createDataFrame([("w", "### APPEND a.md\n#### section One\nmore [^new]\n#### footnotes\n[^old]: again\n[^new]: m\n#### sources\n- id: new\n    resource: q\n")], "writer string, text string")
     fixed = X.appended(target, X.append_requests(request)).first().text
@@ -62,26 +62,26 @@ def test_render(spark):
 
 def base(spark, extra=()):
     files = {**V.FILES, **dict(extra)}
-    return vault.tables(spark.createDataFrame([(f"Fixture_kb/{p}", t) for p, t in files.items()], "path string, text string"), V.NOW)
+    return vault.tables(spark.createDataFrame([(f"Orchard_kb/{p}", t) for p, t in files.items()], "path string, text string"), V.NOW)
 
 
 def test_composites(spark):
-    alpha = V.FILES[V.A].replace(V.END, "\nThe valve has run to at least 2025. Anna Berg decided it.[^alpha-page] The end is not stated anywhere.\n" + V.END)
-    page = V.FILES["Raw/alpha-page.md"] + "\nFrom: Carl Dorn\n"
-    report = '{"generated": "2026-01-20T00:00:00", "complete": true, "changes": [{"path": "Raw/alpha-page.md", "status": "modified", "contentChanged": true}]}'
-    v = base(spark, [(V.A, alpha), ("Raw/alpha-page.md", page), ("Raw/_CHANGES-1.json", report)])
+    quince = V.FILES[V.A].replace(V.END, "\nIt has borne fruit to at least 2025. Anna Berg convened the pruning.[^quince-record] The end is not stated anywhere.\n" + V.END)
+    page = V.FILES["Raw/quince-record.md"] + "\nFrom: Carl Dorn\n"
+    report = '{"generated": "2026-01-20T00:00:00", "complete": true, "changes": [{"path": "Raw/quince-record.md", "status": "modified", "contentChanged": true}]}'
+    v = base(spark, [(V.A, quince), ("Raw/quince-record.md", page), ("Raw/_CHANGES-1.json", report)])
     assert {(r.shape, r.text) for r in Q.stale_claims(v).collect()} == {("date", "2025"), ("absence", "is not stated anywhere")}
-    assert [(r.name, r.page) for r in Q.attribution(v).collect()] == [("Anna Berg", "Raw/alpha-page.md")]
+    assert [(r.name, r.page) for r in Q.attribution(v).collect()] == [("Anna Berg", "Raw/quince-record.md")]
     assert [r.concept for r in Q.changed_pages(v).collect()] == [V.A]
     assert {r.action for r in vault.triage(v.changes).collect()} == {"rebuild"}
     tools = Q.Tools(v)
-    assert tools.search("alpha").first().doc == f"Fixture_kb|{V.A}"
+    assert tools.search("quince").first().doc == f"Orchard_kb|{V.A}"
     assert tools.concept("../secrets").count() == 0 and tools.concept(V.A).first().sources
     assert tools.changed_since("2026-01-01").count() == 3
-    items = spark.createDataFrame([("Fixture_kb", "open")], "kb string, state string")
+    items = spark.createDataFrame([("Orchard_kb", "x", "open", "")], "kb string, item string, state string, resolution string")
     lengths = Q.queues(v, items, spark.createDataFrame([], "kb string, a string, b string"))
-    assert {r.queue: r.n for r in lengths.collect()}["total"] == 1 + 2 + 1
-    reports = spark.createDataFrame([("Fixture_kb", "r-v2", "2026-01-01", 2), ("Fixture_kb", "r", "2026-01-01", 1)], "kb string, file string, day string, version int")
+    assert {r.queue: r.n for r in lengths.collect()}["total"] == 2 + 1
+    reports = spark.createDataFrame([("Orchard_kb", "r-v2", "2026-01-01", 2), ("Orchard_kb", "r", "2026-01-01", 1)], "kb string, file string, day string, version int")
     assert '"report":"r-v2"' in Q.dashboard(v, lengths, reports).first().object
     prints = Q.fingerprints(v.pages)
     assert prints.count() == 2 and prints.select("body_md5").distinct().count() == 2

@@ -2,6 +2,7 @@
 
 from lectern.functions import text as T
 from lectern.operators import aggregates as A, graph as G, joins as J, state as S, windows as W
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -70,9 +71,9 @@ def test_packs_and_inserts(spark):
 
 
 def test_quotes(spark):
-    quotes = frame(spark, [(1, ["The pump"]), (2, ["not there"]), (3, ["x"])], "block int, parts array<string>")
+    quotes = frame(spark, [(1, ["The lamp"]), (2, ["not there"]), (3, ["x"])], "block int, parts array<string>")
     cites = frame(spark, [(1, "p"), (2, "p"), (3, "p"), (3, "q")], "block int, page string")
-    pages = frame(spark, [("p", "so the pump runs"), ("q", None)], "page string, text string")
+    pages = frame(spark, [("p", "so the lamp burns"), ("q", None)], "page string, text string")
     assert [r.block for r in J.missing_quotes(quotes, cites, pages).collect()] == [2]
 
 
@@ -110,7 +111,9 @@ def test_clock_offsets(spark):
 
 
 def test_states_and_guard(spark):
-    items = frame(spark, [("k", "**Open**"), ("k", "done (2026)"), ("k", "weird")], "kb string, state string").withColumn("state", A.item_state(F.col("state")))
-    row = A.items_by_state(items).first()
-    assert (row.open, row.done, row.deferred) == (1, 1, 0)
+    items = frame(spark, [("k", "**Open**"), ("k", "actioned (2026)"), ("k", "weird")], "kb string, state string").withColumn("state", A.item_state(F.col("state")))
+    row = A.items_by_state(items.where("state IS NOT NULL")).first()
+    assert (row.open, row.actioned, row.deferred, row.withdrawn) == (1, 1, 0, 0)
+    with pytest.raises(Exception, match="unknown state"):
+        A.items_by_state(items).collect()
     assert J.guard_empty(items.where("false"), "none").first().ok
