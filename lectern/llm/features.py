@@ -101,6 +101,22 @@ class Chunk:
         return np.bincount(docs, weights=values, minlength=self.n)
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and n + 1 offsets in them."""
+    inner = (data & 0xC0) == 0x80
+    starts = np.flatnonzero(~inner)
+    code = data[starts].astype(np.uint32)
+    size = np.ones(len(starts), np.uint8)
+    for lead, bits in ((0xC0, 0x1F), (0xE0, 0x0F), (0xF0, 0x07)):
+        more = np.flatnonzero(code >= lead) if lead == 0xC0 else np.flatnonzero(data[starts] >= lead)
+        size[more] += 1
+        code[more] = data[starts[more]] & bits
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        code[more] = (code[more] << np.uint32(6)) | (data[starts[more] + k] & 0x3F)
+    return code, np.searchsorted(starts, offsets)
+
+
 def spans_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values[offsets[i]:offsets[i + 1]] (0 where empty)."""
     if not len(values):
@@ -146,10 +162,12 @@ def fold_number(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int) -> list[tuple[str, int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int, most_bytes: int) -> list[tuple[str, int, int]]:
     """(text, label, share) of at most `most` labelled rows outside the held-out fold, chosen by a hash of
-    the id, so that the choice doesn't depend on partitioning. share, 0 to 9, is for splitting off rows to
-    calibrate on. The bound keeps the join's build side and the rows sent to the driver small at any input size.
+    the id, so that the choice doesn't depend on partitioning, among those whose text has at most `most_bytes`
+    bytes. share, 0 to 9, is for splitting off rows to calibrate on. The bounds keep the join's build side and
+    what is sent to the driver small at any input size. A doc_id that is labelled more than once counts with its
+    largest label.
     """
     doc_id = F.col("doc_id").cast("long")
     chosen = (
@@ -164,8 +182,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     )
     rows = (
         docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .where(F.octet_length("text") <= most_bytes)
         .join(F.broadcast(chosen), "doc_id")
-        .where(F.col("text").isNotNull())
         .orderBy("rank", "doc_id", "text")
         .limit(most)
         .select("doc_id", "text", "label")
@@ -174,6 +192,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     return [(r["text"], r["label"], zlib.crc32(b"share%d" % r["doc_id"]) % 10) for r in rows]
 
 
+def give_back() -> None:
+    """Return the memory that a fit has freed to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def platt(raw: np.ndarray, label: np.ndarray, rounds: int = 200) -> tuple[float, float]:
     """a, b so that sigmoid(a * raw + b) is calibrated, by Newton steps with smoothed targets."""
     pos, neg = label.sum(), (1 - label).sum()

@@ -6,7 +6,8 @@ own index vector plus the scaled sum of those of its neighbours in all
 documents, which needs no label: each task sums its own documents' contexts,
 and Spark adds up the VOCABULARY rows of DIM numbers. A text is pooled to the mean and the spread of its tokens'
 vectors, and a network of one hidden layer, trained in numpy, scores the pool;
-a temperature and bias calibrate it on texts that the training never saw. Only
+a temperature (and a bias, since the training balances the labels) calibrates it
+on texts that the training never saw. Only
 the network is fitted on at most SAMPLE labelled texts of at most MOST_BYTES bytes.
 
 Defined results: a null or empty text pools to zeros and gets the network's
@@ -143,7 +144,6 @@ class Network:
 
 
 def fit(sample: list[tuple[str, int, int]], contexts: Callable[[], np.ndarray], rounds: int = 300) -> Network:
-    sample = [s for s in sample if len(s[0].encode()) <= MOST_BYTES]
     label = np.array([s[1] for s in sample], dtype=float)
     width = 2 * DIM + 1
     if len(set(label)) < 2:
@@ -175,7 +175,7 @@ def fit(sample: list[tuple[str, int, int]], contexts: Callable[[], np.ndarray],
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    net = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", *FOLD, sample), lambda: corpus_contexts(docs)))
+    net = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", *FOLD, sample, MOST_BYTES), lambda: corpus_contexts(docs)))
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), (fold_number(doc_id, FOLD[0]) == FOLD[1]).alias("held_out"))
 

@@ -1,6 +1,6 @@
 """Quality rules: base counts and a hashed n-gram logistic regression.
 
-Features are word unigrams and bigrams and byte n-grams of 3 and 5, hashed
+Features are word unigrams and bigrams and character n-grams of 3 and 5, hashed
 into 2 ** 16 buckets; a text's value in a bucket is its share of the text's
 n-grams of that kind. The regression is fitted on the driver on at most
 SAMPLE labelled texts of at most MOST_BYTES bytes each, then calibrated on the
@@ -8,8 +8,8 @@ tenths 0 to 2 of that sample, which the fit never saw. Every text is scored
 whole, in Arrow batches, and kept if its probability of label 1 reaches KEEP.
 
 Defined results: a null text and one without words have zero counts, fail the
-base rules and get the model's value for no n-grams; repeated rows each get a
-row; labels other than 0 and 1 are ignored; without labels of both kinds the
+base rules and get the model's value for no n-grams; repeated rows and rows
+without an id each get a row; labels other than 0 and 1 are ignored; without labels of both kinds the
 model says 1 for all; extra columns are ignored.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lectern.llm.arrow import chunks, documents, filtered, over_arrow
-from lectern.llm.features import Chunk, labelled_sample, mix, platt, sigmoid, spans_sum
+from lectern.llm.features import Chunk, characters, give_back, labelled_sample, mix, platt, sigmoid, spans_sum
 
 SAMPLE, MOST_BYTES = 3_000, 20_000
 BUCKETS = 1 << 16
@@ -39,7 +39,7 @@ def ngrams(chunk: Chunk, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
     yield ((hashes >> U(48)).astype(np.int64)), chunk.first
     at, pairs = chunk.windows(hashes, 2)
     yield ((mix(pairs + U(2)) >> U(48)).astype(np.int64)), np.searchsorted(chunk.word_doc[at], np.arange(chunk.n + 1))
-    wide = chunk.data.astype(np.uint32)
+    wide, at = characters(chunk.data, chunk.offsets)
     for width, factor in ((3, 0x9E3779B1), (5, 0x85EBCA6B)):
         m = max(len(wide) - width + 1, 0)
         value = np.zeros(m, np.uint32)
@@ -48,8 +48,8 @@ def ngrams(chunk: Chunk, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
             value += wide[k : k + m]
         value = (value * np.uint32(factor)) >> np.uint32(16)
         # n-grams that reach into the next text don't count.
-        starts = np.minimum(chunk.offsets, m)
-        ends = np.maximum(np.minimum(chunk.offsets[1:] - width + 1, m), starts[:-1])
+        starts = np.minimum(at, m)
+        ends = np.maximum(np.minimum(at[1:] - width + 1, m), starts[:-1])
         inside = np.ones(m, bool)
         for a, b in zip(ends, starts[1:], strict=True):
             inside[a:b] = False
@@ -75,7 +75,6 @@ class Model:
 
 def fit(sample: list[tuple[str, int, int]], rounds: int = 60) -> Model:
     """Full-batch Adam on class-balanced logistic loss."""
-    sample = [s for s in sample if len(s[0].encode()) <= MOST_BYTES]
     label = np.array([s[1] for s in sample], dtype=float)
     if len(set(label)) < 2:
         return Model(np.zeros((KINDS, BUCKETS)), (1.0, 10.0))
@@ -114,6 +113,12 @@ def fit(sample: list[tuple[str, int, int]], rounds: int = 60) -> Model:
     return Model(w, (a, b + a * bias))
 
 
+def fitted(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
+    model = fit(labelled_sample(docs, labels, "quality", *FOLD, sample, MOST_BYTES))
+    give_back()
+    return model
+
+
 def base_counts(chunk: Chunk, hashes: np.ndarray, texts: list[bytes]) -> dict[str, np.ndarray]:
     """The counts of the base rules for each text."""
     n_words = np.diff(chunk.first)
@@ -152,7 +157,7 @@ def verdicts(model: Model, texts: pa.Array, keep: float) -> tuple[dict[str, np.n
 
 def assess(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the calibrated score of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", *FOLD, sample)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,5 +170,5 @@ def assess(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int =
 
 def kept_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with all their columns, that assess() keeps."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", *FOLD, sample)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
     return filtered(docs, lambda: lambda texts: verdicts(model.value, texts, keep)[2])

@@ -1,25 +1,29 @@
 """Toxicity by compression distance.
 
 Texts are folded to lower case with every run of white space and ASCII marks
-as one space. There are two zstandard dictionaries: one trained on pieces of
-ordinary text, the other the same content and a raw lexicon of the words that
-set toxic text apart, which are those whose opening bytes stand in many more
-toxic than ordinary texts; zstandard's own training on toxic windows finds far
-fewer toxic texts (README). Every window of a text is compressed with both; how much
-shorter the toxic dictionary makes it is the window's distance. A logistic
+as one space. Two dictionaries are trained by zstandard: one on pieces of
+ordinary text, one on short windows of toxic text. Most of a toxic text is
+ordinary, so the windows that the second one learns from are themselves chosen
+by compression: in FOLDS parts of the toxic texts in turn, those windows that
+the other parts' text shortens by LEAST_GAIN bytes more than any of BLOCKS
+blocks of ordinary text of that size does. Nothing is chosen by words, labels
+of words or frequency; what recurs in those windows zstandard itself finds.
+
+Every window of a text is compressed with the ordinary dictionary and with
+that dictionary and the toxic one behind it; how much shorter the second way
+is, is the window's distance. A logistic
 calibration over a text's distances (the largest ones, and the shares beyond
 fixed steps) gives the score. It is fitted on training texts that the
-dictionaries never saw. The fit takes at most SAMPLE labelled texts of at most
-MOST_BYTES bytes.
+dictionaries never saw. The fit takes at most SAMPLE labelled texts among
+those of at most MOST_BYTES bytes.
 
 Defined results: a null or empty text has no window and gets the calibration's
-value for distances of 0; repeated rows each get a row; without labels of both
-kinds every score is 0; extra columns are ignored.
+value for distances of 0; repeated rows and rows without an id each get a row;
+without labels of both kinds every score is 0; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +37,15 @@ from lectern.llm.features import fold_number, fold_words, labelled_sample, sigmo
 SAMPLE, MOST_BYTES = 8_000, 30_000
 WINDOW, STRIDE = 48, 36
 STRATEGY, MIN_MATCH, SEARCH = zstandard.STRATEGY_BTOPT, 3, 6
-#: Gain from which a window's words are compressed alone; measures of a text;
-#: bytes of ordinary content behind a word that is compressed alone.
-#: Bytes of a word's opening with the space before it, shorter ones first; least texts and least ratio of rates for a
-#: telling one. No share of the toxic texts is asked for, so a rare term counts as soon as so few texts have it.
+#: Gain from which a window's words are compressed alone; measures of a text; bytes of ordinary content behind a word
+#: that is compressed alone.
 NEAR, MEASURES, TAIL = 2, 17, 24
-OPENINGS, LEAST_TEXTS, LEAST_RATIO = (5, 6, 7, 8, 9, 11), 4, 15
+#: Bytes and stride of the windows that the toxic dictionary may learn from, how they are chosen, and the segment and
+#: match lengths of its training: those of words.
+SPAN, STEP, LEAST_GAIN, FOLDS, BLOCKS, SEGMENT, MATCH = 20, 4, 3, 4, 4, 12, 8
 #: A missed toxic text costs as much as so many false alarms in the calibration.
 MISS_COST = 2.0
-ORDINARY_BYTES, TOXIC_BYTES = 8_192, 16_384
+ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1_024
 FOLD = (5, 0)
 THRESHOLD = 0.5
 
@@ -134,46 +138,66 @@ class Pair:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
-def openings(word: bytes) -> list[bytes]:
-    """Openings of one word with a space on either side."""
-    return [word[:n] for n in OPENINGS if n <= len(word)]
+def coder(content: bytes, log: int) -> zstandard.ZstdCompressor:
+    """A compressor with a raw dictionary, its tables of 2 ** log entries."""
+    way = zstandard.ZstdCompressionParameters(strategy=STRATEGY, min_match=MIN_MATCH, window_log=log + 3, hash_log=log, chain_log=log, search_log=8, write_content_size=0, write_checksum=0, write_dict_id=0)
+    own = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    own.precompute_compress(compression_params=way)
+    return zstandard.ZstdCompressor(dict_data=own, compression_params=way)
+
+
+def compressed(by: zstandard.ZstdCompressor, data: bytes, spans: np.ndarray) -> np.ndarray:
+    """Compressed lengths of the spans (start, length) of data."""
+    if not len(spans):
+        return np.zeros(0, np.int64)
+    parts = zstandard.BufferWithSegments(data, spans.astype(np.uint64).tobytes())
+    return np.fromiter(map(len, by.multi_compress_to_buffer(parts, threads=1)), np.int64, len(spans))
+
+
+def toxic_windows(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Windows of each part of the toxic texts that the other parts explain better than any block of ordinary text."""
+    blocks = [b"".join(ordinary[i::BLOCKS]) for i in range(BLOCKS)]
+    chosen: list[bytes] = []
+    for fold in range(FOLDS):
+        rest = b"".join(t for i, t in enumerate(toxic) if i % FOLDS != fold)
+        own = toxic[fold::FOLDS]
+        if not own:
+            continue
+        data = b"".join(own)
+        ends = np.cumsum([0, *map(len, own)])
+        starts = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b - SPAN + 1, STEP) for a, b in zip(ends[:-1], ends[1:], strict=True))])
+        spans = np.stack([starts, np.full(len(starts), SPAN)], 1)
+        least = np.min([compressed(coder(b[: 3 * len(rest) // 2], 20), data, spans) for b in blocks], axis=0)
+        gain = least - compressed(coder(rest, 20), data, spans)
+        chosen += [data[a : a + SPAN] for a in starts[gain >= LEAST_GAIN].tolist()]
+    return chosen
+
+
+def trained(samples: list[bytes], size: int, **way: int) -> bytes:
+    """The content of a dictionary that zstandard trains; the samples themselves where they are too few for it."""
+    for asked in (2 * size, size):
+        try:
+            found = zstandard.train_dictionary(asked, samples, **way).as_bytes()
+        except zstandard.ZstdError:
+            continue
+        if len(found) >= size:
+            # The most telling content stands at the end, nearest to what is compressed.
+            return found[-size:]
+    return b"".join(dict.fromkeys(samples))[-size:]
 
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """Ordinary content, and the content of telling words."""
-    counts = []
-    for texts in (toxic, ordinary):
-        seen: Counter = Counter()
-        for t in texts:
-            seen.update({o for w in set(t.split()) for o in openings(b" " + w + b" ")})
-        counts.append(seen)
-    rate = lambda n, of: n / max(len(of), 1)
-    telling = {k for k, n in counts[0].items() if n >= LEAST_TEXTS and rate(n, toxic) >= LEAST_RATIO * rate(counts[1][k] + 0.5, ordinary)}
-    words: Counter = Counter()
-    for t in toxic:
-        for w in set(t.split()):
-            word = b" " + w[:38] + b" "
-            if any(o in telling for o in openings(word)):
-                words[word] += 1
-    kept: list[bytes] = []
-    size = 0
-    for word, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
-        if size + len(word) > TOXIC_BYTES:
-            break
-        kept.append(word)
-        size += len(word)
-    pieces = [t[i : i + 256] for t in ordinary for i in range(0, len(t), 256)][:40_000]
-    trained = zstandard.train_dictionary(2 * ORDINARY_BYTES, pieces, level=3).as_bytes() if len(pieces) > 50 else b"".join(pieces)
-    # The most frequent content stands at a trained dictionary's end, nearest to what is compressed.
-    return trained[-ORDINARY_BYTES:].rjust(2 * TAIL), b"".join(reversed(kept)) or b" "
+    """The ordinary and the toxic dictionary's content."""
+    pieces = [t[i : i + 256] for t in ordinary for i in range(0, len(t), 256)]
+    plain = trained(pieces, ORDINARY_BYTES, level=3)
+    return plain.rjust(2 * TAIL), trained(toxic_windows(toxic, ordinary), TOXIC_BYTES, k=SEGMENT, d=MATCH) or b" "
 
 
 def fit(sample: list[tuple[str, int, int]]) -> Pair:
     chosen: dict[bytes, tuple[int, int, str]] = {}
     for text, label, share in sample:
-        if len(text.encode()) <= MOST_BYTES:
-            # Copies count once, so that their ordinary words don't look telling.
-            chosen.setdefault(fold_words(pa.array([text]))[0], (label, share, text))
+        # Copies count once, so that their ordinary words don't look telling.
+        chosen.setdefault(fold_words(pa.array([text]))[0], (label, share, text))
     learn = [[d for d, (label, share, _) in chosen.items() if label == kind and share > 3] for kind in (1, 0)]
     pair = Pair(*train_dictionaries(*learn), np.zeros(1), np.zeros(1), np.ones(1))
     rest = [(text, label) for label, share, text in chosen.values() if share <= 3]
@@ -200,7 +224,7 @@ def fit(sample: list[tuple[str, int, int]]) -> Pair:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    pair = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", *FOLD, sample)))
+    pair = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", *FOLD, sample, MOST_BYTES)))
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), (fold_number(doc_id, FOLD[0]) == FOLD[1]).alias("held_out"))
 
