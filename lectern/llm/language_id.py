@@ -9,7 +9,8 @@ with their code lengths, so its order is the same however many languages there
 are. A chunk's distinct (context, byte) keys are looked up once; a text's code
 length is a sum over all its bytes, and the language with the shortest code wins.
 
-Trained on about SAMPLE texts of each language, chosen by a hash of the id.
+Trained on at most SAMPLE distinct texts of each language outside the held-out
+fold, those with the smallest hashes among the texts of at most MOST_BYTES bytes.
 
 Defined results: a text without a letter, an empty and a null one are `und`
 with score 0; ties go to the language first in order of names; without any
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window
 
 from lectern.llm.arrow import chunks, filtered, over_arrow
 from lectern.llm.features import fold_number, fold_words, spans_sum
@@ -117,14 +118,16 @@ def train(sample: list[tuple[str, str]]) -> Contexts:
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """About `sample` texts of each language outside the held-out fold."""
+    """At most `sample` distinct texts of each language outside the held-out fold."""
     doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
-        F.col("lang").isNotNull() & (fold_number(F.col("doc_id"), FOLD[0]) != FOLD[1])
-    )
-    share = F.broadcast(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("share")))
-    chosen = rows.join(share, "lang").where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)) & (F.octet_length("text") <= MOST_BYTES))
-    return sorted((r["text"], r["lang"]) for r in chosen.select("text", "lang").collect())
+    rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & (fold_number(F.col("doc_id"), FOLD[0]) != FOLD[1]) & (F.octet_length("text") <= MOST_BYTES))
+    hashed = rows.select("lang", F.xxhash64("text").alias("name")).distinct()
+    # Copies meet as hashes before the smallest ones of each language are taken; so few are broadcast that texts stay where they are.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("name"))
+    smallest = hashed.withColumn("place", place).where(F.col("place") <= sample).select("lang", "name")
+    chosen = rows.withColumn("name", F.xxhash64("text")).join(F.broadcast(smallest), ["lang", "name"], "left_semi")
+    return sorted((r["text"], r["lang"]) for r in chosen.select("text", "lang").distinct().collect())
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
