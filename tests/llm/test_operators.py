@@ -322,15 +322,60 @@ def test_packing_asks_for_further_neighbours():
     assert {d for d, _, _ in first} == {0, *range(301, 401)}
 
 
-def test_toxic_lexicon_keeps_rare_terms():
-    """Terms that five of 400 toxic texts have, a little over 1 %, stand in the toxic dictionary, each of them."""
+def test_toxic_dictionary_is_trained_on_toxic_windows():
+    """What recurs in toxic texts alone ends up in the toxic dictionary; chosen windows are windows of toxic texts."""
     from tests.llm.conftest import prose
 
-    rare = [("zyx" + "abcdefgh"[k] * 4 + "qv").encode() for k in range(8)]
-    toxic = [b" " + prose(i, 30).encode() + b" " + (rare[i // 5] if i < 40 else b"vermin") + b" " for i in range(400)]
-    ordinary = [b" " + prose(1000 + i, 30).encode() + b" " for i in range(800)]
-    lexicon = toxicity.train_dictionaries(toxic, ordinary)[1]
-    assert all(b" " + w + b" " in lexicon for w in [*rare, b"vermin"])
+    rare = [("zyx" + "abcdefgh"[k] * 4 + "qv").encode() for k in range(4)]
+    toxic = [b" " + prose(i, 30).encode() + b" " + rare[i % 4] + b" " + prose(5000 + i, 10).encode() + b" " for i in range(200)]
+    ordinary = [b" " + prose(10_000 + i, 40).encode() + b" " for i in range(600)]
+    windows = toxicity.toxic_windows(toxic, ordinary)
+    assert windows and all(len(w) == toxicity.SPAN and any(w in t for t in toxic) for w in windows)
+    every = [t[i : i + toxicity.SPAN] for t in toxic for i in range(0, len(t) - toxicity.SPAN + 1, toxicity.STEP)]
+    share = lambda found: np.mean([any(r in w for r in rare) for w in found])
+    assert share(windows) > 1.5 * share(every)
+    plain, dictionary = toxicity.train_dictionaries(toxic, ordinary)
+    assert sum(any(w[i : i + 6] in dictionary for i in range(4)) for w in rare) >= 3 and not any(w in plain for w in rare)
+    assert toxicity.train_dictionaries([], []) == (b" " * 48, b" ")
+
+
+def test_toxicity_lengths_by_brute_force():
+    """Each window's lengths are those of compressing it alone with either dictionary, and its distances follow from them."""
+    import pyarrow as pa
+    import zstandard
+    from lectern.llm.features import fold_words
+    from tests.llm.conftest import prose
+
+    sample = [(prose(i, 40) + (" scoundrelly vermin " if i % 4 == 0 else " "), int(i % 4 == 0), i % 10) for i in range(200)]
+    pair = toxicity.fit(sample)
+    texts_ = pa.array([prose(999, 30) + " vermin", "", None, prose(998, 50)])
+    data, offsets = fold_words(texts_)
+    spans, at = toxicity.windows(offsets)
+    got = pair.lengths(data, spans)
+    way = zstandard.ZstdCompressionParameters(strategy=toxicity.STRATEGY, min_match=toxicity.MIN_MATCH, window_log=17, hash_log=15, chain_log=15, search_log=toxicity.SEARCH, write_content_size=0, write_checksum=0, write_dict_id=0)
+    for lengths, content in zip(got, (pair.ordinary, pair.ordinary + pair.toxic + pair.ordinary[-16:])):
+        one = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=way)
+        assert [len(one.compress(data[a : a + n])) for a, n in spans.tolist()] == lengths.tolist()
+    gain = got[0] - got[1]
+    assert pair.measures(texts_)[:, 0].tolist() == [max(gain[a:b], default=0) for a, b in zip(at[:-1], at[1:])]
+
+
+def test_toxicity_on_held_out_rows():
+    """Recall and false alarms on the labelled rows of sf0.1 that the fit never sees."""
+    import duckdb
+    import pyarrow as pa
+    import pytest
+    from pathlib import Path
+
+    if not Path("/root/testdata/sf0.1").exists():
+        pytest.skip("no driver tables here")
+    rows = duckdb.sql("SELECT d.doc_id, d.text, l.toxic FROM '/root/testdata/sf0.1/documents.parquet' d JOIN '/root/testdata/sf0.1/labels.parquet' l USING (doc_id) WHERE d.text IS NOT NULL ORDER BY 1").fetchall()
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    pair = toxicity.fit([(t, y, zlib.crc32(b"share%d" % i) % 10) for i, t, y in rows if fold(i) and len(t.encode()) <= toxicity.MOST_BYTES])
+    held = [(t, y) for i, t, y in rows if not fold(i)]
+    score = np.concatenate([pair.score(pa.array([t for t, _ in held[i : i + 200]])) for i in range(0, len(held), 200)])
+    label = np.array([y for _, y in held])
+    assert (score >= 0.5)[label == 1].mean() >= 0.65 and (score >= 0.5)[label == 0].mean() <= 0.04
 
 
 def test_language_order_is_fixed_and_bytes_are_kept_apart():
@@ -350,3 +395,138 @@ def test_language_order_is_fixed_and_bytes_are_kept_apart():
         for i in range(len(probe)):
             assert abs(bits[i, j] - ppm_bits([stream], data[at[i] : at[i + 1]], 256, 3)) < 1e-3
     assert model.predict(pa.array([t for t, _ in sample]))[0] == [lang for _, lang in sample]
+
+
+def test_bpe_takes_linear_time():
+    """Four times the letters of one word take less than six times as long, and long words are exact."""
+    import time
+
+    bpe = load(public_tokenizers.path("byte_bpe_50k.json"))
+    random = np.random.default_rng(6)
+    word = "".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 400_000))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert bpe.encode(word[:20_000]).tolist() == library.encode(word[:20_000], add_special_tokens=False).ids
+    took = []
+    for n in (100_000, 400_000):
+        began = time.process_time()
+        bpe.encode(word[:n])
+        took.append(time.process_time() - began)
+    assert took[1] < 6 * took[0] + 0.2
+
+
+def test_word_tokens_are_the_library_s():
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    bpe = load(public_tokenizers.path("word_bpe_49k.json"))
+    random = np.random.default_rng(9)
+    letters = list("abc thE's\n\t 1234'll!!éÀ中🙂ßİΣ́\x1c\x85\u00a0 ") + ["<|endoftext|>", "<|ENDOFTEXT|>", "  ", "aaaa", "Word, "]
+    for _ in range(800):
+        text = "".join(random.choice(letters, random.integers(0, 25)))
+        assert bpe.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_larger_than_a_chunk(spark):
+    """One text of over two megabytes among short ones, through the encoders and counts."""
+    from lectern.llm.arrow import CHUNK_BYTES
+    from tests.llm.conftest import prose
+
+    long = " ".join(prose(i, 4000) for i in range(90))
+    assert len(long) > 2 * CHUNK_BYTES
+    frame = spark.createDataFrame([(1, long), (2, "short"), (3, None), (4, long)], "doc_id long, text string")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = len(library.encode(long, add_special_tokens=False).ids)
+    assert {r.doc_id: r.n_tokens for r in bpe_codec.round_trip(frame).collect()} == {1: n, 2: 1, 3: 0, 4: n}
+    packed = packing.pack(frame).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert len(packed) == 4 and all(r.n == r.m for r in packed)
+    got = {r.doc_id: r for r in jaccard_join.jaccard_components(frame).collect()}
+    assert got[4].component_id == 1 and got[1].n_shingles == len(grams(long)) and got[3].component_id == 3
+
+
+def test_jaccard_links_through_rows_without_an_id(spark):
+    """Two documents that only a row without an id connects are one component; such rows alone have none."""
+    from tests.llm.conftest import prose
+
+    words = prose(4242, 100).split()
+    changed = lambda *at: " ".join("x%d" % i if i in at else w for i, w in enumerate(words))
+    rows = [(1, changed(10)), (2, changed(90)), (None, changed()), (3, prose(1, 60)), (None, prose(2, 60)), (None, prose(2, 60))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=92).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (None, 1), (3, 3), (None, None)}
+
+
+def test_jaccard_hot_buckets(spark):
+    """Documents around one passage change to short postings at once, and lose no link."""
+    from tests.llm.conftest import prose
+
+    passage = prose(77, 60)
+    rows = [(i, passage + " " + prose(300 + i // 2, 40) + (" end" if i % 2 else "")) for i in range(40)]
+    parent = {i: i for i, _ in rows}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, x in rows:
+        for b, y in rows:
+            if 100 * len(grams(x) & grams(y)) >= 80 * len(grams(x) | grams(y)):
+                p, q = sorted((top(a), top(b)))
+                parent[q] = p
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1, 32):
+        got = jaccard_join.jaccard_components(frame, percent=80, hot=hot).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(i, top(i)) for i, _ in rows}
+
+
+def test_short_signatures_are_complete():
+    random = np.random.default_rng(13)
+    for percent in (80, 90):
+        for short in (False, True):
+            for n in (5, 9, 14, 20, 40, 150, 500):
+                for _ in range(25):
+                    most = max(2, n * (100 - percent) // 100 + 2)
+                    first = np.unique(random.integers(1, 1 << 62, n).astype(np.uint64))
+                    keep = first[random.permutation(len(first))[: len(first) - random.integers(0, most)]]
+                    second = np.unique(np.concatenate([keep, random.integers(1, 1 << 62, random.integers(0, most)).astype(np.uint64)]))
+                    a, b = set(first.tolist()), set(second.tolist())
+                    if a != b and b and 100 * len(a & b) >= percent * len(a | b):
+                        sigs, at = jaccard_join.signatures(np.concatenate([first, second]), np.array([0, len(first), len(first) + len(second)]), percent, short)
+                        assert set(sigs[: at[1]].tolist()) & set(sigs[at[1] :].tolist())
+
+
+def test_maxscore_by_brute_force():
+    """Sparse, tied, very large and repeated vectors; doubles, 64-bit integers and beyond."""
+    random = np.random.default_rng(21)
+    cases = [random.normal(0, 1000, (300, 16)).astype(np.int64), np.abs(random.normal(0, 1000, (5000, 12)).astype(np.int64)) * (random.random((5000, 12)) < 0.2), random.integers(-(10**6), 10**6, (200, 8)), random.integers(-(5 * 10**8), 5 * 10**8, (200, 64)), random.integers(-(10**12), 10**12, (60, 4))]
+    for vectors in cases:
+        ids = random.integers(0, len(vectors), len(vectors))
+        own = np.array([*random.integers(0, len(vectors), 4), -1])
+        queries = vectors[own]
+        q, r, score = topk_search.maxscore(queries, own, vectors, ids, 10)
+        cut = lambda x: min(max(x, -(1 << 63)), (1 << 63) - 1)
+        for k in range(len(queries)):
+            every = sorted((-sum(int(a) * int(b) for a, b in zip(queries[k], vectors[i])), int(ids[i])) for i in range(len(vectors)) if i != own[k])[:10]
+            assert sorted((-int(s), int(ids[i])) for s, i in zip(score[q == k], r[q == k])) == sorted((-cut(-s), i) for s, i in every)
+
+
+def test_topk_of_repeated_ids(spark):
+    """A query's own row is no candidate, another row with its id is."""
+    rows = [(100, [1.0, 0.0]), (100, [2.0, 0.0]), (7, [0.5, 0.0])]
+    got = sorted(tuple(r) for r in topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    two, half = 1024 * 2048, 512
+    assert got == sorted([(100, 1, 100, two), (100, 2, 7, 1024 * half), (100, 1, 100, two), (100, 2, 7, 2048 * half)])
+    big = [(100, [1e6, 3.0]), (1, [1e6, 1.0]), (2, [1e6 + 1, 1.0])]
+    got = [tuple(r) for r in topk_search.search(spark.createDataFrame(big, "vec_id long, embedding array<double>")).collect()]
+    q = [1024 * 10**6, 3072]
+    assert sorted(got) == [(100, 1, 2, q[0] * 1024 * (10**6 + 1) + q[1] * 1024), (100, 2, 1, q[0] * q[0] + q[1] * 1024)]
+
+
+def test_character_ngrams():
+    """Character n-grams are those of the text's letters, not of its bytes."""
+    import pyarrow as pa
+    from lectern.llm.features import characters, Chunk
+
+    strings = ["aé中🙂b", "", "ßz", "plain"]
+    chunk = Chunk(pa.array(strings))
+    codes, at = characters(chunk.data, chunk.offsets)
+    assert [[chr(c) for c in codes[a:b]] for a, b in zip(at[:-1], at[1:])] == [list(t) for t in strings]
+    kinds = list(quality_rules.ngrams(chunk, chunk.word_hashes()))
+    assert np.diff(kinds[2][1]).tolist() == [3, 0, 0, 3] and np.diff(kinds[3][1]).tolist() == [1, 0, 0, 1]
