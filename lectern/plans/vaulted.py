@@ -190,3 +190,9 @@ def _register(check: str, name: str, sql: str) -> None:
 
 for _check, (_name, _sql) in EXPECTED.items():
     _register(_check, _name, _sql)
+
+
+@query(PRELUDE + " UNION ALL ".join(f"SELECT kb, path, '{check}' AS check_id, '{audit.CHECKS[check][0]}' AS severity, message FROM ({sql})" for check, (_, sql) in EXPECTED.items()))
+def q15_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The findings of all these checks together."""
+    return audit.findings(vault_of(spark, d), list(EXPECTED))
