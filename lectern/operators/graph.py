@@ -96,8 +96,9 @@ def orphan_shapes(nodes: DataFrame, links: DataFrame, hub: int = 10) -> DataFram
     return degrees(nodes, links).withColumn("shape", shape)
 
 
-def lineage(citations: DataFrame, start: DataFrame, depth: int = 10) -> DataFrame:
-    """(root, node, depth) of what a document rests on through its sources, each node at its least depth."""
+def lineage(citations: DataFrame, start: DataFrame, depth: int = 100) -> DataFrame:
+    """(root, node, depth) of what a document rests on through its sources, each node at its least depth; a
+    lineage deeper than `depth` is an error."""
     edges = citations.select(F.col("concept").alias("node"), F.col("page").alias("next")).distinct()
     seen = materialise(start.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")), "lineage")
     front = seen
@@ -107,4 +108,6 @@ def lineage(citations: DataFrame, start: DataFrame, depth: int = 10) -> DataFram
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+    else:
+        raise RuntimeError(f"a lineage is deeper than {depth}")
     return seen

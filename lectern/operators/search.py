@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 #: Fixed values of the ranking: weights of a word in a title, tags and description, the cap on a body's count,
 #: the weight of a word that the last query word begins and how many of those count, the weight of question
@@ -11,11 +11,20 @@ TITLE, TAGS, DESCRIPTION, CAP = 10.0, 5.0, 3.0, 20
 PREFIX_WEIGHT, PREFIXES, QUESTIONS, ALIAS = 0.6, 300, 0.3, 100.0
 
 
-def fields(docs: DataFrame) -> DataFrame:
-    """The index (doc, word, in_title, in_tags, in_desc, tf) of docs (doc, title_words, tag_words, desc_words, body_words)."""
-    flag = lambda c, n: docs.select("doc", F.explode(F.array_distinct(c)).alias("word")).withColumn(n, F.lit(True))
+def asked(terms: list[str]) -> Column:
+    """Which words a query of these terms can touch: the terms and what the last one begins."""
+    last = terms[-1] if terms else ""
+    exact = F.col("word").isin(*dict.fromkeys(terms)) if terms else F.lit(False)
+    return exact | F.startswith(F.col("word"), F.lit(last)) if len(last) >= 2 else exact
+
+
+def fields(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """The index (doc, word, in_title, in_tags, in_desc, tf) of docs (doc, title_words, tag_words, desc_words,
+    body_words); with terms only the words that a query of them can touch, left out before anything is shuffled."""
+    keep = asked(terms) if terms is not None else F.lit(True)
+    flag = lambda c, n: docs.select("doc", F.explode(F.array_distinct(c)).alias("word")).where(keep).withColumn(n, F.lit(True))
     rows = [flag("title_words", "in_title"), flag("tag_words", "in_tags"), flag("desc_words", "in_desc")]
-    body = docs.select("doc", F.explode("body_words").alias("word")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf"))
+    body = docs.select("doc", F.explode("body_words").alias("word")).where(keep).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf"))
     out = body
     for r in rows:
         out = out.unionByName(r, allowMissingColumns=True)

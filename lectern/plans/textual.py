@@ -12,10 +12,10 @@ from lectern.session import table
 FOLD = "regexp_extract_all(strip_accents(replace(replace(replace(replace(lower({0}), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')), '[a-z0-9]+')"
 
 
-def search_index(spark, d):
+def search_index(spark, d, terms=None):
     docs = table(spark, d, "documents")
     first = F.split_part("text", F.lit("\n"), F.lit(1))
-    return R.fields(docs.select(F.col("doc_id").alias("doc"), T.words(first).alias("title_words"), F.array(F.lower("source")).alias("tag_words"), T.words(F.col("lang")).alias("desc_words"), T.words(F.substring("text", F.length(first) + 2, F.length("text"))).alias("body_words")))
+    return R.fields(docs.select(F.col("doc_id").alias("doc"), T.words(first).alias("title_words"), F.array(F.lower("source")).alias("tag_words"), T.words(F.col("lang")).alias("desc_words"), T.words(F.substring("text", F.length(first) + 2, F.length("text"))).alias("body_words")), terms)
 
 
 @query(f"""WITH d AS (SELECT doc_id AS doc, {FOLD.format("split_part(text, chr(10), 1)")} AS tw, [lower(source)] AS gw, {FOLD.format("lang")} AS dw, {FOLD.format("substr(text, length(split_part(text, chr(10), 1)) + 2)")} AS bw FROM documents),
@@ -25,7 +25,8 @@ x AS (SELECT 'that' AS term, 'that' AS word, 1.0::DOUBLE AS weight UNION ALL SEL
 v AS (SELECT doc, term, max(weight * (10.0 * t::INT + 5.0 * g::INT + 3.0 * e::INT + CASE WHEN t THEN 0 ELSE sqrt(least(tf, 20)) END)) AS value FROM i JOIN x USING (word) GROUP BY ALL)
 SELECT doc, round(sum(value) * pow(count(*) / 3.0, 2), 6) AS score FROM v GROUP BY doc ORDER BY sum(value) * pow(count(*) / 3.0, 2) DESC, doc LIMIT 10""")
 def q1_search(spark, d):
-    return R.search(search_index(spark, d), ["that", "other", "thin"]).withColumn("score", F.round("score", 6))
+    terms = ["that", "other", "thin"]
+    return R.search(search_index(spark, d, terms), terms).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH t AS (SELECT doc_id, upper(left(md5(text), 10)) || right(md5(text), 10) AS tok FROM documents) SELECT doc_id, tok AS token FROM t

@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark.sparkContext, "_lectern_shared", None)
+        if not base and not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir: executors don't see the driver's temporary folder")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="lectern-shared-")
             spark.sparkContext._lectern_shared = base
