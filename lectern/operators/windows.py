@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def _lines(doc: str = "doc") -> Window:
@@ -160,17 +164,24 @@ def batches(rows: DataFrame, order: list[str], size: int = 50, group: list[str]
 
 
 def packs(rows: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
-    """Pack numbers; a new pack begins where the bytes would exceed `most`. Sequential within a group."""
-    grouped = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("pack"), F.lit(0).cast("long").alias("held"), F.expr("CAST(array() AS array<bigint>)").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        over = (acc["held"] > 0) & (acc["held"] + r["s"] > most)
-        pack = F.when(over, acc["pack"] + 1).otherwise(acc["pack"])
-        return F.struct(pack.alias("pack"), (F.when(over, F.lit(0)).otherwise(acc["held"]) + r["s"]).cast("long").alias("held"), F.concat(acc["out"], F.array(pack)).alias("out"))
-
-    numbered = grouped.select(group, "rows", F.aggregate("rows", start, step)["out"].alias("packs"))
-    return numbered.select(group, F.explode(F.arrays_zip("rows", "packs")).alias("z")).select(group, F.col("z.rows.o").alias(order), F.col("z.rows.s").alias(size), F.col("z.packs").alias("pack"))
+    """Pack numbers; a new pack begins where the bytes would exceed `most`. A group's rows stream through one
+    task in order, which holds only the running pack."""
+    sized = rows.select(group, order, F.col(size).cast("long").alias(size))
+
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, pack, held = object(), 0, 0
+        for frame in frames:
+            out = []
+            for key, n in zip(frame[group], frame[size], strict=True):
+                if key != now:
+                    now, pack, held = key, 0, 0
+                elif held and held + n > most:
+                    pack, held = pack + 1, 0
+                held += n
+                out.append(pack)
+            yield frame.assign(pack=out)
+
+    return sized.repartition(group).sortWithinPartitions(group, order).mapInPandas(numbered, StructType([*sized.schema.fields, StructField("pack", LongType())]))
 
 
 def line_novelty(docs: DataFrame, least: int = 1) -> DataFrame:

@@ -219,10 +219,13 @@ def quotation_check(v: Vault) -> DataFrame:
 
 
 def novelty_packs(docs: DataFrame, most: int = 250_000) -> DataFrame:
-    """Q5: packed texts with the pack that each goes to."""
+    """Q5: packed texts with the pack that each goes to; documents named kb|path are packed by kb, others by their
+    folder."""
     packed = W.collapsed(docs)
-    sized = packed.select("doc", "text", F.octet_length("text").alias("bytes"), F.lit(0).alias("all"))
-    return packed.join(W.packs(sized, "all", "doc", "bytes", most).select("doc", "pack"), "doc")
+    name = F.col("doc").cast("string")
+    group = F.when(name.contains("|"), F.split_part(name, F.lit("|"), F.lit(1))).otherwise(F.regexp_extract(name, "^(.*)/[^/]*$", 1))
+    sized = packed.select("doc", F.octet_length("text").alias("bytes"), group.alias("kb"))
+    return packed.join(W.packs(sized, "kb", "doc", "bytes", most).select("doc", "kb", "pack"), "doc")
 
 
 def read_marks(claims: DataFrame, bodies: DataFrame, readings: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.plans import audit
+from lectern.functions import text as T
+from lectern.plans import audit, composites
 from lectern.plans.relational import query
 from lectern.session import table
 from lectern.sources import vault
@@ -196,3 +197,71 @@ for _check, (_name, _sql) in EXPECTED.items():
 def q15_audit(spark: SparkSession, d: str) -> DataFrame:
     """The findings of all these checks together."""
     return audit.findings(vault_of(spark, d), list(EXPECTED))
+
+
+@query(PRELUDE + "SELECT kb FROM n")
+def s1_knowledge_bases(spark: SparkSession, d: str) -> DataFrame:
+    return vault.knowledge_bases(files_of(spark, d))
+
+
+@query(PRELUDE + """SELECT kb, path, CASE WHEN whole THEN (SELECT c_name FROM customer WHERE c_custkey = k) END AS title, CASE WHEN whole THEN CASE WHEN k % 7 = 0 THEN 'draft' ELSE 'stable' END END AS status FROM c
+UNION ALL SELECT kb, 'Wiki/questions.md', 'Questions', 'stable' FROM n""")
+def s3_concept_scan(spark: SparkSession, d: str) -> DataFrame:
+    return vault_of(spark, d).concepts.select("kb", "path", "title", "status")
+
+
+@query(PRELUDE + """SELECT kb, path, CASE WHEN k % 11 <> 0 THEN 'Customer' END AS type, CASE WHEN k % 13 = 0 THEN NULL WHEN k % 17 = 0 THEN 'bob' ELSE 'librarian/one' END AS made_by, CASE WHEN k % 13 <> 0 THEN written || 'T10:00:00Z' END AS made_at,
+  stale AS stale_after, CAST((k % 19 < 2) AS INTEGER) AS n_verified FROM c WHERE whole""")
+def s4_frontmatter(spark: SparkSession, d: str) -> DataFrame:
+    rows = vault_of(spark, d).concepts.where("path LIKE 'Wiki/customers/%' AND title IS NOT NULL")
+    return rows.select("kb", "path", "type", F.col("generated.by").alias("made_by"), F.col("generated.at").alias("made_at"), "stale_after", F.size("verified").alias("n_verified"))
+
+
+@query(PRELUDE + "SELECT kb, path AS concept, id, page, dated AS last_modified, coalesce(author, '') AS author FROM s")
+def s5_citation_scan(spark: SparkSession, d: str) -> DataFrame:
+    return vault_of(spark, d).citations.select("kb", "concept", "id", "page", "last_modified", F.array_join("author", ";").alias("author"))
+
+
+ALL_ORDERS = "(SELECT chr(CAST(65 + c_nationkey AS INTEGER)) || 'a_kb' AS kb, o_orderkey AS o, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders JOIN customer ON c_custkey = o_custkey)"
+
+
+@query(f"SELECT kb, 'Raw/o-' || o || '.md' AS path, 'Order ' || o AS title, day AS date_added FROM {ALL_ORDERS} WHERE o % 10 <> 3")
+def s7_archive_pages(spark: SparkSession, d: str) -> DataFrame:
+    return vault_of(spark, d).pages.select("kb", "path", "title", "date_added")
+
+
+@query(PRELUDE + f"SELECT kb, 'Raw/o-' || o || '.md' AS page FROM {ALL_ORDERS} WHERE o % 3 = 0 UNION ALL SELECT kb, 'Raw/none.md' FROM n WHERE nation % 4 = 1")
+def s9_ledger_scan(spark: SparkSession, d: str) -> DataFrame:
+    return vault_of(spark, d).ledger.select("kb", "page")
+
+
+@query(PRELUDE + "SELECT kb, path AS src, 'Wiki/customers/c-' || (k + 25) || '.md' AS dst FROM c WHERE whole")
+def g1_concept_links(spark: SparkSession, d: str) -> DataFrame:
+    return vault_of(spark, d).links.select("kb", "src", "dst")
+
+
+@query(PRELUDE + """SELECT kb, path, CASE WHEN whole AND k % 7 <> 0 THEN 'stable' ELSE 'draft' END AS status, CASE WHEN whole AND k % 19 < 2 THEN 'verified' WHEN EXISTS (SELECT 1 FROM s WHERE s.k = c.k) THEN 'sourced' ELSE 'unsourced' END AS tier,
+  coalesce(whole AND stale < '2000-06-30', false) AS stale, CAST((SELECT count(*) FROM s WHERE s.k = c.k) AS INTEGER) AS n_sources FROM c UNION ALL SELECT kb, 'Wiki/questions.md', 'stable', 'unsourced', false, 0 FROM n""")
+def p29_trust(spark: SparkSession, d: str) -> DataFrame:
+    rows = vault_of(spark, d).concepts.select("kb", "path", F.struct("status", "verified", "sources", "generated", "stale_after").alias("c"))
+    return rows.select("kb", "path", T.trust(F.col("c"), NOW[:10]).alias("t")).select("kb", "path", "t.status", "t.tier", "t.stale", F.col("t.n_sources").cast("int").alias("n_sources"))
+
+
+def _lengths() -> str:
+    counted = {"raw_without_fate": "C71", "author_splits": "C69", "date_splits": "C75", "descriptions_behind": "C81", "body_after_footnotes": "C80", "paths_unresolved": "C76"}
+    parts = [f"SELECT kb, '{queue}' AS queue, " + ("count(*)" if check == "C71" else "CAST(max(split_part(message, ' ', 1)) AS BIGINT)") + f" AS n FROM ({EXPECTED[check][1]}) GROUP BY kb" for queue, check in counted.items()]
+    parts.append("SELECT kb, 'drafts_unnamed', count(*) FROM c WHERE whole AND k % 7 = 0 GROUP BY kb")
+    parts += [f"SELECT kb, '{queue}', count(*) FROM i WHERE state IN ({states}) GROUP BY kb" for queue, states in (("items_open", "0, 5"), ("items_deferred", "2"))]
+    names = "pairs_unread raw_without_fate drafts_unnamed open_question_bullets held_readings stale_claims changed_pages author_splits date_splits descriptions_behind body_after_footnotes paths_unresolved items_open items_deferred deferred_passed".split()
+    return (
+        PRELUDE + ", q AS (" + " UNION ALL ".join(parts) + "), w AS (SELECT n.kb, x.queue, coalesce(q.n, 0) AS n FROM n CROSS JOIN (SELECT unnest(" + str(names) + ") AS queue) x LEFT JOIN q ON q.kb = n.kb AND q.queue = x.queue) "
+        "SELECT kb, queue, n FROM w UNION ALL SELECT kb, 'total', CAST(sum(n) AS BIGINT) FROM w WHERE queue NOT IN ('items_open', 'items_deferred', 'deferred_passed') GROUP BY kb"
+    )
+
+
+@query(_lengths())
+def q13_queues(spark: SparkSession, d: str) -> DataFrame:
+    v = vault_of(spark, d)
+    items = audit.items_of(v, "/questions\\.md$").select("kb", "item", "state", "resolution")
+    unread = spark.createDataFrame([], "kb string, a string, b string")
+    return composites.queues(v, items, unread).select("kb", "queue", F.col("n").cast("long").alias("n"))
