@@ -57,7 +57,17 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lectern_path = path
+    return out
+
+
+def discard(written: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    spark, path = written.sparkSession, getattr(written, "_lectern_path", None)
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
