@@ -6,60 +6,85 @@ class, found by a 128-bit digest, and only one document of a class goes on.
 Two sets of sizes a and b with similarity p / q or more differ in at most
 D = (a + b) * (q - p) / (q + p) elements. Sizes fall in bands so wide that a
 set's smaller partners lie in its own band or the one below. In a band the
-universe is hashed into D + 1 segments, so two similar sets agree on at least
-one whole segment; a segment's subset is its signature. An empty subset says
-nothing and would gather unrelated documents, so it gives no signature: the
-allocation moves its unit to the one-deletion neighbourhoods of two other
-segments (if all agreeing segments are empty, another one differs in exactly
-one element).
-
-Documents that share a signature are joined to the bucket's most connected
-member first, which is linear in the bucket; after those candidates are
-verified, only members of a bucket that are still in different components are
-compared, behind an exact lower bound on the difference from 512-bit parity
-sketches. Every candidate is verified on the sets themselves.
+universe is hashed into numbered segments, a few more than any D of the band
+needs. A set's signatures are its subsets of the first D + 1 segments in which
+it has any element, D being that of its largest partner: of the segments up to
+the smaller one's last, at most D differ, so one that both have agrees. A set
+with too few such segments indexes one-deletion neighbourhoods as well.
+
+Which units a set pays for depends on the postings that are counted. Subsets
+are cheap, but a frequent passage's shingle alone in a segment has long
+postings. Documents in a bucket of more than HOT members that are not linked
+through its hub change to units that cost more signatures and have short
+postings: half as many segments, each with its one-deletion neighbourhood, of
+which one differs in at most one element. Every pair that only shares long
+postings has both documents there, so nothing is lost.
+
+Candidates are compared in rounds, and each round leaves out what the links so
+far connect: every document with the most connected one that it shares a bucket
+with; then with the most connected one of each of its buckets, which is linear
+in the buckets; only then the members of a bucket with one another, where the
+join emits only pairs within an exact lower bound on the difference from
+512-bit parity sketches. Every candidate is verified on the sets themselves,
+which are built for candidates alone. Signatures are made and counted in passes over ranges of
+their hashes, a fixed number for a given similarity, so that the shuffled rows
+of one pass are on disk at a time.
 
 Defined results: a null text or one without words has the empty set, which
 links with nothing; fewer words than the shingle's width form one shingle;
-repeated rows each get a row, and count as copies; extra columns are ignored;
-an empty table gives an empty result.
+repeated rows each get a row, and count as copies; rows without an id link as
+others do, but never name a component (null, if no member has an id); ids are
+below 2 ** 62; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.llm.arrow import chunks, documents, over_arrow
 from lectern.llm.features import Chunk, mix
 from lectern.operators.graph import connected_components
-from lectern.session import materialise
+from lectern.session import discard, materialise
 
 WIDTH, PERCENT = 3, 90
-#: A band is so many factors of similarity wide: wider ones have more segments, narrower ones more sets that
-#: also need the band below; three gives the fewest signatures.
+#: A band is so many factors of similarity wide: in wider ones small sets have few elements a segment, in narrower ones
+#: more sets need the band below as well.
 BAND = 3
+#: Members of a bucket from which its documents change to the signatures with short postings.
+HOT = 32
+#: Ids from here on stand for classes whose documents have none.
+NAMELESS = 1 << 62
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 U = np.uint64
 
 
+def differ(total, percent: int):
+    """The most elements in which two sets of so many elements together may differ."""
+    return total * (100 - percent) // (100 + percent)
+
+
+def passes(percent: int) -> int:
+    """Passes over the signatures: about one for each sixteenth of a set's elements that gives one."""
+    return max(1, 16 * differ(100 + 10_000 // percent, percent) // 100)
+
+
 @lru_cache(maxsize=8)
 def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower edges of the size bands, the largest partner of each band's sets, and each band's segments."""
-    part = lambda total: total * (100 - percent) // (100 + percent)
-    first = next(n for n in range(1, 10_000) if part(n + n * 100 // percent) > 0)
+    """Lower edges of the size bands, the largest partner of each band's sets, and the most elements a pair differs in."""
+    first = next(n for n in range(1, 10_000) if differ(n + n * 100 // percent, percent) > 0)
     edges = [first]
     while edges[-1] <= largest:
         edges.append(max(edges[-1] * 100 // percent + 1, edges[-1] * 100**BAND // percent**BAND))
     edges.append(edges[-1] * 100**BAND // percent**BAND + 1)
     top = [e - 1 for e in edges[1:]]
     partner = [t * 100 // percent for t in top]
-    return np.array(edges), np.array(partner), np.array([part(t + p) + 1 for t, p in zip(top, partner, strict=True)])
+    return np.array(edges), np.array(partner), np.array([differ(t + p, percent) for t, p in zip(top, partner, strict=True)])
 
 
 def shingles(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,10 +107,10 @@ def shingles(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(docs, np.arange(chunk.n + 1))
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of each set and n + 1 offsets."""
+def signatures(values: np.ndarray, offsets: np.ndarray, percent: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of each set and n + 1 offsets; short: those with short postings."""
     sizes = np.diff(offsets)
-    edges, partner, segments = bands(percent, 1 << 40)
+    edges, partner, most = bands(percent, 1 << 40)
     own = np.searchsorted(edges, sizes, side="right") - 1
     out_doc, out_sig = [np.zeros(0, np.int64)], [np.zeros(0, U)]
     spread = mix(values ^ U(0xA5A5A5A5))
@@ -95,45 +120,57 @@ def signatures(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[n
         docs = np.flatnonzero(use)
         if not len(docs):
             continue
-        m = segments[band[docs]]
-        base = np.concatenate([[0], np.cumsum(m)])
         n = sizes[docs]
+        # The largest difference from a partner in this band: of the own band or the next, or at most the band's top.
+        d = differ(n + (n * 100 // percent if below == 0 else edges[band[docs] + 1] - 1), percent)
+        # A sixth more segments than differences leaves enough with elements.
+        m = most[band[docs]] // 2 + 1 if short else most[band[docs]] + 1 + most[band[docs]] // 6 + (most[band[docs]] > 2)
+        base = np.concatenate([[0], np.cumsum(m)])
         which = np.repeat(np.arange(len(docs)), n)
         element = np.repeat(offsets[docs] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        key = mix(values[element] + U(0x1234567) * (band[docs][which].astype(U) + U(1)))
+        key = mix(values[element] + U(0x1234567 + 0x1000000 * short) * (band[docs][which].astype(U) + U(1)))
         segment = base[which] + (key % m[which].astype(U)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
         segment, element = segment[order], element[order]
         start = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         filled = segment[start]
+        length = np.diff(np.concatenate([start, [len(segment)]]))
         total = np.add.reduceat(spread[element], start)
         owner = np.searchsorted(base, filled, side="right") - 1
-        place = mix(band[docs][owner].astype(U) * U(1 << 32) + (filled - base[owner]).astype(U))
-        out_doc.append(docs[owner])
-        out_sig.append(mix(total ^ place))
-        # Sets with empty segments. If two similar sets agree only where both are empty, in e segments, then of the
-        # others, which all differ, at most e - 1 differ in more than one element. So one of the first 2e segments
-        # differs in exactly one; a set with E >= e empty ones indexes the neighbourhoods of its first 2E segments.
-        empty = m - np.bincount(owner, minlength=len(docs))
         number = filled - base[owner]
-        some = number < 2 * empty[owner]
-        if (empty > 0).any():
-            near = mix(place + U(99))
+        place = mix(band[docs][owner].astype(U) * U(1 << 32) + number.astype(U) + U(short) * U(1 << 62))
+        held = np.bincount(owner, minlength=len(docs))
+        if short:
+            # Of the first d // 2 + 1 segments one differs in at most one element, none included.
+            near, some, lone_docs = place, number <= d[owner] // 2, np.flatnonzero(held < m)
+            out_doc.append(docs[owner[some]])
+            out_sig.append(mix(total[some] ^ near[some]))
+        else:
+            # The first d + 1 segments with elements.
+            rank = np.arange(len(owner)) - (np.cumsum(held) - held)[owner]
+            take = rank <= d[owner]
+            out_doc.append(docs[owner[take]])
+            out_sig.append(mix(total[take] ^ place[take]))
+            # Sets with fewer. If two of them agree only where both are empty, in e segments, then of the others, which
+            # all differ, at most e - 1 differ in more than one element. So one of the first 2e segments differs in
+            # exactly one; a set with E >= e empty ones indexes the neighbourhoods of its first 2E segments.
+            empty = np.where(held <= d, m - held, 0)
+            near, some, lone_docs = mix(place + U(99)), number < 2 * empty[owner], np.flatnonzero(empty > 0)
             out_doc.append(docs[owner[some]])
             out_sig.append(mix(total[some] ^ near[some]))
-            length = np.diff(np.concatenate([start, [len(segment)]]))
-            run = np.repeat(np.arange(len(start)), length)
-            pick = some[run]
-            out_doc.append(docs[owner[run[pick]]])
-            out_sig.append(mix((total[run[pick]] - spread[element[pick]]) ^ near[run[pick]]))
-            # The difference may be an element against none; and with more than half of the segments
-            # empty in both, nothing else may be left: then the empty segments themselves are indexed.
-            for d in np.flatnonzero(empty > 0):
-                lone = np.setdiff1d(np.arange(m[d]), number[owner == d])
-                lone = lone[(lone < 2 * empty[d]) | (2 * empty[d] > m[d])]
-                where = mix(U(band[docs[d]]) * U(1 << 32) + lone.astype(U))
-                out_doc.append(np.full(len(lone), docs[d]))
-                out_sig.append(mix(mix(where + U(99))))
+        run = np.repeat(np.arange(len(start)), length)
+        pick = some[run]
+        out_doc.append(docs[owner[run[pick]]])
+        out_sig.append(mix((total[run[pick]] - spread[element[pick]]) ^ near[run[pick]]))
+        # The difference may be an element against none; and with more than half of the segments
+        # empty in both, nothing else may be left: then the empty segments themselves are indexed.
+        first = np.cumsum(held) - held
+        for k in lone_docs:
+            lone = np.setdiff1d(np.arange(m[k]), number[first[k] : first[k] + held[k]])
+            lone = lone[lone <= d[k] // 2] if short else lone[(lone < 2 * empty[k]) | (2 * empty[k] > m[k])]
+            where = mix(U(band[docs[k]]) * U(1 << 32) + lone.astype(U) + U(short) * U(1 << 62))
+            out_doc.append(np.full(len(lone), docs[k]))
+            out_sig.append(mix(where if short else mix(where + U(99))))
     docs, sigs = np.concatenate(out_doc), np.concatenate(out_sig)
     order = np.argsort(docs, kind="stable")
     return sigs[order], np.searchsorted(docs[order], np.arange(len(sizes) + 1))
@@ -160,108 +197,193 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def compact(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest, sketch and signatures of every document."""
+def over_sets(docs: DataFrame, width: int, columns: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]], schema: str) -> DataFrame:
+    """doc_id, n_shingles, the digest h1 and h2, and columns() of every document's set."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 values, offsets = shingles(Chunk(part.column(1), lower=True), width)
                 h1, h2 = digests(values, offsets)
-                sigs, at = signatures(values, offsets, percent)
-                bits = sketches(values, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(h1), pa.array(h2), _lists(bits.reshape(-1), np.arange(len(bits) + 1) * SKETCH), _lists(sigs, at)],
-                    ["doc_id", "n_shingles", "h1", "h2", "bits", "sigs"],
-                )
+                more = columns(values, offsets)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(h1), pa.array(h2), *more.values()], ["doc_id", "n_shingles", "h1", "h2", *more])
 
-    return over_arrow(documents(docs), kernel, "doc_id long, n_shingles long, h1 long, h2 long, bits array<long>, sigs array<long>")
+    return over_arrow(documents(docs), kernel, "doc_id long, n_shingles long, h1 long, h2 long" + schema)
 
 
-def keys(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and digest of every document."""
+def keys(docs: DataFrame, width: int, sketch: bool = False) -> DataFrame:
+    """doc_id, n_shingles and digest of every document, and the parity sketch of its set."""
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch):
-                values, offsets = shingles(Chunk(part.column(1), lower=True), width)
-                h1, h2 = digests(values, offsets)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(h1), pa.array(h2)], ["doc_id", "n_shingles", "h1", "h2"])
+    def bits(values: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
+        found = sketches(values, offsets)
+        return {"bits": _lists(found.reshape(-1), np.arange(len(found) + 1) * SKETCH)}
 
-    return over_arrow(documents(docs), kernel, "doc_id long, n_shingles long, h1 long, h2 long")
+    return over_sets(docs, width, bits, ", bits array<long>") if sketch else over_sets(docs, width, lambda values, offsets: {}, "")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """rep, h1, h2, elements of the wanted documents."""
+def buckets(signed: Callable[[int, int], DataFrame], rounds: int) -> DataFrame:
+    """(sig, rep, n, size) of the signatures that several classes have, size being their number; signed(turn, rounds)
+    gives (rep, n, sigs) with one share of all signatures."""
+    found = []
+    for turn in range(rounds):
+        rows = signed(turn, rounds).where(F.size("sigs") > 0).select("rep", "n", F.explode(F.array_distinct("sigs")).alias("sig"))
+        size = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        found.append(materialise(rows.join(size.hint("merge"), "sig").select("sig", "rep", "n", "size"), f"buckets_{turn}"))
+    return reduce(DataFrame.unionByName, found)
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch):
-                values, offsets = shingles(Chunk(part.column(1), lower=True), width)
-                h1, h2 = digests(values, offsets)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1), pa.array(h2), _lists(values, offsets)], ["rep", "h1", "h2", "elements"])
 
+def share(values: np.ndarray, offsets: np.ndarray, percent: int, short: bool, turn: int, rounds: int) -> pa.Array:
+    """Those signatures of each set whose turn it is."""
+    sigs, at = signatures(values, offsets, percent, short)
+    mine = sigs % U(rounds) == U(turn)
+    return _lists(sigs[mine], np.concatenate([[0], np.cumsum(mine)])[at])
+
+
+def document_buckets(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """buckets() of all classes, by their cheap signatures."""
+
+    def signed(turn: int, rounds: int) -> DataFrame:
+        # Copies meet before their signatures are spread; one document of a class is as good as another.
+        rows = over_sets(docs, width, lambda v, o: {"sigs": share(v, o, percent, False, turn, rounds)}, ", sigs array<long>")
+        return rows.where(F.size("sigs") > 0).groupBy("h1", "h2").agg(F.first("sigs").alias("sigs")).join(reps.select("h1", "h2", "rep", "n").hint("merge"), ["h1", "h2"])
+
+    return buckets(signed, passes(percent))
+
+
+def short_buckets(sets: DataFrame, percent: int) -> DataFrame:
+    """buckets() of some sets, by their signatures with short postings."""
+
+    def signed(turn: int, rounds: int) -> DataFrame:
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    lists = part.column(1)
+                    offsets = np.asarray(lists.offsets, dtype=np.int64)
+                    values = np.asarray(lists.values)[offsets[0] : offsets[-1]].view(U)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), share(values, offsets - offsets[0], percent, True, turn, rounds)], ["rep", "n", "sigs"])
+
+        return over_arrow(sets.select("rep", "elements", "n"), kernel, "rep long, n long, sigs array<long>")
+
+    return buckets(signed, passes(percent))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """rep, n, elements of the wanted classes (rep, n, h1, h2)."""
     # The wanted ids grow with the data, so they are never broadcast.
-    ids = wanted.select(F.col("rep").alias("doc_id")).hint("merge")
-    return over_arrow(documents(docs).join(ids, "doc_id", "left_semi"), kernel, "rep long, h1 long, h2 long, elements array<long>")
+    ids = wanted.where(F.col("rep") < NAMELESS).select(F.col("rep").alias("doc_id")).hint("merge")
+    rows = documents(docs)
+    rows = rows.join(ids, "doc_id", "left_semi").unionByName(rows.where("doc_id IS NULL"))
+    found = over_sets(rows, width, lambda values, offsets: {"elements": _lists(values, offsets)}, ", elements array<long>")
+    # Several rows of one id, or rows without one, may be of a class.
+    one = found.groupBy("h1", "h2").agg(F.first("elements").alias("elements"))
+    return one.join(wanted.hint("merge"), ["h1", "h2"]).select("rep", "n", "elements")
+
+
+def _sizes_may(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(f"{a}_n", f"{b}_n") >= percent * F.greatest(f"{a}_n", f"{b}_n")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Size filter and sketch bound: the sketches' distance is at most the sets' difference."""
     col = F.col
-    least, most = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
     apart = sum((F.bit_count(col(f"{a}_bits")[i].bitwiseXOR(col(f"{b}_bits")[i])) for i in range(SKETCH)), F.lit(0))
-    return (100 * least >= percent * most) & (apart * (100 + percent) <= (col(f"{a}_n") + col(f"{b}_n")) * (100 - percent))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose sets are as similar as asked."""
-    one = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x"))
-    two = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
-
-
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    return _sizes_may(a, b, percent) & (apart * (100 + percent) <= (col(f"{a}_n") + col(f"{b}_n")) * (100 - percent))
+
+
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (a, b) of pairs whose sets are as similar as asked, as a written table. Sets are built for the ends of
+    pairs within the sketches' bound."""
+    named = lambda p: reps.select(F.col("rep").alias(p), F.col("n").alias(f"{p}_n"), F.col("bits").alias(f"{p}_bits")).hint("merge")
+    close = pairs.join(named("a"), "a").join(named("b"), "b").where(_may_link("a", "b", percent)).select("a", "b")
+    close = materialise(close, "candidates")
+    if close.isEmpty():
+        return close
+    ends = close.select(F.col("a").alias("rep")).unionByName(close.select(F.col("b").alias("rep"))).distinct()
+    sets = materialise(sets_of(docs, reps.select("rep", "n", "h1", "h2").join(ends.hint("merge"), "rep"), width), "sets")
+    one = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x")).hint("merge")
+    two = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y")).hint("merge")
+    both = close.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    links = materialise(both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "links")
+    # The links are written, so what they came from can go.
+    discard(sets)
+    discard(close)
+    return links
+
+
+class Parts:
+    """Components of the links so far: the rows (rep, part) of linked classes."""
+
+    def __init__(self) -> None:
+        self.rows: DataFrame | None = None
+
+    def add(self, links: DataFrame) -> None:
+        if self.rows is not None:
+            links = links.unionByName(self.rows.where("rep <> part").select(F.col("rep").alias("a"), F.col("part").alias("b")))
+        self.rows = materialise(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("part")), "parts")
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows (rep, ...) with their parts; a class without links is its own."""
+        if self.rows is None:
+            return rows.withColumn("part", F.col("rep"))
+        return rows.join(self.rows.hint("merge"), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+
+    def torn(self, found: DataFrame) -> DataFrame:
+        """(sig, rep, n, size, part) of the buckets whose members the links don't connect, as a written table."""
+        placed = self.of(found.select("sig", "rep", "n", "size"))
+        apart = placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("sig")
+        return materialise(placed.join(apart.hint("merge"), "sig", "left_semi"), "torn")
+
+
+def hubs(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b, weight): each bucket's member in the most and largest buckets with each of the others in other parts,
+    where their sizes allow a link."""
+    weight = placed.groupBy("rep").agg(F.sum("size").alias("weight"))
+    hub = placed.join(weight.hint("merge"), "rep").groupBy("sig").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"), F.col("part").alias("hub_part"), F.col("n").alias("a_n"))).alias("hub"))
+    rows = placed.withColumnRenamed("n", "b_n").join(hub.select("sig", "hub.*").hint("merge"), "sig").where((F.col("hub_part") != F.col("part")) & _sizes_may("a", "b", percent))
+    return rows.select((-F.col("least")).alias("a"), F.col("rep").alias("b"), "weight")
+
+
+def first_choice(placed: DataFrame, percent: int) -> DataFrame:
+    """Of each class's hubs the most connected one: one pair a class."""
+    best = hubs(placed, percent).groupBy("b").agg(F.max(F.struct("weight", (-F.col("a")).alias("least"))).alias("hub"))
+    return best.select((-F.col("hub.least")).alias("a"), "b")
+
+
+def across(apart: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket in different parts that pass the sketches' bound, which the join itself applies."""
+    held = apart.join(reps.select("rep", "bits").hint("merge"), "rep")
+    side = lambda p: held.select(F.col("sig").alias(f"{p}_sig"), F.col("rep").alias(p), F.col("part").alias(f"{p}_part"), F.col("n").alias(f"{p}_n"), F.col("bits").alias(f"{p}_bits")).hint("merge")
+    close = (F.col("a_sig") == F.col("b_sig")) & (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & _may_link("a", "b", percent)
+    return side("a").join(side("b"), close).select("a", "b").distinct()
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    reps = materialise(
-        compact(docs, width, percent)
-        .where("n_shingles > 0")
-        .groupBy("h1", "h2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("sigs").alias("sigs")),
-        "reps",
-    )
-    bucket = Window.partitionBy("sig")
-    multi = materialise(
-        reps.where(F.size("sigs") > 0)
-        .select("rep", F.explode(F.array_distinct("sigs")).alias("sig"))
-        .withColumn("size", F.count(F.lit(1)).over(bucket))
-        .where("size > 1"),
-        "buckets",
-    )
-    shared = multi.groupBy("rep").agg(F.sum("size").alias("weight"))
-    info = materialise(reps.join(shared, "rep").select("rep", "weight", "h1", "h2", F.col("n_shingles").alias("n"), "bits"), "info")
-    sets = materialise(sets_of(docs, info, width).join(info.select("rep", "h1", "h2"), ["rep", "h1", "h2"], "left_semi").dropDuplicates(["rep"]).select("rep", "elements"), "sets")
-
-    # First the most connected member of each bucket with all others.
-    named = lambda p: info.select(F.col("rep").alias(p), F.col("n").alias(f"{p}_n"), F.col("bits").alias(f"{p}_bits"))
-    hub = multi.join(info.select("rep", "weight"), "rep").groupBy("sig").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("a"))
-    stars = multi.join(hub, "sig").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    stars = stars.join(named("a"), "a").join(named("b"), "b").where(_may_link("a", "b", percent)).select("a", "b")
-    links = materialise(_verified(stars, sets, percent), "links")
-    parts = materialise(connected_components(links), "parts")
-
-    # Then members of one bucket that are still apart.
-    own = F.coalesce("component", "rep")
-    placed = multi.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", own.alias("part"))
-    torn = placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("sig")
-    left = placed.join(torn, "sig", "left_semi").join(info, "rep").select("sig", "rep", "part", "n", "bits")
-    side = lambda p: left.select("sig", F.col("rep").alias(p), F.col("part").alias(f"{p}_part"), F.col("n").alias(f"{p}_n"), F.col("bits").alias(f"{p}_bits"))
-    rest = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & _may_link("a", "b", percent)).select("a", "b").distinct()
-    more = _verified(rest, sets, percent)
-    whole = connected_components(links.unionByName(more))
-
-    classes = reps.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    nameless = F.col("h1").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
+    reps = keys(docs, width, sketch=True).where("n_shingles > 0").groupBy("h1", "h2").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
+    reps = materialise(reps.withColumn("rep", F.coalesce("rep", nameless)), "reps")
+    found = document_buckets(docs, reps, width, percent)
+    check = lambda pairs: verified(docs, reps, pairs, width, percent)
+
+    # Each class with the most connected one that it meets, then with all its buckets' hubs in other parts, then all
+    # members of small buckets that are still in different parts.
+    parts = Parts()
+    parts.add(check(first_choice(parts.of(found), percent)))
+    apart = parts.torn(found)
+    parts.add(check(hubs(apart, percent).select("a", "b").distinct()))
+    apart = parts.torn(apart)
+    parts.add(check(across(apart.where(F.col("size") <= hot), reps, percent)))
+
+    # Classes of long postings that are still apart, by signatures with short ones.
+    busy = materialise(parts.torn(apart.where(F.col("size") > hot)).select("rep").distinct(), "busy")
+    if not busy.isEmpty():
+        wanted = reps.select("rep", "n", "h1", "h2").join(busy.hint("merge"), "rep", "left_semi")
+        apart = parts.torn(short_buckets(materialise(sets_of(docs, wanted, width), "busy_sets"), percent))
+        parts.add(check(hubs(apart, percent).select("a", "b").distinct()))
+        parts.add(check(across(parts.torn(apart), reps, percent)))
+
+    classes = parts.of(reps.select("h1", "h2", "rep")).select("h1", "h2", F.when(F.col("part") < NAMELESS, F.col("part")).alias("component_id"))
     # A second pass over the texts costs less than keeping every row's digest and signatures.
-    found = keys(docs, width).join(classes, ["h1", "h2", "n_shingles"], "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = keys(docs, width).join(classes.withColumn("named", F.lit(True)), ["h1", "h2"], "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
