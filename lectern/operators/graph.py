@@ -82,9 +82,9 @@ def backlinks(links: DataFrame) -> DataFrame:
     return links.where("src <> dst").groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias("sources"))
 
 
-def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct inbound and outbound links of each node."""
-    edges = links.where("src <> dst").select("src", "dst").distinct()
+def degrees(nodes: DataFrame, links: DataFrame, loops: bool = False) -> DataFrame:
+    """Distinct inbound and outbound links of each node; with loops, a link to itself counts as one of each."""
+    edges = (links.where("src IS NOT NULL AND dst IS NOT NULL") if loops else links.where("src <> dst")).select("src", "dst").distinct()
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outbound"))
     into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("inbound"))
     return nodes.select("node").distinct().join(into, "node", "left").join(out, "node", "left").na.fill(0)

@@ -72,7 +72,7 @@ def a14_postings(spark, d):
 @query("""WITH l AS (SELECT DISTINCT l_partkey AS s, l_suppkey + 100000 AS t FROM lineitem), n AS (SELECT s AS node FROM l UNION SELECT t FROM l) SELECT node, (SELECT count(*) FROM l WHERE t = node) AS inbound, (SELECT count(*) FROM l WHERE s = node) AS outbound FROM n""")
 def g7_degrees(spark, d):
     links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000).alias("dst"))
-    return G.degrees(links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))), links)
+    return G.degrees(links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))), links, loops=True)
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS node, o_orderkey + 1000000 AS nxt FROM orders UNION SELECT DISTINCT l_orderkey + 1000000, l_partkey + 5000000 FROM lineitem), r AS (SELECT c_custkey AS root, c_custkey AS node, 0 AS depth FROM customer UNION ALL SELECT root, nxt, depth + 1 FROM r JOIN e USING (node))
