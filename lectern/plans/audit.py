@@ -34,11 +34,11 @@ def sql(name: str, severity: str, text: str, option: str | None = None) -> None:
     def run(v: Vault) -> DataFrame:
         # Regular expressions hold braces too, so only the views' names are filled in.
         filled = text
-        for view, rows in v.views().items():
+        for view in v.NAMES:
             if f"{{{view}}}" in filled:
-                rows.createOrReplaceTempView(f"lectern_{view}")
+                getattr(v, view).createOrReplaceTempView(f"lectern_{view}")
                 filled = filled.replace(f"{{{view}}}", f"lectern_{view}")
-        return v.concepts.sparkSession.sql(filled, args={"today": v.now[:10]})
+        return v.options.sparkSession.sql(filled, args={"today": v.now[:10]})
 
     CHECKS[name] = (severity, option, run)
 
@@ -222,7 +222,7 @@ sql("C52", "D", "SELECT c.kb, c.path, concat('missing beside ', substring_index(
 # Bundles.
 sql("C60", "D", r"SELECT kb, path, concat('entry dated in the future: ', d) AS message FROM (SELECT kb, path, explode(regexp_extract_all(text, r'(?m)^#+\s+([0-9]{4}-[0-9]{2}-[0-9]{2})', 1)) AS d FROM {files} WHERE path = 'CHANGELOG.md') WHERE d > :today")
 sql("C66", "D", "SELECT o.kb, o.value AS path, 'required file missing' AS message FROM {options} o LEFT ANTI JOIN {files} f ON f.kb = o.kb AND f.path = o.value WHERE o.key = 'require_file'", "require_file")
-sql("C67", "D", r"""SELECT DISTINCT l.kb, l.src AS path, CASE WHEN l.dst RLIKE r'^\.\./' THEN concat('link into another base is dead: ', l.dst_raw) ELSE concat('dead link: ', l.dst_raw) END AS message FROM {links} l LEFT ANTI JOIN {files} f ON (f.kb = l.kb AND f.path = l.dst) OR concat('../', f.kb, '/', f.path) = l.dst WHERE NOT l.is_http AND l.ends_md""")
+sql("C67", "D", r"""SELECT DISTINCT l.kb, l.src AS path, CASE WHEN l.dst RLIKE r'^\.\./' THEN concat('link into another base is dead: ', l.dst_raw) ELSE concat('dead link: ', l.dst_raw) END AS message FROM {links} l LEFT ANTI JOIN {files} f ON f.kb = l.kb AND f.path = l.dst LEFT ANTI JOIN {files} g ON concat('../', g.kb, '/', g.path) = l.dst WHERE NOT l.is_http AND l.ends_md""")
 sql("C68", "F", "SELECT c.kb, c.path, 'no inbound link' AS message FROM {concepts} c LEFT ANTI JOIN (SELECT DISTINCT kb, dst FROM {links}) l ON l.kb = c.kb AND l.dst = c.path LEFT ANTI JOIN (SELECT kb, value FROM {options} WHERE key = 'orphan_ok') o ON o.kb = c.kb AND o.value = c.path WHERE c.path NOT LIKE '%/questions.md'")
 sql("C69", "G", "SELECT kb, '(bundle)' AS path, concat(count(*), ' pages cited with several authors') AS message FROM (SELECT kb, page FROM {citations} GROUP BY kb, page HAVING count(DISTINCT array_join(array_sort(author), ';')) > 1) GROUP BY kb")
 sql("C75", "G", "SELECT kb, '(bundle)' AS path, concat(count(*), ' pages cited with several dates') AS message FROM (SELECT kb, page FROM {citations} WHERE last_modified IS NOT NULL GROUP BY kb, page HAVING count(DISTINCT last_modified) > 1) GROUP BY kb")

@@ -8,7 +8,7 @@ note, which the audit reports.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -41,7 +41,11 @@ def parse_frontmatter(block: str | None) -> dict:
     except ImportError:
         return out | {"parse_error": "no YAML library"}
     try:
-        data = yaml.safe_load(block)
+        try:
+            # libyaml, where PyYAML was built with it, is many times faster; what it rejects, PyYAML itself judges and words.
+            data = yaml.load(block, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+        except yaml.YAMLError:
+            data = yaml.safe_load(block)
     except yaml.YAMLError as error:
         return out | {"parse_error": str(error).splitlines()[0]}
     if not isinstance(data, dict):
@@ -109,24 +113,20 @@ def frontmatter_struct(block: str | Column) -> Column:
     return F.pandas_udf(parse_blocks, CONCEPT)(block)
 
 
-@dataclass
 class Vault:
-    """Tables of a vault."""
+    """Tables of a vault. A table is made, and in a written vault written, when it is first asked for, so that a check
+    pays for those that it reads; from then on it is an attribute like any other."""
 
-    files: DataFrame
-    concepts: DataFrame
-    citations: DataFrame
-    pages: DataFrame
-    lines: DataFrame
-    footnotes: DataFrame
-    links: DataFrame
-    ledger: DataFrame
-    changes: DataFrame
-    options: DataFrame
-    now: str
+    NAMES = ("files", "concepts", "citations", "pages", "lines", "footnotes", "links", "ledger", "changes", "options")
 
-    def views(self) -> dict[str, DataFrame]:
-        return {k: v for k, v in self.__dict__.items() if isinstance(v, DataFrame)}
+    def __init__(self, now: str, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self.now, self._makers = now, makers
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self.__dict__.get("_makers", {}):
+            raise AttributeError(name)
+        setattr(self, name, self._makers[name]())
+        return self.__dict__[name]
 
 
 def knowledge_bases(files: DataFrame) -> DataFrame:
@@ -152,52 +152,78 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 
 def tables(files: DataFrame, now: str, options: DataFrame | None = None, write: bool = False) -> Vault:
     """All tables of a vault from its files (path, text): S3, S5, S7, S9, S10, P1, P3, G1. With write they are written
-    tables, each read from the one it comes from, so that Markdown and YAML are read once however many checks follow."""
+    tables, each read from the one it comes from, so that Markdown and YAML are read once however many checks follow;
+    YAML is read for the concepts and what comes from them, not for lines and links."""
     spark = files.sparkSession
-    written = (lambda rows, name: materialise(rows, f"vault_{name}")) if write else (lambda rows, name: rows)
     ship(spark)
-    kbs = knowledge_bases(files)
-    own = files.withColumn("kb", F.split_part("path", F.lit("/"), F.lit(1))).join(F.broadcast(kbs), "kb").withColumn("path", F.regexp_replace("path", "^[^/]*/", ""))
-    own = written(own.select("kb", "path", "text"), "files")
     name = F.element_at(F.split("path", "/"), -1)
-    wiki = own.where(F.startswith(F.col("path"), F.lit("Wiki/")) & F.endswith(F.col("path"), F.lit(".md")) & ~name.isin(*RESERVED) & ~F.col("path").contains("/_trash/"))
-    block = T.frontmatter(F.col("text"))
-    # Equal blocks are parsed once: distinct blocks first, joined back by digest.
-    split = wiki.select("kb", "path", block.alias("fm"), T.body(F.col("text")).alias("body"), F.md5(F.coalesce(block, F.lit(""))).alias("key"))
-    parsed = split.groupBy("key").agg(F.first("fm").alias("fm")).select("key", frontmatter_struct("fm").alias("c"))
-    concepts = split.join(parsed, "key").select("kb", "path", "fm", "body", "c.*").withColumn("bare", T.strip_fences(F.col("body")))
-    concepts = written(concepts, "concepts")
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    citations = concepts.select("kb", "path", folder.alias("folder"), F.posexplode("sources").alias("pos", "s")).select("kb", F.col("path").alias("concept"), "folder", "pos", "s.*")
-    citations = citations.withColumn("page", T.nfc_path(F.concat("folder", F.lit("/"), F.coalesce("resource", F.lit(""))))).drop("folder")
-    citations = written(citations, "citations")
-    layer = F.split_part("path", F.lit("/"), F.lit(1))
-    in_layer = layer.isin("Raw", "OneNote", "folia") & F.endswith(F.col("path"), F.lit(".md")) & ~F.col("path").contains("/_assets/") & ~name.isin(*NOT_PAGES)
-    head = lambda k: F.nullif(F.trim(F.regexp_extract(F.coalesce(T.frontmatter(F.col("text")), F.lit("")), rf"(?m)^{k}:[ \t]*(.*)$", 1)), F.lit(""))
-    keys = ("title", "author", "source_url", "date_added", "date_published", "type", "created", "modified")
-    pages = own.where(in_layer).select(
-        "kb", "path", layer.alias("layer"), F.split_part("path", F.lit("/"), F.lit(2)).alias("chapter"), F.regexp_replace("path", "^[^/]*/|/[^/]*$", "").alias("scope"),
-        *(F.regexp_replace(head(k), "^[\"']|[\"']$", "").alias(k) for k in keys), T.body(F.col("text")).alias("body"), F.lit(True).alias("is_text"),
-    )
-    pages = written(pages, "pages")
-    lines = W.lines_of(concepts.select(F.concat_ws("|", "kb", "path").alias("doc"), "body"), "body")
-    lines = W.unfenced(lines).select(F.split_part("doc", F.lit("|"), F.lit(1)).alias("kb"), F.split_part("doc", F.lit("|"), F.lit(2)).alias("concept"), "doc", "line", "body", "unclosed")
-    lines = written(lines, "lines")
-    plain = lines.withColumn("code_free", F.regexp_replace("body", r"`[^`]+`", " "))
-    refs = plain.select("kb", "concept", "line", F.explode(F.regexp_extract_all("code_free", F.lit(r"\[\^([^\]]+)\](?!:)"), 1)).alias("label"), F.lit("ref").alias("kind"))
-    notes = plain.where(F.col("body").rlike(r"^\[\^[^\]]+\]:")).select("kb", "concept", "line", F.regexp_extract("body", r"^\[\^([^\]]+)\]:", 1).alias("label"), F.lit("def").alias("kind"))
-    raw = plain.select("kb", F.col("concept").alias("src"), "line", F.explode(F.regexp_extract_all("code_free", F.lit(r"(?<!!)\[[^\]]*\]\(([^)\s]+)\)"), 1)).alias("dst_raw"))
-    place = F.regexp_replace("dst_raw", "#.*$", "")
-    links = raw.select(
-        "kb", "src", "line", "dst_raw", F.col("dst_raw").rlike("^https?://").alias("is_http"), F.col("dst_raw").contains("#").alias("has_fragment"), place.rlike(r"\.md$").alias("ends_md"),
-        T.nfc_path(F.when(F.startswith(place, F.lit("/")), F.substring(place, F.lit(2), F.length(place))).otherwise(F.concat(F.regexp_replace("src", "/[^/]*$", ""), F.lit("/"), place))).alias("dst"),
-    ).withColumn("is_self", F.col("src") == F.col("dst"))
-    ledger = own.where(name == "_INGESTED.md").select("kb", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*[-*]\s+`([^`]+)`"), 1)).alias("page"))
-    report = "struct<generated:string,complete:boolean,changes:array<struct<path:string,status:string,contentChanged:boolean,movedFrom:string>>>"
-    reports = own.where(name.rlike(r"^_CHANGES-.*\.json$")).select("kb", F.col("path").alias("report"), F.from_json("text", report).alias("r"))
-    changes = reports.select("kb", "report", "r.generated", "r.complete", F.explode("r.changes").alias("c")).select("kb", "report", "generated", "complete", F.col("c.path").alias("page"), F.col("c.status").alias("status"), F.col("c.contentChanged").alias("content_changed"), F.col("c.movedFrom").alias("moved_from"))
-    options = options if options is not None else spark.createDataFrame([], "kb string, key string, value string")
-    return Vault(own.select("kb", "path", "text"), concepts, citations, pages, lines, written(refs.unionByName(notes), "footnotes"), written(links, "links"), ledger, changes, options, now)
+
+    def own() -> DataFrame:
+        kbs = knowledge_bases(files)
+        inside = files.withColumn("kb", F.split_part("path", F.lit("/"), F.lit(1))).join(F.broadcast(kbs), "kb").withColumn("path", F.regexp_replace("path", "^[^/]*/", ""))
+        return inside.select("kb", "path", "text")
+
+    def split() -> DataFrame:
+        wiki = v.files.where(F.startswith(F.col("path"), F.lit("Wiki/")) & F.endswith(F.col("path"), F.lit(".md")) & ~name.isin(*RESERVED) & ~F.col("path").contains("/_trash/"))
+        block = T.frontmatter(F.col("text"))
+        return wiki.select("kb", "path", block.alias("fm"), T.body(F.col("text")).alias("body"), F.md5(F.coalesce(block, F.lit(""))).alias("key"))
+
+    def concepts() -> DataFrame:
+        # Equal blocks are parsed once: distinct blocks first, joined back by digest.
+        parsed = split().groupBy("key").agg(F.first("fm").alias("fm")).select("key", frontmatter_struct("fm").alias("c"))
+        return split().join(parsed, "key").select("kb", "path", "fm", "body", "c.*").withColumn("bare", T.strip_fences(F.col("body")))
+
+    def citations() -> DataFrame:
+        folder = F.regexp_replace("path", "/[^/]*$", "")
+        rows = v.concepts.select("kb", "path", folder.alias("folder"), F.posexplode("sources").alias("pos", "s")).select("kb", F.col("path").alias("concept"), "folder", "pos", "s.*")
+        return rows.withColumn("page", T.nfc_path(F.concat("folder", F.lit("/"), F.coalesce("resource", F.lit(""))))).drop("folder")
+
+    def pages() -> DataFrame:
+        layer = F.split_part("path", F.lit("/"), F.lit(1))
+        in_layer = layer.isin("Raw", "OneNote", "folia") & F.endswith(F.col("path"), F.lit(".md")) & ~F.col("path").contains("/_assets/") & ~name.isin(*NOT_PAGES)
+        head = lambda k: F.nullif(F.trim(F.regexp_extract(F.coalesce(T.frontmatter(F.col("text")), F.lit("")), rf"(?m)^{k}:[ \t]*(.*)$", 1)), F.lit(""))
+        keys = ("title", "author", "source_url", "date_added", "date_published", "type", "created", "modified")
+        return v.files.where(in_layer).select(
+            "kb", "path", layer.alias("layer"), F.split_part("path", F.lit("/"), F.lit(2)).alias("chapter"), F.regexp_replace("path", "^[^/]*/|/[^/]*$", "").alias("scope"),
+            *(F.regexp_replace(head(k), "^[\"']|[\"']$", "").alias(k) for k in keys), T.body(F.col("text")).alias("body"), F.lit(True).alias("is_text"),
+        )
+
+    def lines() -> DataFrame:
+        rows = W.lines_of(split().select(F.concat_ws("|", "kb", "path").alias("doc"), "body"), "body")
+        return W.unfenced(rows).select(F.split_part("doc", F.lit("|"), F.lit(1)).alias("kb"), F.split_part("doc", F.lit("|"), F.lit(2)).alias("concept"), "doc", "line", "body", "unclosed")
+
+    def plain() -> DataFrame:
+        return v.lines.withColumn("code_free", F.regexp_replace("body", r"`[^`]+`", " "))
+
+    def footnotes() -> DataFrame:
+        refs = plain().select("kb", "concept", "line", F.explode(F.regexp_extract_all("code_free", F.lit(r"\[\^([^\]]+)\](?!:)"), 1)).alias("label"), F.lit("ref").alias("kind"))
+        notes = plain().where(F.col("body").rlike(r"^\[\^[^\]]+\]:")).select("kb", "concept", "line", F.regexp_extract("body", r"^\[\^([^\]]+)\]:", 1).alias("label"), F.lit("def").alias("kind"))
+        return refs.unionByName(notes)
+
+    def links() -> DataFrame:
+        raw = plain().select("kb", F.col("concept").alias("src"), "line", F.explode(F.regexp_extract_all("code_free", F.lit(r"(?<!!)\[[^\]]*\]\(([^)\s]+)\)"), 1)).alias("dst_raw"))
+        place = F.regexp_replace("dst_raw", "#.*$", "")
+        return raw.select(
+            "kb", "src", "line", "dst_raw", F.col("dst_raw").rlike("^https?://").alias("is_http"), F.col("dst_raw").contains("#").alias("has_fragment"), place.rlike(r"\.md$").alias("ends_md"),
+            T.nfc_path(F.when(F.startswith(place, F.lit("/")), F.substring(place, F.lit(2), F.length(place))).otherwise(F.concat(F.regexp_replace("src", "/[^/]*$", ""), F.lit("/"), place))).alias("dst"),
+        ).withColumn("is_self", F.col("src") == F.col("dst"))
+
+    def ledger() -> DataFrame:
+        return v.files.where(name == "_INGESTED.md").select("kb", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*[-*]\s+`([^`]+)`"), 1)).alias("page"))
+
+    def changes() -> DataFrame:
+        report = "struct<generated:string,complete:boolean,changes:array<struct<path:string,status:string,contentChanged:boolean,movedFrom:string>>>"
+        reports = v.files.where(name.rlike(r"^_CHANGES-.*\.json$")).select("kb", F.col("path").alias("report"), F.from_json("text", report).alias("r"))
+        return reports.select("kb", "report", "r.generated", "r.complete", F.explode("r.changes").alias("c")).select("kb", "report", "generated", "complete", F.col("c.path").alias("page"), F.col("c.status").alias("status"), F.col("c.contentChanged").alias("content_changed"), F.col("c.movedFrom").alias("moved_from"))
+
+    def given() -> DataFrame:
+        return options if options is not None else spark.createDataFrame([], "kb string, key string, value string")
+
+    kept = {"files": own, "concepts": concepts, "citations": citations, "pages": pages, "lines": lines, "footnotes": footnotes, "links": links}
+    if write:
+        kept = {k: lambda k=k, make=make: materialise(make(), f"vault_{k}") for k, make in kept.items()}
+    v = Vault(now, kept | {"ledger": ledger, "changes": changes, "options": given})
+    return v
 
 
 def page_changes(changes: DataFrame) -> DataFrame:
