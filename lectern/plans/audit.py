@@ -377,7 +377,7 @@ sql("C90", "D", "SELECT f.kb, f.path, concat('forbidden here: ', substring_index
 sql("C92", "D", r"SELECT kb, path, 'snapshot or meeting note among the files' AS message FROM {files} WHERE path RLIKE r'(^|/)(_snapshots|Meeting Notes)/'")
 sql("C96", "D", r"SELECT f.kb, f.path, 'report without a register row' AS message FROM (SELECT kb, path FROM {files} WHERE path RLIKE r'^Outputs/[0-9]{4}-[0-9]{2}-[0-9]{2}[^/]*\.md$') f LEFT JOIN (SELECT kb, concat_ws(' ', collect_list(text)) AS text FROM {files} WHERE path = 'Outputs/REGISTER.md' GROUP BY kb) r ON r.kb = f.kb WHERE NOT coalesce(contains(r.text, substring_index(f.path, '/', -1)), false)")
 sql("C96c", "D", "SELECT kb, concept AS path, concat('cites a report: ', page) AS message FROM {citations} WHERE page LIKE 'Outputs/%'")
-sql("C98", "D", r"SELECT r.kb, r.path, concat('register names a missing file: ', r.t) AS message FROM (SELECT kb, path, explode(regexp_extract_all(text, r'(?m)^\s*[-*|]\s*`([^`]+\.[a-z]+)`', 1)) AS t FROM {files} WHERE path LIKE '%/_INGESTED.md' OR path = 'Outputs/REGISTER.md') r LEFT ANTI JOIN {files} f ON f.kb = r.kb AND (f.path = r.t OR f.path = concat('Outputs/', r.t))")
+sql("C98", "D", r"SELECT r.kb, r.path, concat('register names a missing file: ', r.t) AS message FROM (SELECT kb, path, explode(regexp_extract_all(text, r'(?m)^\s*[-*|]\s*`([^`]+\.[a-z]+)`', 1)) AS t FROM {files} WHERE path LIKE '%/_INGESTED.md' OR path = 'Outputs/REGISTER.md') r LEFT ANTI JOIN {files} f ON f.kb = r.kb AND f.path = r.t LEFT ANTI JOIN {files} g ON g.kb = r.kb AND g.path = concat('Outputs/', r.t)")
 
 
 @check("C99", "D")
