@@ -27,6 +27,8 @@ from lectern.llm.features import Chunk, characters, give_back, labelled_sample,
 SAMPLE, MOST_BYTES = 3_000, 20_000
 BUCKETS = 1 << 16
 KINDS = 4
+#: Texts of a block of the fit.
+BLOCK = 100
 KEEP = 0.3
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -78,33 +80,34 @@ def fit(sample: list[tuple[str, int, int]], rounds: int = 60) -> Model:
     label = np.array([s[1] for s in sample], dtype=float)
     if len(set(label)) < 2:
         return Model(np.zeros((KINDS, BUCKETS)), (1.0, 10.0))
-    # One sparse matrix a kind of n-gram, rows in order, so that no index of rows and no sort is held.
-    parts: list[list[list[np.ndarray]]] = [[[], [], []] for _ in range(KINDS)]
-    for at in range(0, len(sample), 100):
-        chunk = Chunk(pa.array([s[0] for s in sample[at : at + 100]]))
-        for kind, (buckets, offsets) in enumerate(ngrams(chunk, chunk.word_hashes())):
+    # Sparse matrices of BLOCK rows for each kind of n-gram. They stay blocks, so that what a step needs beside them
+    # is of a block's size: the driver holds six bytes for each distinct n-gram of a text.
+    blocks: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
+    for at in range(0, len(sample), BLOCK):
+        chunk, kinds = Chunk(pa.array([s[0] for s in sample[at : at + BLOCK]])), []
+        for buckets, offsets in ngrams(chunk, chunk.word_hashes()):
             lengths = np.diff(offsets)
             key, count = np.unique(np.repeat(np.arange(chunk.n), lengths) * BUCKETS + buckets, return_counts=True)
             row = key // BUCKETS
-            for held, own in zip(parts[kind], ((key % BUCKETS).astype(np.int32), (count / lengths[row]).astype(np.float32), np.bincount(row, minlength=chunk.n)), strict=True):
-                held.append(own)
-    kinds = []
-    while parts:
-        cols, vals, sizes = map(np.concatenate, parts.pop(0))
-        kinds.append((cols, vals, sizes, np.concatenate([[0], np.cumsum(sizes)])))
+            kinds.append(((key % BUCKETS).astype(np.uint16), (count / lengths[row]).astype(np.float32), np.bincount(row, minlength=chunk.n)))
+        blocks.append(kinds)
     train = np.array([s[2] > 2 for s in sample])
     balance = np.where(label == 1, 0.5 / max((label[train] == 1).sum(), 1), 0.5 / max((label[train] == 0).sum(), 1)) * train
     w, bias = np.zeros((KINDS, BUCKETS), np.float32), 0.0
     m, v = np.zeros_like(w), np.zeros_like(w)
 
     def raw() -> np.ndarray:
-        return sum(spans_sum(vals * w[kind][cols], ends) for kind, (cols, vals, _, ends) in enumerate(kinds))
+        return np.concatenate([sum(spans_sum(vals * w[kind][cols], np.concatenate([[0], np.cumsum(sizes)])) for kind, (cols, vals, sizes) in enumerate(kinds)) for kinds in blocks])
 
     for step in range(1, rounds + 1):
         grad = (balance * (sigmoid(raw() + bias) - label)).astype(np.float32)
-        for kind, (cols, vals, sizes, _) in enumerate(kinds):
-            g = np.bincount(cols, weights=vals * np.repeat(grad, sizes), minlength=BUCKETS).astype(np.float32)
-            m[kind], v[kind] = 0.9 * m[kind] + 0.1 * g, 0.99 * v[kind] + 0.01 * g * g
+        g = np.zeros((KINDS, BUCKETS))
+        for at, kinds in enumerate(blocks):
+            for kind, (cols, vals, sizes) in enumerate(kinds):
+                g[kind] += np.bincount(cols, weights=vals * np.repeat(grad[at * BLOCK : (at + 1) * BLOCK], sizes), minlength=BUCKETS)
+        for kind in range(KINDS):
+            one = g[kind].astype(np.float32)
+            m[kind], v[kind] = 0.9 * m[kind] + 0.1 * one, 0.99 * v[kind] + 0.01 * one * one
         w -= 0.5 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
         bias -= float(grad.sum())
     score = raw() + bias
