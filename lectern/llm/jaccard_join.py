@@ -226,10 +226,14 @@ def buckets(signed: Callable[[int, int], DataFrame], rounds: int) -> DataFrame:
     gives (rep, n, sigs) with one share of all signatures."""
     found = []
     for turn in range(rounds):
-        rows = signed(turn, rounds).where(F.size("sigs") > 0).select("rep", "n", F.explode(F.array_distinct("sigs")).alias("sig"))
-        size = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        rows = signed(turn, rounds).where(F.size("sigs") > 0).select("rep", "n", F.explode(F.array_distinct("sigs")).alias("sig")).repartition("sig")
+        # Counting reads the columns that the join reads, so one shuffle of the rows serves both.
+        size = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max("n").alias("most")).where("lo <> hi AND most > 0").select("sig", "size")
         found.append(materialise(rows.join(size.hint("merge"), "sig").select("sig", "rep", "n", "size"), f"buckets_{turn}"))
-    return reduce(DataFrame.unionByName, found)
+    out = reduce(DataFrame.unionByName, found)
+    if rounds > 1:
+        out._lectern_parts = found
+    return out
 
 
 def share(values: np.ndarray, offsets: np.ndarray, percent: int, short: bool, turn: int, rounds: int) -> pa.Array:
@@ -318,9 +322,15 @@ class Parts:
         self.rows: DataFrame | None = None
 
     def add(self, links: DataFrame) -> None:
+        added = links
         if self.rows is not None:
             links = links.unionByName(self.rows.where("rep <> part").select(F.col("rep").alias("a"), F.col("part").alias("b")))
-        self.rows = materialise(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("part")), "parts")
+        found = connected_components(links)
+        before, self.rows = self.rows, materialise(found.select(F.col("node").alias("rep"), F.col("component").alias("part")), "parts")
+        # The parts hold all that the links and the parts before said.
+        for written in (added, before, found):
+            if written is not None:
+                discard(written)
 
     def of(self, rows: DataFrame) -> DataFrame:
         """rows (rep, ...) with their parts; a class without links is its own."""
@@ -329,7 +339,7 @@ class Parts:
         return rows.join(self.rows.hint("merge"), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
 
     def torn(self, found: DataFrame) -> DataFrame:
-        """(sig, rep, n, size, part) of the buckets whose members the links don't connect, as a written table."""
+        """(sig, rep, n, size, part) of the buckets whose members the links don't connect, as a written table; found stays."""
         placed = self.of(found.select("sig", "rep", "n", "size"))
         apart = placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("sig")
         return materialise(placed.join(apart.hint("merge"), "sig", "left_semi"), "torn")
@@ -368,20 +378,33 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     # Each class with the most connected one that it meets, then with all its buckets' hubs in other parts, then all
     # members of small buckets that are still in different parts.
+    # A table of buckets goes once the next one is written.
     parts = Parts()
     parts.add(check(first_choice(parts.of(found), percent)))
     apart = parts.torn(found)
+    discard(found)
     parts.add(check(hubs(apart, percent).select("a", "b").distinct()))
-    apart = parts.torn(apart)
+    wide, apart = apart, parts.torn(apart)
+    discard(wide)
     parts.add(check(across(apart.where(F.col("size") <= hot), reps, percent)))
 
     # Classes of long postings that are still apart, by signatures with short ones.
-    busy = materialise(parts.torn(apart.where(F.col("size") > hot)).select("rep").distinct(), "busy")
+    long = parts.torn(apart.where(F.col("size") > hot))
+    busy = materialise(long.select("rep").distinct(), "busy")
+    discard(apart)
+    discard(long)
     if not busy.isEmpty():
         wanted = reps.select("rep", "n", "h1", "h2").join(busy.hint("merge"), "rep", "left_semi")
-        apart = parts.torn(short_buckets(materialise(sets_of(docs, wanted, width), "busy_sets"), percent))
+        sets = materialise(sets_of(docs, wanted, width), "busy_sets")
+        found = short_buckets(sets, percent)
+        discard(sets)
+        apart = parts.torn(found)
+        discard(found)
         parts.add(check(hubs(apart, percent).select("a", "b").distinct()))
-        parts.add(check(across(parts.torn(apart), reps, percent)))
+        wide, apart = apart, parts.torn(apart)
+        discard(wide)
+        parts.add(check(across(apart, reps, percent)))
+        discard(apart)
 
     classes = parts.of(reps.select("h1", "h2", "rep")).select("h1", "h2", F.when(F.col("part") < NAMELESS, F.col("part")).alias("component_id"))
     # A second pass over the texts costs less than keeping every row's digest and signatures.
