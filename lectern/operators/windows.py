@@ -48,8 +48,12 @@ def section(lines: DataFrame, name: str) -> DataFrame:
     return at.withColumn("shut", shut).where("start IS NOT NULL AND line > start AND shut IS NULL").select("doc", "line", "body")
 
 
-def islands(lines: DataFrame, belongs: Column, name: str = "run") -> DataFrame:
-    """Consecutive lines that belong, with a run number."""
+def islands(lines: DataFrame, belongs: Column, name: str = "run", dense: bool = False) -> DataFrame:
+    """Consecutive lines that belong, with a run number. dense: no line number is left out, so only the lines
+    that belong are shuffled, and a gap between them parts two runs."""
+    if dense:
+        start = F.coalesce(F.lag("line").over(_lines()) < F.col("line") - 1, F.lit(True)).cast("int")
+        return lines.where(belongs).withColumn("_start", start).withColumn(name, F.sum("_start").over(_lines())).drop("_start")
     flagged = lines.withColumn("_in", belongs)
     before = F.lag("_in").over(_lines())
     start = (F.col("_in") & ~F.coalesce(before, F.lit(False))).cast("int")

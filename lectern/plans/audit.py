@@ -9,15 +9,21 @@ operand), and the day is a parameter.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, Window
 
 from lectern.functions import fixed as X, text as T
 from lectern.operators import aggregates as A, joins as J, state as S, windows as W
+from lectern.session import materialise
 from lectern.sources.vault import Vault, action_items, page_changes
 
 #: check id -> (severity, option or None, function of a vault)
 CHECKS: dict[str, tuple[str, str | None, Callable[[Vault], DataFrame]]] = {}
+#: check id -> (condition, message) of those that judge a concept by its own row
+CONDITIONS: dict[str, tuple[str, str]] = {}
+#: Checks of one written table: their shuffles are on disk together, and Spark plans them anew at each stage's end.
+TOGETHER = 8
 
 
 def check(name: str, severity: str, option: str | None = None):
@@ -30,23 +36,24 @@ def check(name: str, severity: str, option: str | None = None):
 
 def sql(name: str, severity: str, text: str, option: str | None = None) -> None:
     """A check as SQL over the vault's views; :today is the day of the run."""
+    CHECKS[name] = (severity, option, lambda v: selected(v, text))
 
-    def run(v: Vault) -> DataFrame:
-        # Regular expressions hold braces too, so only the views' names are filled in.
-        filled = text
-        for view in v.NAMES:
-            if f"{{{view}}}" in filled:
-                getattr(v, view).createOrReplaceTempView(f"lectern_{view}")
-                filled = filled.replace(f"{{{view}}}", f"lectern_{view}")
-        return v.options.sparkSession.sql(filled, args={"today": v.now[:10]})
 
-    CHECKS[name] = (severity, option, run)
+def selected(v: Vault, text: str) -> DataFrame:
+    """A select over the vault's views."""
+    # Regular expressions hold braces too, so only the views' names are filled in.
+    for view in v.NAMES:
+        if f"{{{view}}}" in text:
+            getattr(v, view).createOrReplaceTempView(f"lectern_{view}")
+            text = text.replace(f"{{{view}}}", f"lectern_{view}")
+    return v.options.sparkSession.sql(text, args={"today": v.now[:10]})
 
 
 CONCEPT = "SELECT kb, path, '{1}' AS message FROM {{concepts}} WHERE {0}"
 
 
 def where(name: str, severity: str, condition: str, message: str, option: str | None = None) -> None:
+    CONDITIONS[name] = (condition, message)
     sql(name, severity, CONCEPT.format(condition, message), option)
 
 
@@ -131,10 +138,11 @@ def first_person(v: Vault) -> DataFrame:
     words = "|".join(X.CONNECTORS)
     opens = rf"(?:^|[.,;:!?—–(\"*|>\['](?:\[\^[^\]]+\])*|\b(?i:{words})|(?<![\w])(?!(?:{'|'.join(X.NUMBERED)})\b)[a-z]\w*)\s*$"
     letters = F.col("bare").rlike(X.LETTER_LIST)
-    hits = F.regexp_extract_all("bare", F.lit(f"(?s)(.*?)(?:{X.FIRST_PERSON})"), 2)
-    heads = F.regexp_extract_all("bare", F.lit(f"(?s)(.*?)(?:{X.FIRST_PERSON})"), 1)
+    # What stands before each hit since the one before: splitting is linear in the line, a lazy group before the hit isn't.
+    hits = F.regexp_extract_all("bare", F.lit(X.FIRST_PERSON), 1)
+    heads = F.slice(F.split("bare", X.FIRST_PERSON, -1), F.lit(1), F.size(hits))
     judged = F.filter(F.arrays_zip(heads.alias("head"), hits.alias("word")), lambda h: ~h["word"].startswith("I ") | (h["head"].rlike(opens) & ~letters))
-    told = prose.withColumn("bare", bare).withColumn("words", judged).where("size(words) > 0")
+    told = prose.withColumn("bare", bare).where(F.col("bare").rlike(X.FIRST_PERSON)).withColumn("words", judged).where("size(words) > 0")
     return told.groupBy("kb", "concept").agg(F.min(F.struct("line", F.col("words")[0]["word"].alias("word"))).alias("first")).select("kb", F.col("concept").alias("path"), F.concat(F.lit("first person: "), "first.word").alias("message"))
 
 
@@ -185,7 +193,7 @@ where("C40", "F", f"bare RLIKE r'{X.CURRENCY_COMMA}'", "currency with a comma")
 
 @check("C42", "F")
 def dates_out_of_order(v: Vault) -> DataFrame:
-    rows = W.islands(v.lines.select("doc", "line", "body"), W.is_row(F.col("body")), "tbl")
+    rows = W.islands(v.lines.select("doc", "line", "body"), W.is_row(F.col("body")), "tbl", dense=True)
     cells = rows.withColumn("cell", W.row_cells(F.col("body"))[0]).withColumn("no", F.row_number().over(Window.partitionBy("doc", "tbl").orderBy("line")))
     dated = cells.where("no = 1 AND lower(cell) = 'date'").select("doc", "tbl")
     keyed = cells.where("no > 2").join(dated, ["doc", "tbl"]).select(F.concat_ws("#", "doc", "tbl").alias("tbl"), "line", "cell", "doc")
@@ -202,7 +210,7 @@ check("C48", "F")(lambda v: _rules(v, {"row_under": "table row under prose", "un
 
 @check("C49", "F")
 def row_widths(v: Vault) -> DataFrame:
-    rows = W.islands(v.lines.select("doc", "line", "body"), W.is_row(F.col("body")), "tbl").withColumn("width", W.row_width(F.col("body")))
+    rows = W.islands(v.lines.select("doc", "line", "body"), W.is_row(F.col("body")), "tbl", dense=True).withColumn("width", W.row_width(F.col("body")))
     first = F.first("width").over(Window.partitionBy("doc", "tbl").orderBy("line"))
     odd = rows.withColumn("head", first).where("width <> head").groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
     return odd.select(F.split_part("doc", F.lit("|"), F.lit(1)).alias("kb"), F.split_part("doc", F.lit("|"), F.lit(2)).alias("path"), F.concat(F.lit("rows of another width: "), F.col("n").cast("string")).alias("message"))
@@ -449,15 +457,33 @@ def never_written(v: Vault, least: int = 3) -> DataFrame:
 
 def findings(v: Vault, only: list[str] | None = None) -> DataFrame:
     """All findings: (kb, path, check_id, severity, message)."""
-    out = None
-    for name, (severity, option, run) in CHECKS.items():
-        if only and name not in only:
-            continue
+    names = [name for name in CHECKS if not only or name in only]
+    parts = []
+    if len(own := [name for name in names if name in CONDITIONS]) > 1:
+        parts.append(own_rows(v, own))
+        names = [name for name in names if name not in CONDITIONS]
+    for name in names:
+        severity, option, run = CHECKS[name]
         rows = run(v).select("kb", "path", F.lit(name).alias("check_id"), F.lit(severity).alias("severity"), "message")
         if option:
             rows = rows.join(F.broadcast(v.options.where(F.col("key") == option).select("kb").distinct()), "kb", "left_semi")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        parts.append(rows)
+    if len(parts) > TOGETHER:
+        groups = [parts[i : i + TOGETHER] for i in range(0, len(parts), TOGETHER)]
+        parts = [materialise(reduce(DataFrame.unionByName, group), "findings") for group in groups]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def own_rows(v: Vault, names: list[str]) -> DataFrame:
+    """The findings of several checks that judge a concept by its own row, in one scan of the concepts."""
+    cases = []
+    for name in names:
+        (condition, message), (severity, option, _) = CONDITIONS[name], CHECKS[name]
+        given = f"'{option}'" if option else "CAST(NULL AS STRING)"
+        cases.append(f"CASE WHEN {condition} THEN struct('{name}' AS check_id, '{severity}' AS severity, '{message}' AS message, {given} AS asked) END")
+    rows = selected(v, f"SELECT kb, path, inline(filter(array({', '.join(cases)}), one -> one IS NOT NULL)) FROM {{concepts}}")
+    given = F.broadcast(v.options.select("kb", F.col("key").alias("asked"), F.lit(True).alias("given")).distinct())
+    return rows.join(given, ["kb", "asked"], "left").where("asked IS NULL OR given").select("kb", "path", "check_id", "severity", "message")
 
 
 def audit(v: Vault, clock: DataFrame, waivers: DataFrame) -> tuple[DataFrame, DataFrame]:

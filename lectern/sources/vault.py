@@ -189,8 +189,11 @@ def tables(files: DataFrame, now: str, options: DataFrame | None = None, write:
         )
 
     def lines() -> DataFrame:
-        rows = W.lines_of(split().select(F.concat_ws("|", "kb", "path").alias("doc"), "body"), "body")
-        return W.unfenced(rows).select(F.split_part("doc", F.lit("|"), F.lit(1)).alias("kb"), F.split_part("doc", F.lit("|"), F.lit(2)).alias("concept"), "doc", "line", "body", "unclosed")
+        docs = split().select(F.concat_ws("|", "kb", "path").alias("doc"), "body")
+        # Only documents with a fence need their lines in order.
+        fenced = F.coalesce(F.col("body").rlike(r"(?m)^\s*(```|~~~)"), F.lit(False))
+        rows = W.unfenced(W.lines_of(docs.where(fenced), "body")).unionByName(W.lines_of(docs.where(~fenced), "body").withColumn("unclosed", F.lit(False)))
+        return rows.select(F.split_part("doc", F.lit("|"), F.lit(1)).alias("kb"), F.split_part("doc", F.lit("|"), F.lit(2)).alias("concept"), "doc", "line", "body", "unclosed")
 
     def plain() -> DataFrame:
         return v.lines.withColumn("code_free", F.regexp_replace("body", r"`[^`]+`", " "))
