@@ -59,6 +59,8 @@ BAND = 3
 HOT = 32
 #: Ids from here on stand for classes whose documents have none.
 NAMELESS = 1 << 62
+#: Rounds in which candidates are verified, if their sets are as large as all sets together.
+ROUNDS = 4
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 U = np.uint64
@@ -297,13 +299,28 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) of pairs whose sets are as similar as asked, as a written table. Sets are built for the ends of
-    pairs within the sketches' bound."""
+    pairs within the sketches' bound, for a share of the pairs at a time, so that the sets of one share are on disk."""
     named = lambda p: reps.select(F.col("rep").alias(p), F.col("n").alias(f"{p}_n"), F.col("bits").alias(f"{p}_bits")).hint("merge")
     close = pairs.join(named("a"), "a").join(named("b"), "b").where(_may_link("a", "b", percent)).select("a", "b")
     close = materialise(close, "candidates")
     if close.isEmpty():
         return close
     ends = close.select(F.col("a").alias("rep")).unionByName(close.select(F.col("b").alias("rep"))).distinct()
+    whole, held = (d.agg(F.sum("n")).first()[0] for d in (reps, reps.select("rep", "n").join(ends.hint("merge"), "rep")))
+    rounds = max(1, -(-ROUNDS * held // whole))
+    # A hub is an end of many pairs and of every share; the other ends are dealt out.
+    turn = F.pmod(F.xxhash64("b"), F.lit(rounds))
+    links = [compared(docs, reps, close.where(turn == i) if rounds > 1 else close, width, percent) for i in range(rounds)]
+    discard(close)
+    out = reduce(DataFrame.unionByName, links)
+    if rounds > 1:
+        out._lectern_parts = links
+    return out
+
+
+def compared(docs: DataFrame, reps: DataFrame, close: DataFrame, width: int, percent: int) -> DataFrame:
+    """verified() of one share of the pairs, by their sets."""
+    ends = close.select(F.col("a").alias("rep")).unionByName(close.select(F.col("b").alias("rep"))).distinct()
     sets = materialise(sets_of(docs, reps.select("rep", "n", "h1", "h2").join(ends.hint("merge"), "rep"), width), "sets")
     one = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x")).hint("merge")
     two = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y")).hint("merge")
@@ -311,7 +328,6 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, per
     links = materialise(both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "links")
     # The links are written, so what they came from can go.
     discard(sets)
-    discard(close)
     return links
 
 
