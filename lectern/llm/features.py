@@ -6,13 +6,15 @@ few array passes a byte whatever the texts' lengths.
 
 from __future__ import annotations
 
+import pickle
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lectern.llm.arrow import raw_bytes
+from lectern.llm.arrow import over_arrow, raw_bytes
 
 #: White space: the six bytes that part words.
 SPACE = np.zeros(256, bool)
@@ -192,6 +194,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     return [(r["text"], r["label"], zlib.crc32(b"share%d" % r["doc_id"]) % 10) for r in rows]
 
 
+def fitted_by_a_task(spark: SparkSession, fit: Callable, sample: list):
+    """fit(sample), computed by one task, so that its memory isn't the driver's."""
+    held = spark.sparkContext.broadcast(sample)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            model = pickle.dumps(fit(held.value))
+            give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    try:
+        return pickle.loads(over_arrow(spark.range(0, 1, 1, 1), kernel, "model binary").first()["model"])
+    finally:
+        held.destroy()
+
+
 def give_back() -> None:
     """Return the memory that a fit has freed to the system, where the C library can."""
     import ctypes

@@ -25,8 +25,9 @@ far connect: every document with the most connected one that it shares a bucket
 with; then with the most connected one of each of its buckets, which is linear
 in the buckets; only then the members of a bucket with one another, where the
 join emits only pairs within an exact lower bound on the difference from
-512-bit parity sketches. Every candidate is verified on the sets themselves,
-which are built for candidates alone. Signatures are made and counted in passes over ranges of
+512-bit parity sketches. Sets that are large for these have a second sketch that
+grows with them, which their candidates must pass. Every candidate is verified on
+the sets themselves, which are built for candidates alone. Signatures are made and counted in passes over ranges of
 their hashes, a fixed number for a given similarity, so that the shuffled rows
 of one pass are on disk at a time.
 
@@ -61,8 +62,12 @@ HOT = 32
 NAMELESS = 1 << 62
 #: Rounds in which candidates are verified, if their sets are as large as all sets together.
 ROUNDS = 4
+#: Bits that mark the ids whose texts are wanted.
+MARKS = 1 << 23
 #: 64-bit words of a parity sketch.
 SKETCH = 8
+#: Sets of more elements have a wide sketch as well, of two bits an element at least.
+WIDE = 512
 U = np.uint64
 
 
@@ -187,6 +192,20 @@ def sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(parity, axis=1).view(np.int64).reshape(n, SKETCH)
 
 
+def wide_sketches(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of the sets of more than WIDE elements and n + 1 offsets; none of the others. A sketch has a
+    power of two of words, and the xor of its halves is the sketch of half its length."""
+    sizes = np.diff(offsets)
+    words = np.where(sizes > WIDE, 1 << np.ceil(np.log2(np.maximum(sizes, 1) / 32)).astype(np.int64), 0)
+    out = [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(words):
+        spread = mix(values[offsets[i] : offsets[i + 1]] + U(78))
+        place = (spread & U(words[i] - 1)) << U(6) | spread >> U(58)
+        parity = (np.bincount(place.astype(np.int64), minlength=words[i] << 6) & 1).astype(np.uint8)
+        out.append(np.packbits(parity).view(np.int64))
+    return np.concatenate(out), np.concatenate([[0], np.cumsum(words)])
+
+
 def digests(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     def total(x: np.ndarray) -> np.ndarray:
         sums = np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)])
@@ -214,13 +233,13 @@ def over_sets(docs: DataFrame, width: int, columns: Callable[[np.ndarray, np.nda
 
 
 def keys(docs: DataFrame, width: int, sketch: bool = False) -> DataFrame:
-    """doc_id, n_shingles and digest of every document, and the parity sketch of its set."""
+    """doc_id, n_shingles and digest of every document, and the parity sketches of its set."""
 
     def bits(values: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
         found = sketches(values, offsets)
-        return {"bits": _lists(found.reshape(-1), np.arange(len(found) + 1) * SKETCH)}
+        return {"bits": _lists(found.reshape(-1), np.arange(len(found) + 1) * SKETCH), "wide": _lists(*wide_sketches(values, offsets))}
 
-    return over_sets(docs, width, bits, ", bits array<long>") if sketch else over_sets(docs, width, lambda values, offsets: {}, "")
+    return over_sets(docs, width, bits, ", bits array<long>, wide array<long>") if sketch else over_sets(docs, width, lambda values, offsets: {}, "")
 
 
 def buckets(signed: Callable[[int, int], DataFrame], rounds: int) -> DataFrame:
@@ -274,16 +293,30 @@ def short_buckets(sets: DataFrame, percent: int) -> DataFrame:
     return buckets(signed, passes(percent))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """rep, n, elements of the wanted classes (rep, n, h1, h2)."""
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id has the hash of one of ids (doc_id), modulo MARKS: all of ids' rows and few others. The
+    bitmaps that are broadcast are of one size however many ids there are."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    held = ids.withColumn("place", place).groupBy(F.expr("place div 32768").alias("bitmap")).agg(F.expr("bitmap_construct_agg(place % 32768)").alias("marks"))
+    found = rows.withColumn("place", place).withColumn("bitmap", F.expr("place div 32768")).join(F.broadcast(held), "bitmap")
+    byte = F.expr("cast(conv(hex(substring(marks, cast(place % 32768 div 8 AS int) + 1, 1)), 16, 10) AS int)")
+    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(place % 8 AS int))")) != 0).select(*rows.columns)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int, name: str) -> DataFrame:
+    """rep, n, elements of the wanted classes (rep, n, h1, h2), as a written table."""
+    wanted = materialise(wanted, "wanted")
     # The wanted ids grow with the data, so they are never broadcast.
-    ids = wanted.where(F.col("rep") < NAMELESS).select(F.col("rep").alias("doc_id")).hint("merge")
+    ids = wanted.where(F.col("rep") < NAMELESS).select(F.col("rep").alias("doc_id"))
     rows = documents(docs)
-    rows = rows.join(ids, "doc_id", "left_semi").unionByName(rows.where("doc_id IS NULL"))
+    # Most texts aren't wanted; these stay where they are.
+    rows = marked(rows, ids).join(ids.hint("merge"), "doc_id", "left_semi").unionByName(rows.where("doc_id IS NULL"))
     found = over_sets(rows, width, lambda values, offsets: {"elements": _lists(values, offsets)}, ", elements array<long>")
     # Several rows of one id, or rows without one, may be of a class.
     one = found.groupBy("h1", "h2").agg(F.first("elements").alias("elements"))
-    return one.join(wanted.hint("merge"), ["h1", "h2"]).select("rep", "n", "elements")
+    sets = materialise(one.join(wanted.hint("merge"), ["h1", "h2"]).select("rep", "n", "elements"), name)
+    discard(wanted)
+    return sets
 
 
 def _sizes_may(a: str, b: str, percent: int) -> Column:
@@ -297,11 +330,23 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return _sizes_may(a, b, percent) & (apart * (100 + percent) <= (col(f"{a}_n") + col(f"{b}_n")) * (100 - percent))
 
 
+def _wide_may_link(a: str, b: str, percent: int) -> Column:
+    """The same bound from the wide sketches, the longer one halved once; true where they don't allow that."""
+    col = F.col
+    least, most = (f(F.size(f"{a}_wide"), F.size(f"{b}_wide")) for f in (F.least, F.greatest))
+    xor = lambda p, q: p.bitwiseXOR(q)
+    halved = lambda x: F.when(F.size(x) > least, F.zip_with(F.slice(x, F.lit(1), least), F.slice(x, least + 1, least), xor)).otherwise(col(x))
+    apart = F.aggregate(F.zip_with(halved(f"{a}_wide"), halved(f"{b}_wide"), xor), F.lit(0), lambda total, x: total + F.bit_count(x))
+    return (least == 0) | (most > 2 * least) | (apart * (100 + percent) <= (col(f"{a}_n") + col(f"{b}_n")) * (100 - percent))
+
+
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) of pairs whose sets are as similar as asked, as a written table. Sets are built for the ends of
     pairs within the sketches' bound, for a share of the pairs at a time, so that the sets of one share are on disk."""
-    named = lambda p: reps.select(F.col("rep").alias(p), F.col("n").alias(f"{p}_n"), F.col("bits").alias(f"{p}_bits")).hint("merge")
-    close = pairs.join(named("a"), "a").join(named("b"), "b").where(_may_link("a", "b", percent)).select("a", "b")
+    named = lambda p, *names: reps.select(F.col("rep").alias(p), *(F.col(k).alias(f"{p}_{k}") for k in names)).hint("merge")
+    # The wide sketches are joined with the pairs that the narrow ones leave.
+    close = pairs.join(named("a", "n", "bits"), "a").join(named("b", "n", "bits", "wide"), "b").where(_may_link("a", "b", percent)).drop("a_bits", "b_bits")
+    close = close.join(named("a", "wide"), "a").where(_wide_may_link("a", "b", percent)).select("a", "b")
     close = materialise(close, "candidates")
     if close.isEmpty():
         return close
@@ -321,7 +366,7 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, per
 def compared(docs: DataFrame, reps: DataFrame, close: DataFrame, width: int, percent: int) -> DataFrame:
     """verified() of one share of the pairs, by their sets."""
     ends = close.select(F.col("a").alias("rep")).unionByName(close.select(F.col("b").alias("rep"))).distinct()
-    sets = materialise(sets_of(docs, reps.select("rep", "n", "h1", "h2").join(ends.hint("merge"), "rep"), width), "sets")
+    sets = sets_of(docs, reps.select("rep", "n", "h1", "h2").join(ends.hint("merge"), "rep"), width, "sets")
     one = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x")).hint("merge")
     two = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y")).hint("merge")
     both = close.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
@@ -387,7 +432,7 @@ def across(apart: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     nameless = F.col("h1").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
-    reps = keys(docs, width, sketch=True).where("n_shingles > 0").groupBy("h1", "h2").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
+    reps = keys(docs, width, sketch=True).where("n_shingles > 0").groupBy("h1", "h2").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     reps = materialise(reps.withColumn("rep", F.coalesce("rep", nameless)), "reps")
     found = document_buckets(docs, reps, width, percent)
     check = lambda pairs: verified(docs, reps, pairs, width, percent)
@@ -411,7 +456,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     discard(long)
     if not busy.isEmpty():
         wanted = reps.select("rep", "n", "h1", "h2").join(busy.hint("merge"), "rep", "left_semi")
-        sets = materialise(sets_of(docs, wanted, width), "busy_sets")
+        sets = sets_of(docs, wanted, width, "busy_sets")
         found = short_buckets(sets, percent)
         discard(sets)
         apart = parts.torn(found)

@@ -2,7 +2,7 @@
 
 Features are word unigrams and bigrams and character n-grams of 3 and 5, hashed
 into 2 ** 16 buckets; a text's value in a bucket is its share of the text's
-n-grams of that kind. The regression is fitted on the driver on at most
+n-grams of that kind. The regression is fitted by one task on at most
 SAMPLE labelled texts of at most MOST_BYTES bytes each, then calibrated on the
 tenths 0 to 2 of that sample, which the fit never saw. Every text is scored
 whole, in Arrow batches, and kept if its probability of label 1 reaches KEEP.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lectern.llm.arrow import chunks, documents, filtered, over_arrow
-from lectern.llm.features import Chunk, characters, give_back, labelled_sample, mix, platt, sigmoid, spans_sum
+from lectern.llm.features import Chunk, characters, fitted_by_a_task, give_back, labelled_sample, mix, platt, sigmoid, spans_sum
 
 SAMPLE, MOST_BYTES = 3_000, 20_000
 BUCKETS = 1 << 16
@@ -81,7 +81,7 @@ def fit(sample: list[tuple[str, int, int]], rounds: int = 60) -> Model:
     if len(set(label)) < 2:
         return Model(np.zeros((KINDS, BUCKETS)), (1.0, 10.0))
     # Sparse matrices of BLOCK rows for each kind of n-gram. They stay blocks, so that what a step needs beside them
-    # is of a block's size: the driver holds six bytes for each distinct n-gram of a text.
+    # is of a block's size: the task holds six bytes for each distinct n-gram of a text.
     blocks: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
     for at in range(0, len(sample), BLOCK):
         chunk, kinds = Chunk(pa.array([s[0] for s in sample[at : at + BLOCK]])), []
@@ -117,7 +117,7 @@ def fit(sample: list[tuple[str, int, int]], rounds: int = 60) -> Model:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int) -> Model:
-    model = fit(labelled_sample(docs, labels, "quality", *FOLD, sample, MOST_BYTES))
+    model = fitted_by_a_task(docs.sparkSession, fit, labelled_sample(docs, labels, "quality", *FOLD, sample, MOST_BYTES))
     give_back()
     return model
 

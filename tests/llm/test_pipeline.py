@@ -121,3 +121,54 @@ def test_a_pass_shuffles_its_rows_once(spark):
         held[0].explain()
     final = text.getvalue().split("Initial Plan")[0]
     assert "ReusedExchange" in final or final.count("Exchange hashpartitioning(sig") == 1
+
+
+def test_wide_sketches_keep_links_and_tell_large_sets_apart(spark, monkeypatch):
+    """Round 2: 512 bits can't tell large sets apart, so their candidates all had their sets built and shuffled."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    random = np.random.default_rng(5)
+    new = lambda n: np.unique(random.integers(1, 1 << 62, n).astype(np.uint64))
+    sets = [new(n) for n in (300, 600, 1000, 2047, 2049, 4000, 9000)]
+    pairs = [(x, np.unique(np.concatenate([x[random.permutation(len(x))[: int(len(x) * share)]], new(int(len(x) * extra))]))) for x in sets for share, extra in ((0.81, 0), (0.89, 0.1), (1, 0.24), (0.5, 0.5), (0, 1))]
+    values, sizes = np.concatenate([s for p in pairs for s in p]), [len(s) for p in pairs for s in p]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    bits, (wide, at) = jaccard_join.sketches(values, offsets).tolist(), jaccard_join.wide_sketches(values, offsets)
+    rows = [(k // 2, sizes[k], bits[k], wide[at[k] : at[k + 1]].tolist(), sizes[k + 1], bits[k + 1], wide[at[k + 1] : at[k + 2]].tolist()) for k in range(0, len(sizes), 2)]
+    frame = spark.createDataFrame(rows, "pair int, a_n long, a_bits array<long>, a_wide array<long>, b_n long, b_bits array<long>, b_wide array<long>")
+    got = {r.pair: (r.narrow, r.wide) for r in frame.select("pair", jaccard_join._may_link("a", "b", 80).alias("narrow"), jaccard_join._wide_may_link("a", "b", 80).alias("wide")).collect()}
+    linked = {k for k, (x, y) in enumerate(pairs) if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
+    assert {k for k, x in got.items() if all(x)} == linked < {k for k, x in got.items() if x[0]}
+    assert any(r[3] and len(r[3]) != len(r[6]) for r in rows)
+
+    # The join uses them: large texts that share words but no set of half their size get no candidate.
+    frame = spark.createDataFrame([(i, prose(8000 + i, 2500)) for i in range(6)] + [(9, prose(8000, 2500) + " end")], "doc_id long, text string")
+    reps = jaccard_join.keys(frame, 5, sketch=True).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "h1", "h2", "bits", "wide").cache()
+    held, write = [], jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, name: (held.append((name, df.count())), write(df, name))[1])
+    links = jaccard_join.verified(frame, reps, reps.select(F.col("rep").alias("a")).crossJoin(reps.select(F.col("rep").alias("b"))).where("a < b"), 5, 80)
+    assert [tuple(r) for r in links.collect()] == [(0, 9)] and ("candidates", 1) in held
+
+
+def test_the_quality_rules_are_fitted_by_a_task(docs, label_rows, monkeypatch):
+    """Round 2: the fit's memory was the driver's, beside that of the later stages."""
+    import os
+
+    monkeypatch.setattr(quality_rules, "fit", lambda sample: (os.getpid(), len(sample)))
+    worker, n = quality_rules.fitted(docs, label_rows, 3_000)
+    assert worker != os.getpid() and n > 100
+
+
+def test_only_wanted_texts_are_shuffled(spark, docs, monkeypatch):
+    """Round 2: all texts were shuffled for each share of candidates."""
+    rows = spark.createDataFrame([(i, "x") for i in [*range(2_000), *range(0, 2_000, 3), -7, (1 << 62) - 1, None]], "doc_id long, text string")
+    wanted = set(range(0, 2_000, 7)) | {-7, (1 << 62) - 1, 5_000}
+    got = [r.doc_id for r in jaccard_join.marked(rows, spark.createDataFrame([(i,) for i in wanted], "doc_id long")).collect()]
+    assert wanted - {5_000} <= set(got) and len(got) == len([i for i in [*range(2_000), *range(0, 2_000, 3), -7, (1 << 62) - 1] if i in set(got)])
+    assert len(set(got)) < len(wanted) + 20
+    assert jaccard_join.marked(rows, spark.createDataFrame([], "doc_id long")).count() == 0
+    # Marks that are all set only cost time.
+    before = sorted(map(tuple, jaccard_join.jaccard_components(docs, percent=80).collect()), key=str)
+    monkeypatch.setattr(jaccard_join, "MARKS", 8)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs, percent=80).collect()), key=str) == before
