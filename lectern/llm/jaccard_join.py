@@ -307,10 +307,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int, name: str) -> DataFr
     """rep, n, elements of the wanted classes (rep, n, h1, h2), as a written table."""
     wanted = materialise(wanted, "wanted")
     # The wanted ids grow with the data, so they are never broadcast.
-    ids = wanted.where(F.col("rep") < NAMELESS).select(F.col("rep").alias("doc_id"))
+    ids = wanted.where(F.col("rep") < NAMELESS).select(F.col("rep").alias("doc_id")).distinct()
     rows = documents(docs)
-    # Most texts aren't wanted; these stay where they are.
-    rows = marked(rows, ids).join(ids.hint("merge"), "doc_id", "left_semi").unionByName(rows.where("doc_id IS NULL"))
+    # Most texts aren't wanted; these stay where they are. A semi-join would be pushed below the marks, and so would shuffle
+    # all texts; an inner join isn't.
+    rows = marked(rows, ids).join(ids.hint("merge"), "doc_id").unionByName(rows.where("doc_id IS NULL"))
     found = over_sets(rows, width, lambda values, offsets: {"elements": _lists(values, offsets)}, ", elements array<long>")
     # Several rows of one id, or rows without one, may be of a class.
     one = found.groupBy("h1", "h2").agg(F.first("elements").alias("elements"))
