@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lectern.llm.arrow import chunks, documents, over_arrow
 from lectern.llm.features import Chunk, mix
 from lectern.operators.graph import connected_components
-from lectern.session import discard, materialise
+from lectern.session import discard, materialise, tidy
 
 WIDTH, PERCENT = 3, 90
 #: A band is so many factors of similarity wide: in wider ones small sets have few elements a segment, in narrower ones
@@ -64,6 +64,8 @@ NAMELESS = 1 << 62
 ROUNDS = 4
 #: Bits that mark the ids whose texts are wanted.
 MARKS = 1 << 23
+#: Links of which one task finds the components; more take rounds of shuffles.
+FEW = 1 << 18
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 #: Sets of more elements have a wide sketch as well, of two bits an element at least.
@@ -341,18 +343,24 @@ def _wide_may_link(a: str, b: str, percent: int) -> Column:
     return (least == 0) | (most > 2 * least) | (apart * (100 + percent) <= (col(f"{a}_n") + col(f"{b}_n")) * (100 - percent))
 
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int, whole: int | None = None) -> DataFrame:
     """The (a, b) of pairs whose sets are as similar as asked, as a written table. Sets are built for the ends of
-    pairs within the sketches' bound, for a share of the pairs at a time, so that the sets of one share are on disk."""
+    pairs within the sketches' bound, for a share of the pairs at a time, so that the sets of one share are on disk.
+    whole: the elements of all sets, if they are counted already."""
     named = lambda p, *names: reps.select(F.col("rep").alias(p), *(F.col(k).alias(f"{p}_{k}") for k in names)).hint("merge")
     # The wide sketches are joined with the pairs that the narrow ones leave.
     close = pairs.join(named("a", "n", "bits"), "a").join(named("b", "n", "bits", "wide"), "b").where(_may_link("a", "b", percent)).drop("a_bits", "b_bits")
-    close = close.join(named("a", "wide"), "a").where(_wide_may_link("a", "b", percent)).select("a", "b")
+    close = close.join(named("a", "wide"), "a").where(_wide_may_link("a", "b", percent)).select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n"))
     close = materialise(close, "candidates")
-    if close.isEmpty():
+    # The sets of all pairs' ends, if no two pairs had one in common.
+    held = close.agg(F.sum("n")).first()[0]
+    if held is None:
         return close
-    ends = close.select(F.col("a").alias("rep")).unionByName(close.select(F.col("b").alias("rep"))).distinct()
-    whole, held = (d.agg(F.sum("n")).first()[0] for d in (reps, reps.select("rep", "n").join(ends.hint("merge"), "rep")))
+    if whole is None:
+        whole = elements(reps)
+    if ROUNDS * held > whole:
+        ends = close.select(F.col("a").alias("rep")).unionByName(close.select(F.col("b").alias("rep"))).distinct()
+        held = elements(reps.select("rep", "n").join(ends.hint("merge"), "rep"))
     rounds = max(1, -(-ROUNDS * held // whole))
     # A hub is an end of many pairs and of every share; the other ends are dealt out.
     turn = F.pmod(F.xxhash64("b"), F.lit(rounds))
@@ -364,6 +372,11 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, per
     return out
 
 
+def elements(sets: DataFrame) -> int:
+    """The elements of sets of sizes n."""
+    return sets.agg(F.sum("n")).first()[0] or 0
+
+
 def compared(docs: DataFrame, reps: DataFrame, close: DataFrame, width: int, percent: int) -> DataFrame:
     """verified() of one share of the pairs, by their sets."""
     ends = close.select(F.col("a").alias("rep")).unionByName(close.select(F.col("b").alias("rep"))).distinct()
@@ -377,6 +390,38 @@ def compared(docs: DataFrame, reps: DataFrame, close: DataFrame, width: int, per
     return links
 
 
+def least_linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of links and the smallest end that each is connected with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(least[u], least[v]), np.maximum(least[u], least[v])
+        if (low == high).all():
+            return nodes, nodes[least]
+        # Of two roots the larger hangs on the smaller one, then every node on its root.
+        np.minimum.at(least, high, low)
+        while not np.array_equal(further := least[least], least):
+            least = further
+
+
+def components(links: DataFrame) -> DataFrame:
+    """rep, part (the smallest class that it is connected with) of the ends of links (a, b)."""
+    if links.count() > FEW:
+        found = connected_components(links)
+        out = found.select(F.col("node").alias("rep"), F.col("component").alias("part"))
+        out._lectern_parts = found._lectern_parts
+        return out
+
+    # Each round of shuffles costs the driver as much for a few links as for many.
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((2, 0), np.int64), *(np.stack([np.asarray(c) for c in batch.columns]) for batch in batches)]
+        nodes, least = least_linked(*np.concatenate(held, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], ["rep", "part"])
+
+    return over_arrow(links.coalesce(1), kernel, "rep long, part long")
+
+
 class Parts:
     """Components of the links so far: the rows (rep, part) of linked classes."""
 
@@ -384,15 +429,16 @@ class Parts:
         self.rows: DataFrame | None = None
 
     def add(self, links: DataFrame) -> None:
-        added = links
+        added, links = links, links.select("a", "b")
         if self.rows is not None:
             links = links.unionByName(self.rows.where("rep <> part").select(F.col("rep").alias("a"), F.col("part").alias("b")))
-        found = connected_components(links)
-        before, self.rows = self.rows, materialise(found.select(F.col("node").alias("rep"), F.col("component").alias("part")), "parts")
+        found = components(links)
+        before, self.rows = self.rows, materialise(found, "parts")
         # The parts hold all that the links and the parts before said.
         for written in (added, before, found):
             if written is not None:
                 discard(written)
+        tidy(links.sparkSession)
 
     def of(self, rows: DataFrame) -> DataFrame:
         """rows (rep, ...) with their parts; a class without links is its own."""
@@ -404,7 +450,9 @@ class Parts:
         """(sig, rep, n, size, part) of the buckets whose members the links don't connect, as a written table; found stays."""
         placed = self.of(found.select("sig", "rep", "n", "size"))
         apart = placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("sig")
-        return materialise(placed.join(apart.hint("merge"), "sig", "left_semi"), "torn")
+        out = materialise(placed.join(apart.hint("merge"), "sig", "left_semi"), "torn")
+        tidy(out.sparkSession)
+        return out
 
 
 def hubs(placed: DataFrame, percent: int) -> DataFrame:
@@ -435,8 +483,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     nameless = F.col("h1").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
     reps = keys(docs, width, sketch=True).where("n_shingles > 0").groupBy("h1", "h2").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     reps = materialise(reps.withColumn("rep", F.coalesce("rep", nameless)), "reps")
+    whole = elements(reps)
     found = document_buckets(docs, reps, width, percent)
-    check = lambda pairs: verified(docs, reps, pairs, width, percent)
+    check = lambda pairs: verified(docs, reps, pairs, width, percent, whole)
 
     # Each class with the most connected one that it meets, then with all its buckets' hubs in other parts, then all
     # members of small buckets that are still in different parts.

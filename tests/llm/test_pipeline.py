@@ -188,3 +188,58 @@ def test_only_marked_texts_are_shuffled_for_their_sets(spark, monkeypatch):
     plan = held["sets"]._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joins = [line for line in plan if "Join" in line and ("doc_id" in line or "bitmap" in line)]
     assert "doc_id" in joins[0] and "bitmap" in joins[1]
+
+
+def test_few_links_take_no_rounds_of_shuffles(spark, monkeypatch):
+    """Round 3: every round of components planned dozens of shuffles for however few links, whose plans and threads filled the driver's memory."""
+    import random
+
+    def rows(links):
+        return spark.createDataFrame(links, "a long, b long").repartition(3)
+
+    def brute(links):
+        least = {x: x for link in links for x in link}
+        while any(least[a] != least[b] for a, b in links):
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    draw = random.Random(3)
+    chain = [(i, i + 1) for i in range(100, 300)]
+    draw.shuffle(chain)
+    nameless = jaccard_join.NAMELESS
+    first = [(5, 9), (9, 5), (9, 9 + nameless), (nameless + 1, nameless + 2), (-4, 2), *chain, *((7, i) for i in range(1000, 1400))]
+    second = [(draw.randrange(2000), draw.randrange(2000)) for _ in range(700)]
+    second = [(a, b) for a, b in second if a != b]
+
+    def found():
+        parts = jaccard_join.Parts()
+        for links in (first, [], second):
+            parts.add(rows(links))
+        return {r.rep: r.part for r in parts.rows.collect()}
+
+    # The distributed rounds are for more links; both say the same.
+    with monkeypatch.context() as few:
+        few.setattr(jaccard_join, "connected_components", lambda links: (_ for _ in ()).throw(AssertionError("rounds of shuffles")))
+        assert found() == brute(first + second)
+        empty = jaccard_join.Parts()
+        empty.add(rows([]))
+        assert empty.rows.count() == 0
+    monkeypatch.setattr(jaccard_join, "FEW", 3)
+    assert found() == brute(first + second)
+
+
+def test_rounds_of_candidates_count_sets_once(spark, docs, monkeypatch):
+    """Round 3: the elements of all sets were summed again for every round, and the driver's garbage stayed until its heap was full."""
+    counted, tidied, shares = [], [], []
+    count, tidy, compare = jaccard_join.elements, jaccard_join.tidy, jaccard_join.compared
+    monkeypatch.setattr(jaccard_join, "elements", lambda sets: counted.append(sets.columns) or count(sets))
+    monkeypatch.setattr(jaccard_join, "tidy", lambda session: tidied.append(1) or tidy(session))
+    monkeypatch.setattr(jaccard_join, "compared", lambda *a: shares.append(1) or compare(*a))
+    found = lambda: sorted(map(tuple, jaccard_join.jaccard_components(docs, percent=80, hot=2).collect()), key=str)
+    whole = found()
+    assert sum("h1" in columns for columns in counted) == 1 and len(tidied) >= 6
+    # More shares of candidates give the same links.
+    once = len(shares)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 500)
+    assert found() == whole and len(shares) - once > once
